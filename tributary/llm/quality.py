@@ -10,7 +10,8 @@ the rows below it, again. The final squared Mahalanobis distance is held against
 All group figures come from grouped aggregation that combines before the shuffle: moments, and
 quantiles from histograms of fixed width, so a source with a third of all rows costs a few rows per
 task. Groups of fewer than ``MIN_GROUP`` rows are pooled with the other small sources of their
-language, then with all small groups; a pool that is still smaller has no estimate and its rows pass.
+language, then with all small groups; what is still too small joins the largest group. Where even that
+has fewer rows there is no estimate, and rows pass that the base rule passes.
 
 Defined cases: null or empty text has no words and fails the base rule; null lang or source is a value
 of its own; repeated rows count as often as they occur and get equal verdicts; an empty table gives no
@@ -123,7 +124,10 @@ def pooled(df: DataFrame) -> DataFrame:
     sizes = df.groupBy("lang", "source").agg(F.count("*").alias("n"))
     sizes = sizes.select(own.alias("_own"), by_lang.alias("_lang"), "n")
     left = F.sum(F.when(F.col("n") < MIN_GROUP, F.col("n")).otherwise(0)).over(Window.partitionBy("_lang"))
-    pool = F.when(F.col("n") >= MIN_GROUP, F.col("_own")).when(left >= MIN_GROUP, F.col("_lang")).otherwise(F.lit("small"))
+    sizes = saved(sizes.withColumn("_left", left), "sizes")
+    rest, largest = sizes.agg(F.sum(F.when((F.col("n") < MIN_GROUP) & (F.col("_left") < MIN_GROUP), F.col("n"))), F.max(F.struct("n", "_own"))).first()
+    last = F.lit("small" if (rest or 0) >= MIN_GROUP or not largest else largest["_own"])
+    pool = F.when(F.col("n") >= MIN_GROUP, F.col("_own")).when(F.col("_left") >= MIN_GROUP, F.col("_lang")).otherwise(last)
     pools = saved(sizes.select("_own", pool.alias("_pool")), "pools")
     return df.withColumn("_own", own).join(pools, "_own").drop("_own")
 
