@@ -32,7 +32,7 @@ from tributary.llm.shared import saved
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_GROUP = 50
-H_SHARE = 0.75
+H_SHARE = 0.5
 STEPS = 3
 #: Squared distance beyond which a vector is rejected; chi-square of 4 degrees exceeds it with 1e-8.
 CUT = 43.0

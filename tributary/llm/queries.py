@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import decontaminate, licenses, quality, token_counts
+from tributary.llm import decontaminate, licenses, near_dup, quality, token_counts
 from tributary.llm.shared import table
 
 
@@ -26,5 +26,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_licence_scan, op5_token_counts, op6_quality_rules, op9_decontamination)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_licence_scan, op5_token_counts, op6_quality_rules, op9_decontamination, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
