@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import decontaminate, licenses, near_dup, quality, token_counts
+from tributary.llm import decontaminate, licenses, mixing, near_dup, quality, substring, token_counts
 from tributary.llm.shared import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op3(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op6(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,5 +38,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_licence_scan, op5_token_counts, op6_quality_rules, op9_decontamination, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_substring_dedup,
+        op3_licence_scan,
+        op5_token_counts,
+        op6_quality_rules,
+        op8_mixing,
+        op9_decontamination,
+        op10_near_duplicates,
+    )
+}
 ORACLES: dict[str, str] = {}
