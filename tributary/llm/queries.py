@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import decontaminate, licenses, mixing, near_dup, quality, substring, token_counts
+from tributary.llm import decontaminate, langid, licenses, lm, mixing, near_dup, quality, substring, token_counts, warc
 from tributary.llm.shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op1(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op2(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op5(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op7(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
@@ -38,16 +50,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.op10(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_substring_dedup,
         op3_licence_scan,
+        op4_lm_scores,
         op5_token_counts,
         op6_quality_rules,
+        op7_warc,
         op8_mixing,
         op9_decontamination,
         op10_near_duplicates,
+        pipeline,
     )
 }
 ORACLES: dict[str, str] = {}

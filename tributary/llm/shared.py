@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows with the largest n, as many as fit in `limit` without parting equal bins of n.
+
+    The least n comes from a histogram of its logarithm (a few thousand rows at most), so nothing is
+    sorted in one task. Small n have a bin each.
+    """
+    level = F.floor(F.log2(F.col(n)) * 64)
+    room, least = limit, None
+    for r in sorted(counts.groupBy(level.alias("b")).count().collect(), key=lambda r: -r["b"]):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["b"]
+    return counts.where(level >= least) if least is not None else counts.limit(0)
