@@ -21,7 +21,7 @@ def test_stages(spark, tmp_path):
     for i in range(40):
         own = [f"u{rng.randrange(10**7)}" for _ in range(80)]
         rows.append((base + i, " ".join([*own[:40], *([passage] if i % 4 == 0 else []), *([item] if i % 7 == 0 else []), *own[40:]]), "en", f"s{i % 3}", 1))
-    rows += [(400 + i, " ".join(f"j{rng.randrange(10**6)}###$$$" for _ in range(100)), "en", "s1", 1) for i in range(5)]
+    rows += [(400 + i, " ".join(f"j{rng.randrange(10**3)}###$$$%%%" for _ in range(400)), "en", "s1", 1) for i in range(5)]
     rows.append((390, rows[-10][1], "en", "s1", 1))
     rows.append((500, None, None, None, None))
     spark.createDataFrame(rows, cases.DOCS).write.parquet(f"{tmp_path}/documents.parquet")
