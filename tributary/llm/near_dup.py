@@ -10,9 +10,9 @@ from different permutations. At a similarity of 0.75 a pair misses every band wi
    of copies are thus a single row.
 3. Bucket by bucket each representative is held against the smallest in the bucket: a star, never all
    pairs. Links are confirmed on the full shingle sets, from the whole texts.
-4. Connected components of the links. Among the documents of buckets that still hold several
-   components, the pairs across components that share one of their rarest shingles are confirmed too:
-   an exact filter, so no link between documents that share a band is lost.
+4. Connected components of the links. Documents of buckets that still hold several components are
+   compared in blocks, on their full sets; only links come out, so no pair list grows with the square
+   of a group, and no link between documents that share a band is lost.
 5. Components again, over all links; copies get the component of their representative.
 
 Defined cases: null or empty text has an empty set and is linked with nothing (its own component);
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import graph
@@ -36,6 +36,8 @@ from tributary.llm.shared import saved
 
 SHINGLE = 5
 PERCENT = 75
+BLOCK = 256
+BLOCK_SETS = 200_000
 ROWS = 5
 BANDS = 40
 
@@ -135,14 +137,14 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     members = sets.select("doc", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
     members = saved(members.select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
     reps = members.where("doc = rep").select("doc").distinct()
-    rows = some.join(reps, "doc", "left_semi").select("doc", F.explode("keys").alias("key"))
+    rows = some.join(reps, "doc", "left_semi").select("doc", "n", F.explode("keys").alias("key"))
     least = rows.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key", "least")
     shared = saved(rows.join(least, "key"), "buckets")
     ids = shared.select("doc").distinct()
     texts = saved(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(ids, "doc", "left_semi"), "texts")
     stars = saved(shared.where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
     links = saved(confirmed(stars, texts, "doc", "text", percent), "links")
-    more = saved(confirmed(across(shared, texts, graph.components(links), percent).join(stars, ["a", "b"], "left_anti"), texts, "doc", "text", percent), "links")
+    more = saved(across(shared, texts, graph.components(links), percent), "links")
     # rows that repeat a doc_id may be in several classes
     twice = members.where("rep is not null and doc is not null").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     several = members.where("doc is not null").join(twice.where("a < b").select("doc"), "doc", "left_semi").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
@@ -152,37 +154,61 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
 
 
 def across(shared: DataFrame, texts: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) to confirm among the documents of buckets that hold several components.
+    """Links (a, b) between components, among the documents of buckets that hold several components.
 
-    Two sets as similar as asked share one of their rarest shingles: of n shingles, ordered by how many
-    of these documents have them, one of the first n - ceil(n * percent / 100) + 1. Only documents of
-    different components that share such a shingle are paired, which is exact and, among variants of
-    one text, far from all pairs.
+    Documents that such buckets connect are a cluster. A cluster is dealt by hash into blocks of about
+    ``BLOCK`` documents (fewer if their sets are large), and each pair of blocks is a group of its own.
+    A group counts the common shingles of its documents block by block and gives links only.
     """
-    named = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    named = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_docs = saved(named.join(mixed, "key", "left_semi").select("doc", "component").distinct(), "open")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in W.chunks(batch.column(2)):
-                offset, hashes = shingle_sets(c)
-                n = np.diff(offset)
-                at = pa.array(np.repeat(np.arange(c.first, c.first + c.n_docs), n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(hashes.view(np.int64))], names=["doc", "component", "n", "h"])
+    named = saved(named.join(mixed, "key", "left_semi").select("least", "doc", "n", "component").distinct(), "mixed")
+    clusters = graph.components(named, "least", "doc").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    open_docs = saved(named.groupBy("doc").agg(F.max("n").alias("n"), F.min("component").alias("component")).join(clusters, "doc"), "open")
+    sizes = open_docs.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("sets")).where("docs > 1")
+    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK, F.col("sets") / BLOCK_SETS)).cast("int")
+    own = open_docs.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    own = own.join(texts.groupBy("doc").agg(F.max("text").alias("text")), "doc")
+    dealt = own.select("cluster", "doc", "component", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "component", "block", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b = block_links(group, percent)
+        return pa.table({"a": a, "b": b})
 
     kind = shared.schema["doc"].dataType.simpleString()
-    exploded = saved(open_docs.join(texts, "doc").select("doc", "component", "text").mapInArrow(run, f"doc {kind}, component {kind}, n long, h long"), "shingles")
-    common = exploded.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
-    w = Window.partitionBy("doc")
-    ranked = exploded.join(common, "h").withColumns({"rank": F.row_number().over(w.orderBy("df", "h")), "here": F.count("*").over(w)})
-    # shingles that no other document has come first and find nothing; they are only counted
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("here"))
-    prefix = saved(ranked.where((F.col("rank") <= first) & (F.col("lo") < F.col("hi"))).select("h", "doc", "component", "n"), "prefixes")
-    left = prefix.select("h", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = prefix.select("h", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return left.join(right, "h").where(near).select("a", "b").distinct()
+    return dealt.groupBy("cluster", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def block_links(group: pa.Table, percent: int) -> tuple[pa.Array, pa.Array]:
+    """The links of different components between the two blocks of a group, or within its one block."""
+    sets = []
+    for c in W.chunks(group.column("text").combine_chunks()):
+        offset, hashes = shingle_sets(c)
+        sets += [hashes[offset[d] : offset[d + 1]] for d in range(c.n_docs)]
+    n = np.array([len(x) for x in sets], np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = df > 1
+    column = np.cumsum(common) - 1
+    keep = common[token]
+    doc, token = doc[keep], column[token[keep]]
+    order = np.argsort(token, kind="stable")
+    doc, token = doc[order], token[order]
+    both = np.zeros((len(n), len(n)), np.float32)
+    for first in range(0, int(common.sum()), 4096):
+        lo, hi = np.searchsorted(token, [first, first + 4096])
+        part = np.zeros((len(n), 4096), np.float32)
+        part[doc[lo:hi], token[lo:hi] - first] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    _, component = np.unique(group.column("component").to_numpy(zero_copy_only=False), return_inverse=True)
+    block = group.column("block").to_numpy()
+    one = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0) & (component[:, None] != component[None, :])
+    i, j = np.nonzero(np.triu(linked if one else linked & (block[:, None] != block[None, :]), 1))
+    ids = group.column("doc").combine_chunks()
+    return ids.take(pa.array(i)), ids.take(pa.array(j))
 
 
 def op10(docs: DataFrame) -> DataFrame:
