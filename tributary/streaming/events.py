@@ -22,10 +22,10 @@ def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("s")).select(*keys, "s.*")
 
 
-def terminal_once(events: DataFrame, key: str, ts: str, state: str, terminal: list[str]) -> DataFrame:
+def terminal_once(events: DataFrame, key: str, ts: str, state: str, terminal: list[str], late: str = "10 minutes") -> DataFrame:
     """Accepted events with a sequence number; after a terminal one the key takes no more.
 
-    State per key is a counter and a flag, and goes after an hour without events."""
+    State per key is a counter and a flag, and goes an hour of event time after the last event."""
     schema = f"{key} {events.schema[key].dataType.simpleString()}, {ts} timestamp, {state} string, sequence long"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -42,7 +42,7 @@ def terminal_once(events: DataFrame, key: str, ts: str, state: str, terminal: li
             out.append((k[0], getattr(r, ts), getattr(r, state), n))
             ended = getattr(r, state) in terminal
         held.update((n, ended))
-        held.setTimeoutDuration(3_600_000)
+        held.setTimeoutTimestamp(max(int(rows[ts].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame(out, columns=[key, ts, state, "sequence"])
 
-    return events.select(key, ts, state).groupBy(key).applyInPandasWithState(step, schema, "n long, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key, ts, state).withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, schema, "n long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
