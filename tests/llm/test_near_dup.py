@@ -9,7 +9,7 @@ from tributary.llm import graph, near_dup
 
 
 def shingles(text: str | None) -> frozenset:
-    w = cases.space_words(text)
+    w = cases.space_words(cases.lower(text))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
@@ -45,6 +45,7 @@ def test_components_against_all_pairs(spark):
     rng = random.Random(11)
     rows = cases.documents()
     texts = variants(rng, 60, 25, 1) + variants(rng, 120, 25, 4) + variants(rng, 9, 12, 1) + ["a b c", "a b c", "a b c d", "z"] * 2
+    texts += [texts[3].upper(), texts[30].title()]
     base = [f"t{i}" for i in range(150)]
     for _ in range(40):  # variants of one text, most of them not alike
         own = list(base)

@@ -199,7 +199,7 @@ def without_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             new = texts.to_pylist()
             for k in (k for k, x in enumerate(spans) if x):
                 c = next(W.chunks(texts.slice(k, 1), mark=False))  # bytes unchanged
-                at = W.cut(W._lower_table()[c.data], np.array([0, len(c.data)]), mark=True)
+                at = W.cut(W.lower(c.data), np.array([0, len(c.data)]), mark=True)
                 raw, parts, done = c.data.tobytes(), [], 0
                 for s, e in zip(spans[k][::2], spans[k][1::2], strict=True):
                     parts.append(raw[done : at.start[s]])

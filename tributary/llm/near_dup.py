@@ -1,4 +1,4 @@
-"""MinHash near-duplicates by min-max hashing.
+"""MinHash near-duplicates by min-max hashing, on five-word shingles of the text with A-Z in lower case.
 
 Under each permutation both the minimum and the maximum of a document's shingle hashes are kept, so a
 signature of ``ROWS * BANDS`` values takes half as many hash evaluations. The first half of the bands
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in W.chunks(batch.column(1)):
+            for c in W.chunks(batch.column(1), lowered=True):
                 offset, hashes = shingle_sets(c)
                 n = np.diff(offset)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(hashes ^ np.uint64(s)))]) for s in (0x5DEECE66D, 0xB5026F5AA96619E9)]
@@ -116,7 +116,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
                 sides = []
                 for k in (2, 3):
                     offsets, data = W.buffers(batch.column(k).slice(i, j - i))
-                    sides.append(shingle_sets(W.cut(data[offsets[0] : offsets[-1]], offsets - offsets[0])))
+                    sides.append(shingle_sets(W.cut(W.lower(data[offsets[0] : offsets[-1]]), offsets - offsets[0])))
                 (oa, ha), (ob, hb) = sides
                 for x in range(j - i):
                     sa, sb = ha[oa[x] : oa[x + 1]], hb[ob[x] : ob[x + 1]]
@@ -183,7 +183,7 @@ def across(shared: DataFrame, texts: DataFrame, labels: DataFrame, percent: int
 def block_links(group: pa.Table, percent: int) -> tuple[pa.Array, pa.Array]:
     """The links of different components between the two blocks of a group, or within its one block."""
     sets = []
-    for c in W.chunks(group.column("text").combine_chunks()):
+    for c in W.chunks(group.column("text").combine_chunks(), lowered=True):
         offset, hashes = shingle_sets(c)
         sets += [hashes[offset[d] : offset[d + 1]] for d in range(c.n_docs)]
     n = np.array([len(x) for x in sets], np.int64)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import decontaminate, langid, licenses, lm, mixing, near_dup, quality, substring, token_counts, warc
+from tributary.llm.oracles import ORACLES
 from tributary.llm.shared import table
 
 
@@ -72,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

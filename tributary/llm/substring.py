@@ -107,16 +107,17 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def contents_with_words(contents: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(g, h, c, doc, start, shift, tokens): the words of the contents, a row per window where `split`."""
-    wanted = contents.groupBy("doc").agg(F.collect_list(F.struct("h", "c", "start", "n", "split")).alias("wanted"))
-    met = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(wanted, "doc")
+    wanted = contents.groupBy("doc").agg(F.collect_list(F.struct("h", "c", "start", "n", "split")).alias("_wanted")).withColumnRenamed("doc", "_doc")
+    # all columns go along: the same shuffle of the documents then serves the last step
+    met = docs.where(F.col(key).isNotNull()).join(wanted, F.col(key) == F.col("_doc")).drop("_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("wanted")
+            lists = batch.column("_wanted")
             flat, bounds = lists.flatten(), lists.offsets.to_numpy()
             h, content, start, n, split = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             bounds = bounds - bounds[0]
-            for c in W.chunks(batch.column("text")):
+            for c in W.chunks(batch.column(text)):
                 lo, hi = bounds[c.first], bounds[c.first + c.n_docs]
                 if lo == hi:
                     continue
@@ -139,7 +140,7 @@ def contents_with_words(contents: DataFrame, docs: DataFrame, key: str, text: st
                     hashes = W.window_hashes(c.hash, WINDOW, 7).view(np.int64)
                     group[parted[row]] = hashes[begin[parted[row]]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group), pa.array(h[own][row]), pa.array(content[own][row]), batch.column("doc").take(pa.array(doc[row] + c.first)), pa.array((start[own][row] + shift).astype(np.int32)), pa.array(shift.astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.tobytes())])],
+                    [pa.array(group), pa.array(h[own][row]), pa.array(content[own][row]), batch.column(key).take(pa.array(doc[row] + c.first)), pa.array((start[own][row] + shift).astype(np.int32)), pa.array(shift.astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.tobytes())])],
                     names=["g", "h", "c", "doc", "start", "shift", "tokens"],
                 )
 
@@ -204,11 +205,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", rewri
     own = [f for f in docs.schema if f.name not in ADDED and (rewrite or f.name != text)]
     schema = T.StructType([*own, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     out_schema = to_arrow_schema(schema)
-    met = docs.join(marks(docs, key, text).withColumnRenamed("doc", "_doc"), F.col(key) == F.col("_doc"), "left").drop("_doc")
+    docs = docs.select(*(f.name for f in docs.schema if f.name not in ADDED))
+    found = marks(docs, key, text).select(F.col("doc").alias("_doc"), F.col("marks").alias("_marks"))
+    known = docs.where(F.col(key).isNotNull()).join(found, F.col(key) == F.col("_doc"), "left").drop("_doc")
+    met = known.union(docs.where(F.col(key).isNull()).withColumn("_marks", F.lit(None).cast(found.schema["_marks"].dataType)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, rows = batch.column("marks"), batch.num_rows
+            lists, rows = batch.column("_marks"), batch.num_rows
             n_words, n_removed = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             hashes, texts = [], []
             for c in W.chunks(batch.column(text)):
@@ -236,7 +240,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", rewri
             columns += [pa.array(n_words), pa.array(n_removed), pa.array(hashes, pa.string())]
             yield pa.RecordBatch.from_arrays([x.cast(t) if x.type != t else x for x, t in zip(columns, out_schema.types, strict=True)], schema=out_schema)
 
-    return met.select(*(f.name for f in docs.schema if f.name not in ADDED), "marks").mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)
 
 
 def runs(bits: int) -> Iterator[tuple[int, int]]:

@@ -5,7 +5,7 @@ crosses one, so counts add up. Three steps, all over the whole corpus:
 
 1. pre-tokens and their frequencies, summed per Arrow batch before the shuffle;
 2. each distinct pre-token is counted in pieces once;
-3. documents meet the counts: the ``HEAD`` most frequent pre-tokens (a fixed number of rows, each of at
+3. documents meet the counts: the most frequent pre-tokens (at most ``HEAD`` rows, each of at
    most ``HEAD_BYTES``) are broadcast and settled where the text is read; every other (document,
    pre-token, frequency) row is joined to the table of counts by a shuffle. Pieces are then summed.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import words as W
-from tributary.llm.shared import saved
+from tributary.llm.shared import most_frequent, saved
 
 HEAD = 100_000
 HEAD_BYTES = 64
@@ -86,7 +86,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", head: int = HEA
     """The documents with n_bytes and n_tokens. Other columns pass through; text itself is left out."""
     spark = docs.sparkSession
     counts = saved(piece_counts(frequencies(docs, text), path), "pieces")
-    top = counts.where(F.octet_length("piece") <= HEAD_BYTES).orderBy(F.desc("n"), "piece").limit(head).select("piece", "pieces").toArrow()
+    top = most_frequent(counts.where(F.octet_length("piece") <= HEAD_BYTES), "n", head).select("piece", "pieces").toArrow()
     frequent = spark.sparkContext.broadcast((top.column(0).combine_chunks(), top.column(1).to_numpy()))
     others = [f for f in docs.schema if f.name not in (text, "n_bytes", "n_tokens")]
     keyed = docs.select(*(f.name for f in others), F.monotonically_increasing_id().alias("_row"), text)
@@ -119,7 +119,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", head: int = HEA
             # a row for each document, with what is settled; then its rarer pre-tokens
             at = np.concatenate([np.arange(batch.num_rows), *rows]).astype(np.int64)
             n = len(at) - batch.num_rows
-            piece = pa.concat_arrays([pa.nulls(batch.num_rows, pa.string()), *rest])
+            # a document's own row has a key that no pre-token equals, since it holds a space
+            piece = pa.concat_arrays([pc.binary_join_element_wise("row", batch.column("_row").cast(pa.string()), " "), *rest])
             own = [batch.column("_row").take(pa.array(at)), piece, pa.array(np.concatenate([np.ones(batch.num_rows, np.int64), *times])), pa.array(np.concatenate([done, np.zeros(n, np.int64)])), pa.array(np.concatenate([np.diff(offsets), np.zeros(n, np.int64)]))]
             if others:
                 mask = pa.array(np.arange(len(at)) >= batch.num_rows)

@@ -172,12 +172,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def chunks(column: pa.Array, mark: bool = False, size: int = CHUNK) -> Iterator[Words]:
-    """The words of a text column, some megabytes of whole documents at a time."""
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z, all other bytes as they are."""
+    return _lower_table()[data]
+
+
+def chunks(column: pa.Array, mark: bool = False, size: int = CHUNK, lowered: bool = False) -> Iterator[Words]:
+    """The words of a text column, some megabytes of whole documents at a time; mark words are lower case."""
     offsets, data = buffers(column)
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         own = data[offsets[i] : offsets[j]]
-        yield cut(_lower_table()[own] if mark else own, offsets[i : j + 1] - offsets[i], mark, i)
+        yield cut(lower(own) if mark or lowered else own, offsets[i : j + 1] - offsets[i], mark, i)
         i = j
