@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 SEED = 20_240_131
 _U = np.uint64
 
