@@ -57,3 +57,23 @@ def test_scores(spark, vocabulary, head):
 def test_nothing(spark):
     assert lm.op4(cases.frame(spark).limit(0)).count() == 0
     assert [r.score for r in lm.op4(cases.frame(spark, [(1, None, None, None, None)])).collect()] == [0.0]
+
+
+@pytest.mark.parametrize(("head", "head_words"), [(0, 0), (30, 7), (10**5, 40), (10**5, 10**5)])
+def test_no_word_is_merged_with_another(spark, head, head_words):
+    """Whatever is broadcast: the scores are those of a model of all words."""
+    rows = cases.documents() + [(900 + i, f"rare{i} rarer{i} the w1 rare{i} rarer{i}", None, None, 1) for i in range(30)]
+    got = {r.doc_id: r for r in lm.scores(cases.frame(spark, rows), head=head, head_words=head_words).collect()}
+    assert len(got) == len(rows)
+    for (k, *_), (n, seen, score) in zip(rows, brute([cases.space_words(r[1]) for r in rows], 10**9), strict=True):
+        assert (got[k].n_tokens, got[k].n_seen) == (n, seen)
+        assert abs(got[k].score - score) < 1e-6 * max(1, abs(score))
+
+
+def test_rare_words_do_not_vouch_for_each_other(spark):
+    """More distinct words than any table that is broadcast: no bigram occurs twice, so none is seen."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1000)), None, None, 1) for i in range(300)]
+    got = lm.op4(cases.frame(spark, rows)).collect()
+    assert len(got) == 300 and {r.n_seen for r in got} == {0}
+    p = math.log(2 / (300_000 + 300_000 + 1))
+    assert all(abs(r.score - (1000 * p + 999 * math.log(0.4))) < 1e-3 for r in got)

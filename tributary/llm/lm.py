@@ -1,12 +1,12 @@
 """LM scoring: Stupid backoff over n-gram counts of the corpus, computed relationally.
 
-The model is a bigram model with a closed vocabulary: the ``VOCABULARY`` most frequent words have
-numbers, every other word is the unknown word (a class of its own, as in any closed-vocabulary model).
-A bigram is thus an exact key of 2 * 18 bits.
+The model is a bigram model over every word of the corpus. Words and bigrams are keyed by 64-bit hashes
+and both count tables are kept whole, partitioned by key; no word is merged with another.
 
-1. Unigrams: word counts over all documents, summed per batch and then by a shuffle; the vocabulary with
-   its counts is a bounded table and is broadcast.
-2. Bigrams: counts over all documents, partitioned by the hash of their key.
+1. Unigrams: word counts over all documents, summed per batch and then by a shuffle. The ``HEAD_WORDS``
+   most frequent words (bounded) are broadcast as a short cut.
+2. Bigrams: counts over all documents, partitioned by the hash of their key. Words outside the head
+   bring their own counts to the bigrams they are part of by shuffle joins.
 3. Scoring: each document's distinct bigrams with their frequency in it meet the counts. The ``HEAD`` most
    frequent bigrams (bounded) are settled where the text is read; all others are exploded into (document,
    bigram, frequency) rows and joined to the count table by a shuffle. Scores are summed per document.
@@ -17,6 +17,8 @@ log ALPHA + log p(w), p(w) being the smoothed share of w. The first word of a te
 
 Defined cases: null or empty text has no words and score 0 (and no mean); repeated rows are scored each
 on its own and count each time, so exact copies vouch for each other; an empty table scores nothing.
+Results don't depend on the heads. A caller may close the vocabulary (``vocabulary``): the words beyond
+the most frequent ones are then one unknown word. The query doesn't.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ from pyspark.sql import functions as F
 from tributary.llm import words as W
 from tributary.llm.shared import most_frequent, saved
 
-BITS = 18
-VOCABULARY = (1 << BITS) - 2
+HEAD_WORDS = (1 << 18) - 2
 HEAD = 500_000
 ALPHA = 0.4
-#: The number of every word that isn't in the vocabulary.
-UNKNOWN = 0
+#: The hash of the unknown word of a closed vocabulary, and that of what stands before a text.
+UNKNOWN = np.uint64(0)
+START = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -53,18 +55,23 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Unigrams:
-    """Numbers of words, and their counts by number; number 0 is the unknown word."""
+    """Numbers of the frequent words, and their counts by number; number 0 is any other word.
 
-    def __init__(self, known: np.ndarray, counts: np.ndarray, total: int) -> None:
+    Where the vocabulary is closed, other words are the unknown word, whose count is known too.
+    """
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray, total: int, distinct: int, closed: bool = False) -> None:
         order = np.argsort(known)
         self.known = known[order]
-        self.counts = np.concatenate([[max(total - int(counts.sum()), 0)], counts[order]]).astype(np.float64)
-        self.total = total
+        other = max(total - int(counts.sum()), 0) if closed else np.nan
+        self.counts = np.concatenate([[other], counts[order]]).astype(np.float64)
+        self.closed = closed
         # a table by the first bits of the hash tells where to look
         self.shift = np.uint64(64 - 20)
         self.at = np.searchsorted(self.known, np.arange((1 << 20) + 1, dtype=np.uint64) << self.shift if len(self.known) else np.zeros((1 << 20) + 1, np.uint64))
         self.at[-1] = len(self.known)
-        self.log_p = np.log((self.counts + 1) / (total + len(self.counts)))
+        self.size = total + (len(self.known) if closed else distinct) + 1
+        self.log_p = np.log((self.counts + 1) / self.size)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.int64)
@@ -81,57 +88,80 @@ class Unigrams:
             left = left[~same & (place[left] < end[left])]
         return out
 
+    def words(self, c: W.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and number of each word."""
+        numbers = self.numbers(c.hash)
+        return (np.where(numbers > 0, c.hash, UNKNOWN) if self.closed else c.hash), numbers
+
 
-def unigrams(counts: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
-    own = most_frequent(counts, "n", vocabulary).select("w", "n").toArrow()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def unigrams(counts: DataFrame, vocabulary: int | None = None, head: int = HEAD_WORDS) -> Unigrams:
+    own = most_frequent(counts, "n", head if vocabulary is None else vocabulary).select("w", "n").toArrow()
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     w, n = (own.column(i).to_numpy() for i in range(2))
-    return Unigrams(w.astype(np.int64).view(np.uint64), n, int(total))
+    return Unigrams(w.astype(np.int64).view(np.uint64), n, int(total), int(distinct), vocabulary is not None)
 
 
-def pairs(c: W.Words, known: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words by number; document, key and frequency of the distinct bigrams of each document."""
-    numbers = known.numbers(c.hash)
-    at = W.ranges(c.offset[:-1], np.maximum(np.diff(c.offset) - 1, 0))
-    key = (numbers[at] << BITS) | numbers[at + 1]
-    doc = np.searchsorted(c.offset, at, side="right") - 1
-    packed = np.sort((doc << (2 * BITS)) | key)  # a chunk has far fewer than 2^27 documents
-    new = np.flatnonzero(np.append(True, packed[1:] != packed[:-1])) if len(packed) else np.zeros(0, np.int64)
-    distinct = packed[new]
-    return numbers, distinct >> (2 * BITS), distinct & ((1 << 2 * BITS) - 1), np.diff(np.append(new, len(packed)))
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit keys of bigrams."""
+    p = W.powers(2, 2)
+    with np.errstate(over="ignore"):
+        return W.mix(v * p[0] + w * p[1]).view(np.int64)
 
 
-def bigram_counts(docs: DataFrame, known: Broadcast, text: str = "text") -> DataFrame:
-    """(k, c): bigrams that occur twice or more."""
+def neighbours(c: W.Words) -> np.ndarray:
+    """Places of the words that have another after them in their document."""
+    return W.ranges(c.offset[:-1], np.maximum(np.diff(c.offset) - 1, 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = []
-            for c in W.chunks(batch.column(0)):
-                numbers = known.value.numbers(c.hash)
-                at = W.ranges(c.offset[:-1], np.maximum(np.diff(c.offset) - 1, 0))
-                own.append((numbers[at] << BITS) | numbers[at + 1])
-            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["k", "n"])
 
-    return docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("c")).where("c > 1")
+def firsts(c: W.Words) -> np.ndarray:
+    """Places of the first words of the documents that have words."""
+    return c.offset[:-1][np.diff(c.offset) > 0]
 
 
-def contributions(key: np.ndarray, n: np.ndarray, c: np.ndarray, known: Unigrams, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log score of a document's n occurrences of a bigram with count c, and how many of them are seen elsewhere."""
-    left = c - n
-    seen = left > 0
-    history = np.maximum(known.counts[key >> BITS] - n, left)
-    score = np.where(seen, np.log(np.maximum(left, 1) / np.maximum(history, 1)), np.log(alpha) + known.log_p[key & ((1 << BITS) - 1)])
-    return score * n, np.where(seen, n, 0)
+def bigram_counts(docs: DataFrame, known: Broadcast, counts: DataFrame, text: str = "text") -> DataFrame:
+    """(k, c, cv, cw): bigrams that occur twice or more or whose last word is outside the head.
 
+    cv and cw are the counts of their words, where these are outside the head. A first word outside the
+    head is the last word of a bigram with ``START``.
+    """
 
-def scores(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, head: int = HEAD, alpha: float = ALPHA) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(np.zeros(0, np.int64),) * 3]
+            for c in W.chunks(batch.column(0)):
+                h, numbers = known.value.words(c)
+                rare = np.zeros(len(h), bool) if known.value.closed else numbers == 0
+                at, first = neighbours(c), firsts(c)
+                first = first[rare[first]]
+                tail = np.where(rare, h, UNKNOWN).view(np.int64)
+                key = np.concatenate([pair_keys(h[at], h[at + 1]), pair_keys(np.full(len(first), START), h[first])])
+                own.append((key, np.concatenate([tail[at], np.zeros(len(first), np.int64)]), np.concatenate([tail[at + 1], tail[first]])))
+            key, v, w = (np.concatenate(x) for x in zip(*own, strict=True))
+            k, place, n = np.unique(key, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64)), *(pa.array(x[place]) for x in (v, w))], names=["k", "n", "v", "w"])
+
+    pairs = docs.select(text).mapInArrow(run, "k long, n long, v long, w long").groupBy("k").agg(F.sum("n").alias("c"), F.max("v").alias("v"), F.max("w").alias("w"))
+    pairs = pairs.where("c > 1 or w <> 0").withColumn("v", F.when(F.col("c") > 1, F.col("v")).otherwise(0))
+    if known.value.closed:
+        return pairs.select("k", "c", F.lit(None).cast("long").alias("cv"), F.lit(None).cast("long").alias("cw"))
+    pairs = saved(pairs, "pairs")
+    # words outside the head are in few bigrams each, so no key of these joins is hot
+    for word, count in (("v", "cv"), ("w", "cw")):
+        wanted = pairs.where(F.col(word) != 0).select("k", F.col(word).alias("x"))
+        pairs_own = wanted.join(counts.select(F.col("w").alias("x"), F.col("n").alias(count)), "x").select("k", count)
+        found = pairs_own if word == "v" else found.join(pairs_own, "k", "full")
+    return pairs.select("k", "c").join(found, "k", "left")
+
+
+def scores(docs: DataFrame, text: str = "text", vocabulary: int | None = None, head: int = HEAD, alpha: float = ALPHA, head_words: int = HEAD_WORDS) -> DataFrame:
     """Every row with n_tokens, n_seen (bigrams that occur elsewhere), score (log) and mean_score; without the text."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(unigrams(saved(word_counts(docs, text), "words"), vocabulary))
-    table = saved(bigram_counts(docs, known, text), "bigrams")
-    top = most_frequent(table, "c", head).toArrow()
+    counts = saved(word_counts(docs, text), "words")
+    uni = unigrams(counts, vocabulary, head_words)
+    known = spark.sparkContext.broadcast(uni)
+    table = saved(bigram_counts(docs, known, counts, text), "bigrams")
+    # a bigram of a word outside the head is settled by the join
+    top = most_frequent(table.where("cv is null and cw is null"), "c", head).select("k", "c").toArrow()
     order = np.argsort(top.column(0).to_numpy())
     frequent = spark.sparkContext.broadcast((top.column(0).to_numpy()[order], top.column(1).to_numpy()[order]))
     added = ["n_tokens", "n_seen", "score", "mean_score"]
@@ -139,54 +169,65 @@ def scores(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, he
     keyed = docs.select(*(f.name for f in others), F.monotonically_increasing_id().alias("_row"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (keys, counts) = known.value, frequent.value
+        own, (keys, c_of) = known.value, frequent.value
         for batch in batches:
             rows = batch.column("_row").to_numpy()
             for c in W.chunks(batch.column(text)):
-                numbers, doc, key, n = pairs(c, own)
+                h, numbers = own.words(c)
+                size, at = c.n_docs, neighbours(c)
+                doc = np.searchsorted(c.offset, at, side="right") - 1
+                key = pair_keys(h[at], h[at + 1])
+                ordered = np.lexsort((key, doc))
+                new = np.flatnonzero(np.append(True, (key[ordered][1:] != key[ordered][:-1]) | (doc[ordered][1:] != doc[ordered][:-1]))) if len(key) else np.zeros(0, np.int64)
+                n = np.diff(np.append(new, len(key)))
+                at, doc, key = (x[ordered[new]] for x in (at, doc, key))
+                cv, lp = own.counts[numbers[at]], own.log_p[numbers[at + 1]]
                 place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                 hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
-                part, seen = contributions(key[hit], n[hit], counts[place[hit]], own, alpha)
-                score = np.bincount(doc[hit], part, c.n_docs).astype(np.float64)
-                n_seen = np.bincount(doc[hit], seen, c.n_docs).astype(np.int64)
-                some = np.flatnonzero(np.diff(c.offset) > 0)
-                score[some] += own.log_p[numbers[c.offset[:-1][some]]]
-                # a row per document (under a key that no bigram has), then one per bigram to be joined
+                left = (c_of[place[hit]] if len(keys) else np.zeros(0, np.int64)) - n[hit]
+                seen = left > 0
+                part = np.where(seen, np.log(np.maximum(left, 1) / np.maximum(np.maximum(cv[hit] - n[hit], left), 1)), np.log(alpha) + lp[hit]) * n[hit]
+                score = np.bincount(doc[hit], part, size).astype(np.float64)
+                n_seen = np.bincount(doc[hit], np.where(seen, n[hit], 0), size).astype(np.int64)
+                # a row per document, to be joined where its first word is outside the head; then one per bigram to be joined
+                mine = rows[c.first : c.first + size]
+                anchor, some, first = -1 - mine, np.flatnonzero(np.diff(c.offset) > 0), firsts(c)
+                settled = ~np.isnan(own.log_p[numbers[first]])
+                score[some[settled]] += own.log_p[numbers[first[settled]]]
+                anchor[some[~settled]] = pair_keys(np.full(int((~settled).sum()), START), h[first[~settled]])
+                wait = np.zeros(size, np.int64)
+                wait[some[~settled]] = -1
                 rest = ~hit
-                mine = rows[c.first : c.first + c.n_docs]
-                size, more = c.n_docs, int(rest.sum())
-                both = lambda a, b: pa.array(np.concatenate([a, b]))
+                more = int(rest.sum())
+                both = lambda a, b: pa.array(np.concatenate([a, b]), from_pandas=True)
                 out = [
                     both(mine, mine[doc[rest]]),
-                    both(-1 - mine, key[rest]),
-                    both(np.zeros(size, np.int64), n[rest]),
+                    both(anchor, key[rest]),
+                    both(wait, n[rest]),
                     both(np.diff(c.offset), np.zeros(more, np.int64)),
                     both(n_seen, np.zeros(more, np.int64)),
                     both(score, np.zeros(more)),
+                    both(np.full(size, np.nan), cv[rest]),
+                    both(np.full(size, np.nan), lp[rest]),
                 ]
                 for f in others:
                     column = batch.column(f.name).slice(c.first, size)
                     out.append(pa.concat_arrays([column, pa.nulls(more, column.type)]))
-                yield pa.RecordBatch.from_arrays(out, names=["_row", "_k", "_n", "_tokens", "_seen", "_score", *(f.name for f in others)])
+                yield pa.RecordBatch.from_arrays(out, names=["_row", "_k", "_n", "_tokens", "_seen", "_score", "_cv", "_lp", *(f.name for f in others)])
 
-    kinds = ", ".join(["_row long, _k long, _n long, _tokens long, _seen long, _score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)])
+    kinds = ", ".join(["_row long, _k long, _n long, _tokens long, _seen long, _score double, _cv double, _lp double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)])
     met = keyed.mapInArrow(run, kinds).join(table.withColumnRenamed("k", "_k"), "_k", "left")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = known.value
-        for batch in batches:
-            key, n = batch.column("_k").to_numpy(), batch.column("_n").to_numpy()
-            c = batch.column("c").fill_null(1).to_numpy()  # once in all: here
-            real = n > 0
-            score, seen = batch.column("_score").to_numpy().copy(), batch.column("_seen").to_numpy().copy()
-            part, more = contributions(key[real], n[real], c[real], own, alpha)
-            score[real] += part
-            seen[real] += more
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_tokens"), pa.array(seen), pa.array(score), *(batch.column(f.name) for f in others)], names=["_row", "_tokens", "_seen", "_score", *(f.name for f in others)])
-
-    kinds = ", ".join(["_row long, _tokens long, _seen long, _score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)])
-    done = met.select("_row", "_k", "_n", "_tokens", "_seen", "_score", *(f.name for f in others), "c").mapInArrow(finish, kinds)
-    total = done.groupBy("_row").agg(F.sum("_tokens").alias("n_tokens"), F.sum("_seen").alias("n_seen"), F.sum("_score").alias("score"), *(F.max(f.name).alias(f.name) for f in others))
+    n, left = F.col("_n"), F.coalesce("c", F.lit(1)) - F.col("_n")  # once in all: here
+    seen = (n > 0) & (left > 0)
+    log_p = F.coalesce("_lp", F.log((F.col("cw") + 1) / F.lit(float(uni.size))))
+    history = F.greatest(F.coalesce("_cv", F.col("cv").cast("double")) - n, left.cast("double"))
+    part = F.when(seen, n * F.log(left / history)).when(n > 0, n * (F.lit(float(np.log(alpha))) + log_p)).when(n < 0, log_p).otherwise(0.0)
+    total = met.groupBy("_row").agg(
+        F.sum("_tokens").alias("n_tokens"),
+        F.sum(F.col("_seen") + F.when(seen, n).otherwise(0)).alias("n_seen"),
+        F.sum(F.col("_score") + part).alias("score"),
+        *(F.max(f.name).alias(f.name) for f in others),
+    )
     return total.select(*(f.name for f in others), "n_tokens", "n_seen", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
