@@ -76,3 +76,10 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 50), (60, 61), (61, 60)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 60, 61: 60}
+
+
+def test_rows_without_an_id_stay(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text, "en", "s", 1), (None, "clean and unique words of some other kind", "en", "s", 2), (None, None, None, None, None), (3, text, "en", "s", 1), (4, text, "en", "s", 1)]
+    got = [tuple(r) for r in near_dup.stage(cases.frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(rows[:4], key=str)
