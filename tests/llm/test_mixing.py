@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -79,3 +79,20 @@ def test_awkward_tables(spark):
     assert mixing.op8(cases.frame(spark).limit(0)).count() == 0
     rows = [(1, "a b c", None, None, 1)] * 3 + [(None, "a b", None, "x", 1), (2, None, None, "x", 1)]
     assert len(mixing.op8(cases.frame(spark, rows)).collect()) == 5
+
+
+def test_rows_without_an_own_id_stay_themselves(spark):
+    rng = random.Random(9)
+    rows = [(i, cases.sentence(rng, rng.randrange(1, 60)), "en", "ab"[i % 2], i) for i in range(60)]
+    rows += [(None, cases.sentence(rng, rng.randrange(1, 60)), "en", "a", 100 + i) for i in range(40)]  # null ids
+    rows += [(1000 + i % 7, cases.sentence(rng, rng.randrange(1, 60)), "de", "b", 200 + i) for i in range(40)]  # one id, several texts
+    rows += [(2000, "equal rows of one id", "en", "c", 300)] * 9
+    got = mixing.stage(cases.frame(spark, rows)).collect()
+    have, took = Counter(rows), Counter(tuple(r)[:5] for r in got)
+    assert all(n <= have[r] for r, n in took.items())
+    assert any(r.doc_id is None for r in got)
+    want = water({s: sum(len(cases.space_words(r[1])) for r in rows if r[3] == s) for s in "abc"})
+    for s in want:
+        words = [(len(cases.space_words(r.text)), r) for r in got if r.source == s]
+        assert all(r.size == n and r.taken == n * r.times for n, r in words)
+        assert abs(sum(r.taken for _, r in words) - want[s]) <= 4

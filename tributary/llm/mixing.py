@@ -105,10 +105,10 @@ def cells(rows: DataFrame, state: DataFrame, level: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, key: str = "doc_id") -> DataFrame:
-    """Of a table with `key`, source and size: these, with source_size, target, taken and times."""
+def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Of a table with `key`, source and size: these, with source_size, target, taken and times, and the carried columns."""
     span = 1 << (BITS * LEVELS)
-    rows = saved(docs.select(key, "source", "size", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(span)).alias("place")), "lengths")
+    rows = saved(docs.select(key, "source", "size", *carried, F.pmod(F.xxhash64(F.lit(seed), key), F.lit(span)).alias("place")), "lengths")
     own = targets(rows, share, weights, most)
     counts = rows.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "_c")
     times = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
@@ -130,11 +130,11 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
 
     kind = rows.schema["source"].dataType.simpleString()
     chosen = lengths.groupBy("_source").applyInPandas(best, f"_s {kind}, _size long, _k long")
-    order = F.row_number().over(Window.partitionBy("_source", "size").orderBy("place", key))
+    order = F.row_number().over(Window.partitionBy("_source", "size").orderBy("place", key, *(F.xxhash64(c) for c in carried)))
     ranked = pool.withColumn("_rank", order)
     picked = ranked.join(chosen, ranked["_source"].eqNullSafe(chosen["_s"]) & (ranked["size"] == chosen["_size"]), "left").withColumn("more", (F.coalesce("_k", F.lit(0)) >= F.col("_rank")).cast("long"))
     rest = met.where((F.col("place") < F.col("lo")) | (F.col("place") >= F.col("hi"))).withColumn("more", (F.col("place") < F.col("lo")).cast("long"))
-    out = [x.select(key, "source", "size", "source_size", "target", (F.col("times") + F.col("more")).alias("times")) for x in (picked, rest)]
+    out = [x.select(key, "source", "size", "source_size", "target", *carried, (F.col("times") + F.col("more")).alias("times")) for x in (picked, rest)]
     return out[0].union(out[1]).withColumn("taken", F.col("times") * F.col("size"))
 
 
@@ -144,6 +144,8 @@ def op8(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The mix: each document that is taken, once, with how often (``times``) and what the contract gives."""
-    sized = with_sizes(docs.drop("size", "source_size", "target", "taken", "times"))
-    chosen = mix(sized).where("times > 0").select("doc_id", "size", "source_size", "target", "taken", "times").distinct()
-    return docs.join(chosen, "doc_id").select(*docs.columns, "size", "source_size", "target", "taken", "times")
+    added = ["size", "source_size", "target", "taken", "times"]
+    own = docs.drop(*added)
+    # the whole row goes through the mix: a doc_id may be null or occur again
+    sized = with_sizes(own.select("doc_id", "source", "text", F.struct(*own.columns).alias("_whole"))).drop("text")
+    return mix(sized, carried=("_whole",)).where("times > 0").select("_whole.*", *added)
