@@ -102,3 +102,14 @@ def test_token_counts(spark):
         want = sorted((k, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for k, x, *_ in rows)
         assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
     assert token_counts.op5(cases.frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard_words", [4, decontaminate.SHARD_WORDS])
+def test_items_without_an_id_hit(spark, shard_words):
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(1, f"before {passage} after", None, None, 1), (2, "nothing of the kind", None, None, 1), (3, "Other Item here", None, None, 1)]
+    bench = spark.createDataFrame([(None, passage), (None, "unrelated words"), (7, "other item")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(cases.frame(spark, rows), bench, shard_words=shard_words).collect()}
+    assert got == {1: (14, []), 2: (0, []), 3: (2, ["7"])}
+    out = {r.doc_id: r for r in decontaminate.op9(cases.frame(spark, rows), bench).collect()}
+    assert (out[1].n_items, out[1].contaminated, out[1].items_sha256) == (0, True, out[2].items_sha256)

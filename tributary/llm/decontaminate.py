@@ -9,7 +9,7 @@ match, since these are the first two transitions of the automaton. They are foun
 at a time with hash tables; the automaton then walks the real words of those stretches.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no window;
-items may repeat (every item_id is reported); an empty benchmark hits nothing; other columns of the
+items may repeat (every item_id is reported); an item without an id hits, but has no id to report; an empty benchmark hits nothing; other columns of the
 documents are passed through, but for the added ones, which replace columns of the same name.
 """
 
@@ -36,7 +36,7 @@ MAX_COVERAGE = 0.5
 class Items:
     """The automaton of one shard of items, with what the stream needs to know of each state."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         self.window = window
         self.automaton = sam = SuffixAutomaton()
         self.ids = [k for k, _ in items]
@@ -139,7 +139,7 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int, text: str) -> DataFrame:
+def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int, text: str) -> DataFrame:
     """One pass of the documents against one shard of items; earlier spans and items are kept."""
     again = "spans" in docs.columns
     others = [f for f in docs.schema if f.name not in ADDED.names]
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int, text
                 for d, (at, ids) in by_doc.items():
                     k = c.first + d
                     spans[k] = merged([*at, *zip(spans[k][::2], spans[k][1::2], strict=True)])
-                    found[k] = sorted({*found[k], *(own.ids[i] for i in ids)})
+                    found[k] = sorted({*found[k], *(own.ids[i] for i in ids if own.ids[i] is not None)})
             n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
             columns = [batch.column(f.name) for f in others] + [pa.array(n_words), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([x.cast(t) if x.type != t else x for x, t in zip(columns, out_schema.types, strict=True)], schema=out_schema)
@@ -177,12 +177,12 @@ def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int, text
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents with n_words, n_hit, spans (flat word places, end excluded) and items (ids, as strings)."""
     docs = docs.drop(*ADDED.names)
-    items = benchmark.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t")).where("k is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.coalesce(F.length("t"), F.lit(0)))).first()[0] or 0
     shards = max(1, -(-size // (6 * shard_words)))
     out = docs
     for s in range(shards):
-        own = items if shards == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == s)
+        own = items if shards == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(shards)) == s)
         out = scan(out, [(r.k, r.t) for r in own.collect()], window, text)
     return out
 
