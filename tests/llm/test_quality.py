@@ -46,3 +46,17 @@ def test_outliers_go_and_clean_documents_stay(spark):
             assert got[i].kept == bool(i % 9), (i, got[i].distance, got[i].n_words)
     kept = quality.stage(cases.frame(spark, rows))
     assert kept.columns == cases.frame(spark, rows).columns and kept.count() == sum(r.kept for r in got.values())
+
+
+def test_short_junk_goes_too(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for i in range(400):
+        words = [word() for _ in range(rng.randrange(12, 400))]
+        junk = i % 9 == 0
+        rows.append((i, " ".join(w + rng.choice(["###", "$$$", "%%%"]) * junk for w in words), "en" if i % 2 else "de", f"s{i % 3}" if i > 30 else f"rare{i}", 0))
+    got = {r.doc_id: r for r in quality.quality(cases.frame(spark, rows)).collect()}
+    for i in range(400):
+        if not got[i].base_failed:
+            assert got[i].kept == bool(i % 9), (i, got[i].distance, got[i].n_words)

@@ -2,8 +2,8 @@
 
 DataFrame functions only. The statistics of a text are expressions over its words; from them comes a
 vector of variance-stabilised rates (arcsine of the square root of the symbol, repeated-line and
-repeated-word rates, and the log of the mean word length), centred on its group's median and shrunk
-for short texts, whose rates say little. For every group, concentration steps then look for the
+repeated-word rates, and the log of the mean word length), centred on its group's median. A rate of a
+short text says little: its own sampling variance is added to the group's. For every group, concentration steps then look for the
 ``H_SHARE`` of rows with the smallest covariance determinant: distances, their quantile, moments of
 the rows below it, again. The final squared Mahalanobis distance is held against ``CUT``.
 
@@ -34,13 +34,13 @@ MAX_REPEAT_PERCENT = 20
 MIN_GROUP = 50
 H_SHARE = 0.5
 STEPS = 3
-#: Squared distance beyond which a vector is rejected; chi-square of 4 degrees exceeds it with 1e-8.
-CUT = 43.0
+#: Squared distance beyond which a vector is rejected; chi-square of 4 degrees exceeds it with 1e-4.
+CUT = 23.513
 CHI2_MEDIAN = 3.357
-#: Texts of so many words have half the weight of a long one.
-SHRINK_WORDS = 100
-#: Least standard deviation of each part of the vector: smaller differences don't make an outlier.
-FLOORS = (0.07, 0.20, 0.12, 0.06)
+#: Least standard deviation of each part of the vector, against division by nothing.
+FLOORS = (0.01, 0.01, 0.01, 0.01)
+#: Words that are counted as repeated come in two windows of five at least.
+REPEAT_BLOCK = 10
 DIMS = range(len(FLOORS))
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -117,6 +117,11 @@ def vector() -> list[Column]:
     return [rate("n_symbols", "word_chars"), rate("n_dup_lines", "_n_lines"), rate("n_repeat_words", "n_words"), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1)))]
 
 
+def sampling() -> list[Column]:
+    """Sampling variance of each part of the vector: 1 / (4 n) for the arcsine of the root of a rate of n."""
+    return [1 / (4.0 * F.greatest(n, F.lit(1))) for n in (F.col("word_chars"), F.col("_n_lines"), F.col("n_words") / REPEAT_BLOCK, F.col("n_words"))]
+
+
 def pooled(df: DataFrame) -> DataFrame:
     """df with ``_pool``: its language and source, or the pool that takes small groups."""
     own = F.to_json(F.struct(F.col("lang").alias("lang"), F.col("source").alias("source")))
@@ -150,43 +155,44 @@ def log_distance() -> Column:
     return F.log2(F.col("_d2") + 1e-6)
 
 
-def distance(z: list[Column]) -> Column:
-    """Squared Mahalanobis distance by forward substitution in the Cholesky factor of the model."""
-    solved: list[Column] = []
+def with_distance(df: DataFrame) -> DataFrame:
+    """df with ``_d2``: squared Mahalanobis distance, the covariance being the model's and the row's sampling variance.
+
+    Forward substitution in the Cholesky factor of each row.
+    """
     for i in DIMS:
-        rest = reduce(add, (F.col(f"l{i}{j}") * solved[j] for j in range(i)), F.lit(0.0))
-        solved.append((z[i] - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}"))
-    return reduce(add, (y * y for y in solved))
+        for j in range(i + 1):
+            rest = reduce(add, (F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
+            if i == j:
+                own = F.sqrt(F.greatest(F.col(f"c{i}{i}") - rest, F.lit(0.0)) + FLOORS[i] ** 2 + F.col(f"v{i}"))
+            else:
+                own = (F.col(f"c{i}{j}") - rest) / F.col(f"_l{j}{j}")
+            df = df.withColumn(f"_l{i}{j}", own)
+        rest = reduce(add, (F.col(f"_l{i}{j}") * F.col(f"_y{j}") for j in range(i)), F.lit(0.0))
+        df = df.withColumn(f"_y{i}", (F.col(f"z{i}") - F.col(f"m{i}") - rest) / F.col(f"_l{i}{i}"))
+    return df.withColumn("_d2", reduce(add, (F.col(f"_y{i}") * F.col(f"_y{i}") for i in DIMS))).drop(*(f"_y{i}" for i in DIMS), *(f"_l{i}{j}" for i in DIMS for j in range(i + 1)))
 
 
 def moments(df: DataFrame) -> DataFrame:
-    """Per pool: mean and Cholesky factor of the covariance of the rows, with the floors on its diagonal."""
+    """Per pool: mean and covariance of the rows."""
     z = [F.col(f"z{i}") for i in DIMS]
-    out = df.groupBy("_pool").agg(
+    return df.groupBy("_pool").agg(
         F.count("*").alias("n"),
         *(F.avg(z[i]).alias(f"m{i}") for i in DIMS),
         *((F.covar_pop(z[i], z[j]) if i != j else F.var_pop(z[i])).alias(f"c{i}{j}") for i in DIMS for j in range(i + 1)),
     )
-    for i in DIMS:
-        for j in range(i + 1):
-            rest = reduce(add, (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            if i == j:
-                out = out.withColumn(f"l{i}{i}", F.sqrt(F.greatest(F.col(f"c{i}{i}") - rest, F.lit(0.0)) + FLOORS[i] ** 2))
-            else:
-                out = out.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - rest) / F.col(f"l{j}{j}"))
-    return out.select("_pool", "n", *(f"m{i}" for i in DIMS), *(f"l{i}{j}" for i in DIMS for j in range(i + 1)))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Per pool: the robust model. rows: _pool and z0, z1, ..."""
+    """Per pool: the robust model. rows: _pool, z0, z1, ... and v0, v1, ..."""
     z = [F.col(f"z{i}") for i in DIMS]
-    start = reduce(add, (F.pow(z[i] / (2 * FLOORS[i]), 2) for i in DIMS))
+    start = reduce(add, (F.pow(z[i], 2) / (FLOORS[i] + F.col(f"v{i}")) for i in DIMS))
     near = rows.withColumn("_d2", start)
     model = None
     for step in range(STEPS + 1):
         cut = saved(histogram_quantiles(near, [log_distance()], 1 / 64, [0.5 if step == 0 else H_SHARE]), "cut")
         model = saved(moments(near.join(cut, "_pool").where(log_distance() <= F.col("q_0_0"))), "model")
-        near = rows.join(model.drop("n"), "_pool").withColumn("_d2", distance(z))
+        near = with_distance(rows.join(model.drop("n"), "_pool"))
     # rows in the middle of the distances lie where chi-square has its median, or nearer
     middle = histogram_quantiles(near, [log_distance()], 1 / 64, [0.5])
     sizes = rows.groupBy("_pool").agg(F.count("*").alias("rows"))
@@ -210,12 +216,12 @@ def judged(rows: DataFrame) -> DataFrame:
     v = vector()
     scored = rows.withColumns({f"x{i}": v[i] for i in DIMS})
     medians = saved(histogram_quantiles(scored, [F.col(f"x{i}") for i in DIMS], 0.002, [0.5]), "medians")
-    weight = F.sqrt(F.col("n_words") / (F.col("n_words") + SHRINK_WORDS))
-    scored = scored.join(medians, "_pool").withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"q_{i}_0")) * weight for i in DIMS})
+    v = sampling()
+    scored = scored.join(medians, "_pool").withColumns({f"z{i}": F.col(f"x{i}") - F.col(f"q_{i}_0") for i in DIMS}).withColumns({f"v{i}": v[i] for i in DIMS})
     scored = scored.drop(*(f"q_{i}_0" for i in DIMS), *(f"x{i}" for i in DIMS))
-    model = estimates(scored.where(~base_failed()).select("_pool", *(f"z{i}" for i in DIMS)))
-    d2 = F.when(F.col("rows") >= MIN_GROUP, distance([F.col(f"z{i}") for i in DIMS]) / F.col("scale"))
-    return scored.join(model, "_pool", "left").withColumn("distance", d2).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
+    model = estimates(scored.where(~base_failed()).select("_pool", *(f"{x}{i}" for x in "zv" for i in DIMS)))
+    d2 = F.when(F.col("rows") >= MIN_GROUP, F.col("_d2") / F.col("scale"))
+    return with_distance(scored.join(model, "_pool", "left")).withColumn("distance", d2).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
 
 
 def op6(docs: DataFrame) -> DataFrame:
