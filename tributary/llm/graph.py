@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import saved
+from tributary.llm.shared import release, saved
 
 #: Edges for a task of a round: the tables are narrow, and a task that writes a handful of rows only costs time.
 PER_TASK = 20_000
@@ -25,10 +25,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = saved(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("component")).coalesce(tasks), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
+        step = labels.select("node", "component").join(near, F.col("node") == F.col("u")).select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
         new = saved(step.join(jump, "next").select("node", F.least("next", "further").alias("component"), "was").coalesce(tasks), "labels")
         changed = new.where(F.col("component") < F.col("was")).limit(1).count()
-        labels = new.select("node", "component")
+        release(labels)
+        labels = new
         if not changed:
-            return labels
+            release(both)
+            return labels.select("node", "component")

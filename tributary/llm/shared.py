@@ -22,14 +22,16 @@ def bounded(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session, or what was given to ``setCheckpointDir``."""
     bounded(spark)
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not own:
-        own = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.sparkContext.setCheckpointDir(own)
-        own = spark.sparkContext.getCheckpointDir() or own
-    return own.rstrip("/")
+    if own:
+        return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+    # one machine only: driver and executors share the folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +39,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove saved tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
