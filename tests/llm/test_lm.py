@@ -11,69 +11,48 @@ from tests.llm import cases
 from tributary.llm import lm
 
 
-def brute(texts: list[list[str]], vocabulary: int, alpha: float = 0.4):
-    counts = Counter(w for t in texts for w in t)
-    by_n = Counter()  # the vocabulary takes whole levels of frequency
-    for n in counts.values():
-        by_n[math.floor(math.log2(n) * 64)] += 1
-    room, least = vocabulary, None
-    for level in sorted(by_n, reverse=True):
-        if by_n[level] > room:
-            break
-        room, least = room - by_n[level], level
-    known = {w for w, n in counts.items() if least is not None and math.floor(math.log2(n) * 64) >= least}
-    total = sum(counts.values())
-    texts = [[w if w in known else None for w in t] for t in texts]
+def brute(texts: list[list[str]], alpha: float = 0.4):
     uni = Counter(w for t in texts for w in t)
     bi = Counter(p for t in texts for p in zip(t, t[1:]))
-    p = lambda w: math.log((uni[w] + 1) / (total + len(known) + 1))
+    total = sum(uni.values())
     out = []
     for t in texts:
-        score, seen = (p(t[0]) if t else 0.0), 0
-        own = Counter(zip(t, t[1:]))
+        score, seen = (math.log(uni[t[0]] / total) if t else 0.0), 0
+        own, mine = Counter(zip(t, t[1:])), Counter(t)
         for (v, w), n in own.items():
             left = bi[v, w] - n
             if left > 0:
-                score += n * math.log(left / max(uni[v] - n, left))
+                score += n * math.log(left / (uni[v] - mine[v]))
                 seen += n
             else:
-                score += n * (math.log(alpha) + p(w))
+                score += n * math.log(alpha * uni[w] / total)
         out.append((len(t), seen, score))
     return out
 
 
-@pytest.mark.parametrize(("vocabulary", "head"), [(10**5, 0), (10**5, 20), (12, 10**5)])
-def test_scores(spark, vocabulary, head):
-    rows = cases.documents()
-    docs = cases.frame(spark, rows).selectExpr("doc_id", "text", "lang", "1 as score")
-    got = {r.doc_id: r for r in lm.scores(docs, vocabulary=vocabulary, head=head).collect()}
-    assert len(got) == len(rows)
-    for (k, _, lang, *_), (n, seen, score) in zip(rows, brute([cases.space_words(r[1]) for r in rows], vocabulary), strict=True):
-        assert (got[k].n_tokens, got[k].n_seen, got[k].lang) == (n, seen, lang)
-        assert abs(got[k].score - score) < 1e-6 * max(1, abs(score))
-        assert (got[k].mean_score is None) == (n == 0)
-
-
 def test_nothing(spark):
     assert lm.op4(cases.frame(spark).limit(0)).count() == 0
     assert [r.score for r in lm.op4(cases.frame(spark, [(1, None, None, None, None)])).collect()] == [0.0]
 
 
-@pytest.mark.parametrize(("head", "head_words"), [(0, 0), (30, 7), (10**5, 40), (10**5, 10**5)])
-def test_no_word_is_merged_with_another(spark, head, head_words):
-    """Whatever is broadcast: the scores are those of a model of all words."""
+@pytest.mark.parametrize(("head", "head_words", "bits"), [(0, 0, 6), (30, 7, 8), (10**5, 40, 20), (10**5, 10**5, 27)])
+def test_scores_do_not_depend_on_what_is_broadcast(spark, head, head_words, bits):
+    """All words are kept, and the heads and the bitmap are short cuts only."""
     rows = cases.documents() + [(900 + i, f"rare{i} rarer{i} the w1 rare{i} rarer{i}", None, None, 1) for i in range(30)]
-    got = {r.doc_id: r for r in lm.scores(cases.frame(spark, rows), head=head, head_words=head_words).collect()}
+    rows += [(950 + i, f"twice{i // 2} thrice{i // 2} w1 w2", None, None, 1) for i in range(10)]
+    docs = cases.frame(spark, rows).selectExpr("*", "1 as score", "2 as _row", "3 as key")
+    got = {r.doc_id: r for r in lm.scores(docs, head=head, head_words=head_words, filter_bits=bits).collect()}
     assert len(got) == len(rows)
-    for (k, *_), (n, seen, score) in zip(rows, brute([cases.space_words(r[1]) for r in rows], 10**9), strict=True):
+    for (k, *_), (n, seen, score) in zip(rows, brute([cases.space_words(r[1]) for r in rows]), strict=True):
         assert (got[k].n_tokens, got[k].n_seen) == (n, seen)
         assert abs(got[k].score - score) < 1e-6 * max(1, abs(score))
+        assert (got[k].mean_score is None) == (n == 0)
 
 
 def test_rare_words_do_not_vouch_for_each_other(spark):
-    """More distinct words than any table that is broadcast: no bigram occurs twice, so none is seen."""
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1000)), None, None, 1) for i in range(300)]
-    got = lm.op4(cases.frame(spark, rows)).collect()
-    assert len(got) == 300 and {r.n_seen for r in got} == {0}
-    p = math.log(2 / (300_000 + 300_000 + 1))
+    """More distinct words than the head holds: no bigram occurs twice, so none is seen."""
+    rows = [(i if i else None, " ".join(f"w{i}x{j}" for j in range(1000)), None, None, 1) for i in range(300)]
+    got = lm.scores(cases.frame(spark, rows), head_words=1000).collect()
+    assert len(got) == 300 and {r.n_seen for r in got} == {0} and {r.doc_id for r in got} == {None, *range(1, 300)}
+    p = math.log(1 / 300_000)
     assert all(abs(r.score - (1000 * p + 999 * math.log(0.4))) < 1e-3 for r in got)

@@ -1,24 +1,27 @@
 """LM scoring: Stupid backoff over n-gram counts of the corpus, computed relationally.
 
-The model is a bigram model over every word of the corpus. Words and bigrams are keyed by 64-bit hashes
-and both count tables are kept whole, partitioned by key; no word is merged with another.
+The model is a bigram model over every word of the corpus:
 
-1. Unigrams: word counts over all documents, summed per batch and then by a shuffle. The ``HEAD_WORDS``
-   most frequent words (bounded) are broadcast as a short cut.
-2. Bigrams: counts over all documents, partitioned by the hash of their key. Words outside the head
-   bring their own counts to the bigrams they are part of by shuffle joins.
-3. Scoring: each document's distinct bigrams with their frequency in it meet the counts. The ``HEAD`` most
-   frequent bigrams (bounded) are settled where the text is read; all others are exploded into (document,
-   bigram, frequency) rows and joined to the count table by a shuffle. Scores are summed per document.
+    S(w | v) = c(v w) / c(v)          if the bigram occurs elsewhere,
+               ALPHA * n(w) / N       if not, and n(w) / N for the first word of a text.
 
-A document's own occurrences of a bigram are taken out of its counts, so that a text does not vouch for
-itself. What is left of c(v w) gives log (c(v w) / c(v)); where nothing is left the score backs off to
-log ALPHA + log p(w), p(w) being the smoothed share of w. The first word of a text has log p(w).
+A document's own occurrences are taken out of both c(v w) and c(v), so that a text does not vouch for
+itself; the end of the chain, n(w) / N, is of the whole corpus, since a word that nothing else has would
+have no score there. Words and bigrams are keyed by 64-bit hashes; no word is merged with another.
+
+1. Count tables: words, and bigrams that occur twice or more, each partitioned by the hash of its key.
+   The ``HEAD_WORDS`` most frequent words (bounded) are broadcast as a short cut; rows of the bigram
+   table that have other words carry the counts of these.
+2. Scoring: every token starts at the end of the chain, and a bigram that occurs elsewhere lifts it. The
+   ``HEAD`` most frequent bigrams (bounded) are settled where the text is read. A bitmap of fixed size
+   tells most bigrams that occur once from the others; those that may occur twice, and the words outside
+   the head, are exploded into (row, key, frequency) rows and joined to the count tables by one shuffle.
+3. Parts are summed per row.
 
 Defined cases: null or empty text has no words and score 0 (and no mean); repeated rows are scored each
-on its own and count each time, so exact copies vouch for each other; an empty table scores nothing.
-Results don't depend on the heads. A caller may close the vocabulary (``vocabulary``): the words beyond
-the most frequent ones are then one unknown word. The query doesn't.
+on its own and count each time, so exact copies vouch for each other; null keys are kept; an empty table
+scores nothing; other columns are left out, so none can clash. Results don't depend on the heads or on
+the bitmap.
 """
 
 from __future__ import annotations
@@ -34,12 +37,11 @@ from pyspark.sql import functions as F
 from tributary.llm import words as W
 from tributary.llm.shared import most_frequent, saved
 
-HEAD_WORDS = (1 << 18) - 2
+HEAD_WORDS = 1 << 18
 HEAD = 500_000
 ALPHA = 0.4
-#: The hash of the unknown word of a closed vocabulary, and that of what stands before a text.
-UNKNOWN = np.uint64(0)
-START = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the bitmap of repeated bigrams, as a power of two: 16 MB at any size of the corpus.
+FILTER_BITS = 27
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -54,58 +56,42 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-class Unigrams:
-    """Numbers of the frequent words, and their counts by number; number 0 is any other word.
-
-    Where the vocabulary is closed, other words are the unknown word, whose count is known too.
-    """
+class Table:
+    """Counts of some hashes, to be looked up."""
 
-    def __init__(self, known: np.ndarray, counts: np.ndarray, total: int, distinct: int, closed: bool = False) -> None:
-        order = np.argsort(known)
-        self.known = known[order]
-        other = max(total - int(counts.sum()), 0) if closed else np.nan
-        self.counts = np.concatenate([[other], counts[order]]).astype(np.float64)
-        self.closed = closed
-        # a table by the first bits of the hash tells where to look
-        self.shift = np.uint64(64 - 20)
-        self.at = np.searchsorted(self.known, np.arange((1 << 20) + 1, dtype=np.uint64) << self.shift if len(self.known) else np.zeros((1 << 20) + 1, np.uint64))
-        self.at[-1] = len(self.known)
-        self.size = total + (len(self.known) if closed else distinct) + 1
-        self.log_p = np.log((self.counts + 1) / self.size)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = 20) -> None:
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order].astype(np.int64)
+        # the first bits of a hash tell where to look
+        self.shift = np.uint64(64 - bits)
+        self.at = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.at = np.append(self.at, len(self.keys))
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts; 0 of what is not in the table."""
         out = np.zeros(len(hashes), np.int64)
-        if not len(self.known):
-            return out
         bucket = (hashes >> self.shift).astype(np.int64)
         place, end = self.at[bucket], self.at[bucket + 1]
         left = np.flatnonzero(place < end)
-        while len(left):  # buckets hold a few words each
+        while len(left):  # buckets hold a few keys each
             here = place[left]
-            same = self.known[here] == hashes[left]
-            out[left[same]] = here[same] + 1
+            same = self.keys[here] == hashes[left]
+            out[left[same]] = self.counts[here[same]]
             place[left] += 1
             left = left[~same & (place[left] < end[left])]
         return out
 
-    def words(self, c: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and number of each word."""
-        numbers = self.numbers(c.hash)
-        return (np.where(numbers > 0, c.hash, UNKNOWN) if self.closed else c.hash), numbers
-
 
-def unigrams(counts: DataFrame, vocabulary: int | None = None, head: int = HEAD_WORDS) -> Unigrams:
-    own = most_frequent(counts, "n", head if vocabulary is None else vocabulary).select("w", "n").toArrow()
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    w, n = (own.column(i).to_numpy() for i in range(2))
-    return Unigrams(w.astype(np.int64).view(np.uint64), n, int(total), int(distinct), vocabulary is not None)
+def head_table(counts: DataFrame, key: str, n: str, limit: int) -> Table:
+    own = most_frequent(counts, n, limit).select(key, n).toArrow()
+    return Table(own.column(0).to_numpy().astype(np.int64).view(np.uint64), own.column(1).to_numpy())
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """64-bit keys of bigrams."""
     p = W.powers(2, 2)
     with np.errstate(over="ignore"):
-        return W.mix(v * p[0] + w * p[1]).view(np.int64)
+        return W.mix(v * p[0] + w * p[1])
 
 
 def neighbours(c: W.Words) -> np.ndarray:
@@ -113,123 +99,136 @@ def neighbours(c: W.Words) -> np.ndarray:
     return W.ranges(c.offset[:-1], np.maximum(np.diff(c.offset) - 1, 0))
 
 
-def firsts(c: W.Words) -> np.ndarray:
-    """Places of the first words of the documents that have words."""
-    return c.offset[:-1][np.diff(c.offset) > 0]
-
+def distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (doc, key): a place of each different one, how often it occurs, and which one each pair is."""
+    with np.errstate(over="ignore"):
+        own = W.mix(key + W.mix(doc.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(own)
+    new = np.append(True, own[order][1:] != own[order][:-1]) if len(own) else np.zeros(0, bool)
+    n = np.diff(np.append(np.flatnonzero(new), len(own)))
+    which = np.empty(len(own), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], n, which
 
-def bigram_counts(docs: DataFrame, known: Broadcast, counts: DataFrame, text: str = "text") -> DataFrame:
-    """(k, c, cv, cw): bigrams that occur twice or more or whose last word is outside the head.
 
-    cv and cw are the counts of their words, where these are outside the head. A first word outside the
-    head is the last word of a bigram with ``START``.
-    """
+def bigram_counts(docs: DataFrame, known: Broadcast, text: str = "text") -> DataFrame:
+    """(k, c, v, w): bigrams that occur twice or more; v and w are the hashes of words outside the head, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(np.zeros(0, np.int64),) * 3]
+            own = [(np.zeros(0, np.uint64),) * 3]
             for c in W.chunks(batch.column(0)):
-                h, numbers = known.value.words(c)
-                rare = np.zeros(len(h), bool) if known.value.closed else numbers == 0
-                at, first = neighbours(c), firsts(c)
-                first = first[rare[first]]
-                tail = np.where(rare, h, UNKNOWN).view(np.int64)
-                key = np.concatenate([pair_keys(h[at], h[at + 1]), pair_keys(np.full(len(first), START), h[first])])
-                own.append((key, np.concatenate([tail[at], np.zeros(len(first), np.int64)]), np.concatenate([tail[at + 1], tail[first]])))
+                rare = np.where(known.value.of(c.hash) > 0, np.uint64(0), c.hash)
+                at = neighbours(c)
+                own.append((pair_keys(c.hash[at], c.hash[at + 1]), rare[at], rare[at + 1]))
             key, v, w = (np.concatenate(x) for x in zip(*own, strict=True))
             k, place, n = np.unique(key, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64)), *(pa.array(x[place]) for x in (v, w))], names=["k", "n", "v", "w"])
-
-    pairs = docs.select(text).mapInArrow(run, "k long, n long, v long, w long").groupBy("k").agg(F.sum("n").alias("c"), F.max("v").alias("v"), F.max("w").alias("w"))
-    pairs = pairs.where("c > 1 or w <> 0").withColumn("v", F.when(F.col("c") > 1, F.col("v")).otherwise(0))
-    if known.value.closed:
-        return pairs.select("k", "c", F.lit(None).cast("long").alias("cv"), F.lit(None).cast("long").alias("cw"))
-    pairs = saved(pairs, "pairs")
-    # words outside the head are in few bigrams each, so no key of these joins is hot
-    for word, count in (("v", "cv"), ("w", "cw")):
-        wanted = pairs.where(F.col(word) != 0).select("k", F.col(word).alias("x"))
-        pairs_own = wanted.join(counts.select(F.col("w").alias("x"), F.col("n").alias(count)), "x").select("k", count)
-        found = pairs_own if word == "v" else found.join(pairs_own, "k", "full")
-    return pairs.select("k", "c").join(found, "k", "left")
-
-
-def scores(docs: DataFrame, text: str = "text", vocabulary: int | None = None, head: int = HEAD, alpha: float = ALPHA, head_words: int = HEAD_WORDS) -> DataFrame:
-    """Every row with n_tokens, n_seen (bigrams that occur elsewhere), score (log) and mean_score; without the text."""
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(x[place].view(np.int64)) for x in (v, w))], names=["k", "n", "v", "w"])
+
+    pairs = docs.select(text).mapInArrow(run, "k long, n long, v long, w long")
+    return pairs.groupBy("k").agg(F.sum("n").alias("c"), F.max(F.struct("v", "w")).alias("x")).where("c > 1").select("k", "c", "x.v", "x.w")
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Which of the 2 ** bits first bits of a key occur: words of 64 bits, gathered by a grouped aggregation."""
+    slot = F.shiftrightunsigned("k", 64 - bits)
+    rows = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(k, {64 - bits}) & 63 AS INT))")).alias("x")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD, alpha: float = ALPHA, head_words: int = HEAD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(key, n_tokens, n_seen, score, mean_score) of every row: n_seen bigrams occur elsewhere; score is the natural log."""
     spark = docs.sparkSession
     counts = saved(word_counts(docs, text), "words")
-    uni = unigrams(counts, vocabulary, head_words)
-    known = spark.sparkContext.broadcast(uni)
-    table = saved(bigram_counts(docs, known, counts, text), "bigrams")
+    total = float(counts.agg(F.sum("n")).first()[0] or 1)
+    known = spark.sparkContext.broadcast(head_table(counts, "w", "n", head_words))
+    pairs = saved(bigram_counts(docs, known, text), "bigrams")
     # a bigram of a word outside the head is settled by the join
-    top = most_frequent(table.where("cv is null and cw is null"), "c", head).select("k", "c").toArrow()
-    order = np.argsort(top.column(0).to_numpy())
-    frequent = spark.sparkContext.broadcast((top.column(0).to_numpy()[order], top.column(1).to_numpy()[order]))
-    added = ["n_tokens", "n_seen", "score", "mean_score"]
-    others = [f for f in docs.schema if f.name not in (text, *added)]
-    keyed = docs.select(*(f.name for f in others), F.monotonically_increasing_id().alias("_row"), text)
+    frequent = spark.sparkContext.broadcast(head_table(pairs.where("v = 0 and w = 0"), "k", "c", head))
+    repeated = spark.sparkContext.broadcast(bitmap(pairs, filter_bits))
+    log_alpha = float(np.log(alpha))
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (keys, c_of) = known.value, frequent.value
+        words, bigrams, bits = known.value, frequent.value, repeated.value
         for batch in batches:
-            rows = batch.column("_row").to_numpy()
-            for c in W.chunks(batch.column(text)):
-                h, numbers = own.words(c)
-                size, at = c.n_docs, neighbours(c)
-                doc = np.searchsorted(c.offset, at, side="right") - 1
-                key = pair_keys(h[at], h[at + 1])
-                ordered = np.lexsort((key, doc))
-                new = np.flatnonzero(np.append(True, (key[ordered][1:] != key[ordered][:-1]) | (doc[ordered][1:] != doc[ordered][:-1]))) if len(key) else np.zeros(0, np.int64)
-                n = np.diff(np.append(new, len(key)))
-                at, doc, key = (x[ordered[new]] for x in (at, doc, key))
-                cv, lp = own.counts[numbers[at]], own.log_p[numbers[at + 1]]
-                place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
-                left = (c_of[place[hit]] if len(keys) else np.zeros(0, np.int64)) - n[hit]
-                seen = left > 0
-                part = np.where(seen, np.log(np.maximum(left, 1) / np.maximum(np.maximum(cv[hit] - n[hit], left), 1)), np.log(alpha) + lp[hit]) * n[hit]
-                score = np.bincount(doc[hit], part, size).astype(np.float64)
-                n_seen = np.bincount(doc[hit], np.where(seen, n[hit], 0), size).astype(np.int64)
-                # a row per document, to be joined where its first word is outside the head; then one per bigram to be joined
-                mine = rows[c.first : c.first + size]
-                anchor, some, first = -1 - mine, np.flatnonzero(np.diff(c.offset) > 0), firsts(c)
-                settled = ~np.isnan(own.log_p[numbers[first]])
-                score[some[settled]] += own.log_p[numbers[first[settled]]]
-                anchor[some[~settled]] = pair_keys(np.full(int((~settled).sum()), START), h[first[~settled]])
-                wait = np.zeros(size, np.int64)
-                wait[some[~settled]] = -1
-                rest = ~hit
-                more = int(rest.sum())
+            rows = batch.column(1).to_numpy()
+            for c in W.chunks(batch.column(2)):
+                size, tokens = c.n_docs, np.diff(c.offset)
+                doc = c.doc()
+                place, n_own, which = distinct(doc, c.hash)
+                count = words.of(c.hash[place])
+                # every token at the end of the chain; words outside the head wait
+                log_p = np.log(np.maximum(count, 1) / total)
+                out = count == 0
+                score = np.bincount(doc[place[~out]], (log_p * n_own)[~out], size) + log_alpha * np.maximum(tokens - 1, 0)
+                waiting = [(doc[place[out]], c.hash[place[out]], n_own[out], np.zeros(int(out.sum()), np.int64), np.zeros(int(out.sum())), np.zeros(int(out.sum())))]
+                # bigrams
+                at = neighbours(c)
+                k = pair_keys(c.hash[at], c.hash[at + 1])
+                first, n, _ = distinct(doc[at], k)
+                at, k = at[first], k[first]
+                d, v, w = doc[at], which[at], which[at + 1]
+                c2 = bigrams.of(k)
+                left = c2 - n
+                hit = left > 0
+                part = np.log(left[hit] / np.maximum(count[v[hit]] - n_own[v[hit]], left[hit])) - log_alpha - log_p[w[hit]]
+                score = score + np.bincount(d[hit], part * n[hit], size)
+                n_seen = np.bincount(d[hit], n[hit], size).astype(np.int64)
+                slot = k >> np.uint64(64 - filter_bits)
+                more = np.flatnonzero((c2 == 0) & ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1))
+                v, w = v[more], w[more]
+                waiting.append((d[more], k[more], n[more], n_own[v], np.where(count[v] > 0, count[v], np.nan).astype(np.float64), np.where(count[w] > 0, log_p[w], np.nan)))
+                d, k, n, own, cv, lp = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                mine, rest = rows[c.first : c.first + size], len(d)
+                # a row per document, which meets nothing, and those that wait
                 both = lambda a, b: pa.array(np.concatenate([a, b]), from_pandas=True)
-                out = [
-                    both(mine, mine[doc[rest]]),
-                    both(anchor, key[rest]),
-                    both(wait, n[rest]),
-                    both(np.diff(c.offset), np.zeros(more, np.int64)),
-                    both(n_seen, np.zeros(more, np.int64)),
-                    both(score, np.zeros(more)),
-                    both(np.full(size, np.nan), cv[rest]),
-                    both(np.full(size, np.nan), lp[rest]),
-                ]
-                for f in others:
-                    column = batch.column(f.name).slice(c.first, size)
-                    out.append(pa.concat_arrays([column, pa.nulls(more, column.type)]))
-                yield pa.RecordBatch.from_arrays(out, names=["_row", "_k", "_n", "_tokens", "_seen", "_score", "_cv", "_lp", *(f.name for f in others)])
-
-    kinds = ", ".join(["_row long, _k long, _n long, _tokens long, _seen long, _score double, _cv double, _lp double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)])
-    met = keyed.mapInArrow(run, kinds).join(table.withColumnRenamed("k", "_k"), "_k", "left")
-    n, left = F.col("_n"), F.coalesce("c", F.lit(1)) - F.col("_n")  # once in all: here
-    seen = (n > 0) & (left > 0)
-    log_p = F.coalesce("_lp", F.log((F.col("cw") + 1) / F.lit(float(uni.size))))
-    history = F.greatest(F.coalesce("_cv", F.col("cv").cast("double")) - n, left.cast("double"))
-    part = F.when(seen, n * F.log(left / history)).when(n > 0, n * (F.lit(float(np.log(alpha))) + log_p)).when(n < 0, log_p).otherwise(0.0)
-    total = met.groupBy("_row").agg(
+                none = np.zeros(rest, np.int64)
+                ids = batch.column(0).slice(c.first, size)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        both(mine, mine[d]), pa.concat_arrays([ids, pa.nulls(rest, ids.type)]), both(-1 - mine, k.view(np.int64)),
+                        both(np.zeros(size, np.int32), n.astype(np.int32)), both(np.zeros(size, np.int32), own.astype(np.int32)),
+                        both(np.zeros(size), cv), both(np.zeros(size), lp),
+                        both(tokens, none), both(n_seen, none), both(score, none.astype(np.float64)),
+                    ],
+                    names=["_row", "key", "_k", "_n", "_own", "_cv", "_lp", "_tokens", "_seen", "_score"],
+                )
+
+    kinds = f"_row long, key {kind}, _k long, _n int, _own int, _cv double, _lp double, _tokens long, _seen long, _score double"
+    waiting = docs.select(key, F.monotonically_increasing_id().alias("_row"), text).mapInArrow(run, kinds)
+    met = waiting.join(count_table(counts, pairs, known, total), "_k", "left")
+    n = F.col("_n")
+    left = F.col("c") - n
+    seen = (F.col("_own") > 0) & (left > 0)
+    history = F.greatest(F.coalesce("_cv", "cv") - F.col("_own"), left)
+    lift = n * (F.log(left / history) - log_alpha - F.coalesce("_lp", "lp"))
+    part = F.when(n == 0, 0.0).when(F.col("_own") == 0, n * F.log(F.col("c") / total)).when(seen, lift).otherwise(0.0)
+    summed = met.groupBy("_row").agg(
+        F.max("key").alias(key),
         F.sum("_tokens").alias("n_tokens"),
         F.sum(F.col("_seen") + F.when(seen, n).otherwise(0)).alias("n_seen"),
         F.sum(F.col("_score") + part).alias("score"),
-        *(F.max(f.name).alias(f.name) for f in others),
     )
-    return total.select(*(f.name for f in others), "n_tokens", "n_seen", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
+    return summed.select(key, "n_tokens", "n_seen", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
+
+
+def count_table(counts: DataFrame, pairs: DataFrame, known: Broadcast, total: float) -> DataFrame:
+    """(_k, c, cv, lp): words and repeated bigrams, with what the latter need of words outside the head."""
+    rare = pairs.where("v <> 0 or w <> 0")
+    # a word outside the head is in few bigrams that repeat: no key of these joins is hot
+    for word, named in (("v", "cv"), ("w", "cw")):
+        own = counts.select(F.col("w").alias("x"), F.col("n").alias(named))
+        rare = rare.join(own, F.nullif(F.col(word), F.lit(0)) == F.col("x"), "left").drop("x")
+    two = pairs.where("v = 0 and w = 0").select("k", "c", F.lit(None).cast("double").alias("cv"), F.lit(None).cast("double").alias("lp"))
+    two = two.union(rare.select("k", "c", F.col("cv").cast("double"), F.log(F.col("cw") / total)))
+    one = counts.select(F.col("w").alias("k"), F.col("n").alias("c"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    return two.union(one).withColumnRenamed("k", "_k")
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return scores(docs.select("doc_id", "text"))
+    """Scores rounded to four places, so that the order in which parts are summed doesn't show."""
+    out = scores(docs.select("doc_id", "text"))
+    return out.select("doc_id", "n_tokens", "n_seen", F.round("score", 4).alias("score"), F.round("mean_score", 4).alias("mean_score"))

@@ -25,6 +25,21 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, {BITS} AS bits, sha2
 SELECT page_id, b AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, 1 + 5 * k + j, 1) AS INT) * (1 << (4 - j))))::INT, 1)), '') AS payload_digest,
  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS valid FROM f"""
 
+ORACLES["op4_lm_scores"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE}') AS ws FROM documents),
+ t AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM d),
+ p AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM t),
+ u AS (SELECT w, count(*) AS n, sum(count(*)) OVER () AS total FROM t GROUP BY w),
+ o AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY 1, 2),
+ b AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY 1, 2),
+ q AS (SELECT doc_id, v, w, count(*) AS n FROM p GROUP BY 1, 2, 3),
+ s AS (SELECT q.doc_id, q.n, coalesce(b.n - q.n, 0) > 0 AS seen,
+   CASE WHEN b.n - q.n > 0 THEN ln((b.n - q.n) / (h.n - o.n)) WHEN q.v IS NULL THEN ln(e.n / e.total) ELSE ln(0.4) + ln(e.n / e.total) END AS part
+  FROM q JOIN u e ON e.w = q.w LEFT JOIN b ON b.v = q.v AND b.w = q.w LEFT JOIN u h ON h.w = q.v LEFT JOIN o ON o.doc_id = q.doc_id AND o.w = q.v),
+ a AS (SELECT doc_id, sum(n) FILTER (seen) AS n_seen, sum(n * part) AS score FROM s GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_tokens, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen, round(coalesce(score, 0), 4) AS score,
+ CASE WHEN len(ws) > 0 THEN round(score / len(ws), 4) END AS mean_score FROM d LEFT JOIN a USING (doc_id)"""
+
 ORACLES["op9_decontamination"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{MARK}') AS ws FROM documents),
  b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '{MARK}') AS ws FROM benchmark),
