@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from itertools import combinations
+
+import numpy as np
 
 from tests.llm import cases
 from tributary.llm import quality
@@ -60,3 +63,59 @@ def test_short_junk_goes_too(spark):
     for i in range(400):
         if not got[i].base_failed:
             assert got[i].kept == bool(i % 9), (i, got[i].distance, got[i].n_words)
+
+
+def plain(z, keep):
+    """The determinant of the rows that are kept, with what is known before."""
+    own = z[list(keep)]
+    share = len(own) / (len(own) + quality.PRIOR_ROWS)
+    c = share * np.cov(own.T, bias=True) + np.diag((1 - share) * np.square(quality.PRIOR) + np.square(quality.FLOORS))
+    return np.linalg.det(c), own.mean(0), c
+
+
+def frame_of(spark, groups):
+    return spark.createDataFrame([(g, *map(float, r)) for g, z in groups.items() for r in z], "g string, z0 double, z1 double, z2 double, z3 double")
+
+
+def test_determinant_of_tiny_groups_is_the_least_of_all_halves(spark):
+    rng = np.random.default_rng(4)
+    groups = {}
+    for k, n in enumerate((2, 5, 8, 11)):
+        z = rng.normal(0, 0.1, (n, 4))
+        z[: n // 3] += rng.normal(0, 2, 4)  # less than half are elsewhere
+        groups[f"g{k}"] = z - np.median(z, 0)
+    got = {r.g: r.det for r in quality.estimates(frame_of(spark, groups)).collect()}
+    for g, z in groups.items():
+        least = min(plain(z, s)[0] for s in combinations(range(len(z)), -(-len(z) // 2)))
+        assert least * 0.999 <= got[g] <= least * 1.25, (g, got[g], least)
+
+
+def test_determinant_of_larger_groups_against_many_random_starts(spark):
+    rng = np.random.default_rng(9)
+    mixed = rng.normal(0, 1, (4, 4)) * 0.2
+    z = rng.normal(0, 1, (400, 4)) @ mixed
+    z[:120] = rng.normal(3, 0.05, (120, 4))  # a tight cloud of outliers
+    groups = {"a": z - np.median(z, 0), "b": rng.normal(0, 0.3, (151, 4))}
+    got = {r.g: r for r in quality.estimates(frame_of(spark, groups)).collect()}
+    for g, z in groups.items():
+        best = None
+        for _ in range(60):
+            keep = rng.choice(len(z), 6, replace=False)
+            last = None
+            while True:
+                det, m, c = plain(z, keep)
+                if last is not None and det >= last * (1 - 1e-9):
+                    break
+                last = det if len(keep) > 6 else None
+                d = z - m
+                keep = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))[: -(-len(z) // 2)]
+            best = min(best or det, det)
+        assert best * 0.98 <= got[g].det <= best * 1.15, (g, got[g].det, best)
+
+
+def test_columns_of_any_name_pass(spark):
+    rows = cases.documents()
+    docs = cases.frame(spark, rows).selectExpr("*", *(f"{k} as `{x}`" for k, x in enumerate(["scale", "rows", "g", "z0", "m0", "l00", "_doc", "_lang", "x1", "d2", "n_words", "kept", "_whole", "start"])))
+    got = quality.stage(docs)
+    assert got.columns == docs.columns and {r.n_words for r in got.collect()} == {10}
+    assert quality.quality(docs).count() == len(rows)

@@ -2,20 +2,25 @@
 
 DataFrame functions only. The statistics of a text are expressions over its words; from them comes a
 vector of variance-stabilised rates (arcsine of the square root of the symbol, repeated-line and
-repeated-word rates, and the log of the mean word length), centred on its group's median. A rate of a
-short text says little: its own sampling variance is added to the group's. For every group, concentration steps then look for the
-``H_SHARE`` of rows with the smallest covariance determinant: distances, their quantile, moments of
-the rows below it, again. The final squared Mahalanobis distance is held against ``CUT``.
+repeated-word rates, and the log of the mean word length). For every language and source, concentration
+steps look for the half of the rows whose covariance has the smallest determinant: distances, their
+median, moments of the rows below it, again. They begin at several
+``starts`` (all axes scaled by their median deviation, each axis alone, seeded directions); after
+``STEPS`` steps the two smallest determinants of a group go on until they no longer fall, and the
+smallest is the estimate. A rate of a short text says little: its own sampling variance is added to the
+estimate before the squared Mahalanobis distance is held against ``CUT``.
 
-All group figures come from grouped aggregation that combines before the shuffle: moments, and
-quantiles from histograms of fixed width, so a source with a third of all rows costs a few rows per
-task. Groups of fewer than ``MIN_GROUP`` rows are pooled with the other small sources of their
-language, then with all small groups; what is still too small joins the largest group. Where even that
-has fewer rows there is no estimate, and rows pass that the base rule passes.
+Few rows say little as well. In every group, whatever its size, the rows below the median count against
+``PRIOR_ROWS`` rows in the middle of the corpus, of the ``PRIOR`` spread: in large groups that is nothing,
+in a group of two rows nearly all.
+
+All group figures come from grouped aggregation that combines before the shuffle: moments and quantile
+summaries of bounded size, so a source with a third of all rows costs a few rows per task.
 
 Defined cases: null or empty text has no words and fails the base rule; null lang or source is a value
-of its own; repeated rows count as often as they occur and get equal verdicts; an empty table gives no
-rows; columns of the input that clash with the added ones are replaced.
+of its own; repeated rows and null or repeated ids count as often as they occur and get equal verdicts;
+an empty table gives no rows; columns of the input that clash with the added ones are replaced, others
+of any name pass through.
 """
 
 from __future__ import annotations
@@ -31,21 +36,30 @@ from tributary.llm.shared import saved
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_GROUP = 50
-H_SHARE = 0.5
-STEPS = 3
+#: Concentration steps from all starts, before the best go on.
+STEPS = 2
+#: A determinant that falls by less than this share has converged.
+FALL = 1e-3
 #: Squared distance beyond which a vector is rejected; chi-square of 4 degrees exceeds it with 1e-4.
 CUT = 23.513
 CHI2_MEDIAN = 3.357
 #: Least standard deviation of each part of the vector, against division by nothing.
 FLOORS = (0.01, 0.01, 0.01, 0.01)
+#: What is known of a group before its rows are: standard deviations, and how many rows that counts for.
+PRIOR = (0.1, 0.2, 0.2, 0.25)
+PRIOR_ROWS = 5
+#: Seeded directions among the starts.
+DIRECTIONS = ((0.8, 0.3, -0.4, 0.3), (0.2, -0.7, 0.3, 0.6))
+#: Entries of a quantile summary: ranks are exact to a thousandth of a group's rows.
+ACCURACY = 1000
 #: Words that are counted as repeated come in two windows of five at least.
 REPEAT_BLOCK = 10
 DIMS = range(len(FLOORS))
+LOWER = [(i, j) for i in DIMS for j in range(i + 1)]
 WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ADDED = [*STATS, "base_failed", "distance", "kept"]
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -54,7 +68,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words; white space at the ends goes first, so that no word is empty."""
+    return let(F.btrim(text, F.lit(WHITE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+")))
 
 
 def repeat_words(words: Column, size: int = 5) -> Column:
@@ -67,43 +82,44 @@ def repeat_words(words: Column, size: int = 5) -> Column:
         gaps = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(b - a, F.lit(size)))
         return F.aggregate(gaps, F.lit(size), lambda x, y: x + y)
 
-    def places(pairs: Column) -> Column:
-        own = F.transform(
-            pairs,
-            lambda p, i: F.when((F.get(pairs, i + 1)["h"] == p["h"]) | ((i > 0) & (F.get(pairs, i - 1)["h"] == p["h"])), p["i"]),
-        )
-        return F.array_sort(F.filter(own, lambda x: x.isNotNull()))
+    def places(w: Column) -> Column:
+        # of the sorted hashes, those equal to a neighbour are the repeated ones
+        order = F.array_sort(w)
+        twice = let(order, lambda o: F.array_distinct(F.filter(o, lambda h, i: (i > 0) & (F.get(o, i - 1) == h))))
+        return let(twice, lambda x: F.filter(F.transform(w, lambda h, i: F.when(F.array_contains(x, h), i)), lambda i: i.isNotNull()))
 
     def repeated(w: Column) -> Column:
-        pairs = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(pairs, lambda p: let(places(p), covered))).otherwise(0)
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(places(w), covered)).otherwise(0)
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) > size, let(let(hashes, windows), repeated)).otherwise(0)
+    # without a word that occurs twice no window does
+    some = (F.size(words) > size) & (F.size(F.array_distinct(words)) < F.size(words))
+    return F.when(some, let(let(hashes, windows), repeated)).otherwise(0)
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base statistics of the text and ``_n_lines``, lines that have a word."""
+def with_statistics(docs: DataFrame, text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """``_doc`` (the carried columns), ``_lang``, ``_source``, the base statistics and ``_n_lines``, lines that have a word."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, WHITE, "") != "")
-    counts = let(word_array(t), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r")))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
+    counts = let(word_array(t), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), repeat_words(w).alias("r")))
     dup = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
-    kept = [c for c in docs.columns if c not in (*STATS, "_n_lines")]
-    return docs.select(
-        *kept,
+    rows = docs.select(
+        F.struct(*(c for c in (docs.columns if carried is None else carried) if c not in ADDED)).alias("_doc"),
+        F.col("lang").cast("string").alias("_lang"),
+        F.col("source").cast("string").alias("_source"),
         counts.alias("_counts"),
-        F.length(F.translate(t, WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         dup.alias("_dup"),
-    ).select(
-        *kept,
+    )
+    return rows.select(
+        "_doc", "_lang", "_source",
         F.col("_counts.n").cast("long").alias("n_words"),
-        "word_chars",
+        F.col("_counts.c").cast("long").alias("word_chars"),
         "n_symbols",
         F.col("_dup.d").cast("long").alias("n_dup_lines"),
         F.col("_counts.r").cast("long").alias("n_repeat_words"),
         F.col("_dup.n").cast("long").alias("_n_lines"),
-    )
+    )
 
 
 def base_failed() -> Column:
@@ -122,113 +138,128 @@ def sampling() -> list[Column]:
     return [1 / (4.0 * F.greatest(n, F.lit(1))) for n in (F.col("word_chars"), F.col("_n_lines"), F.col("n_words") / REPEAT_BLOCK, F.col("n_words"))]
 
 
-def pooled(df: DataFrame) -> DataFrame:
-    """df with ``_pool``: its language and source, or the pool that takes small groups."""
-    own = F.to_json(F.struct(F.col("lang").alias("lang"), F.col("source").alias("source")))
-    by_lang = F.concat(F.to_json(F.struct(F.col("lang").alias("lang"))), F.lit(" small"))
-    sizes = df.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    sizes = sizes.select(own.alias("_own"), by_lang.alias("_lang"), "n")
-    left = F.sum(F.when(F.col("n") < MIN_GROUP, F.col("n")).otherwise(0)).over(Window.partitionBy("_lang"))
-    sizes = saved(sizes.withColumn("_left", left), "sizes")
-    rest, largest = sizes.agg(F.sum(F.when((F.col("n") < MIN_GROUP) & (F.col("_left") < MIN_GROUP), F.col("n"))), F.max(F.struct("n", "_own"))).first()
-    last = F.lit("small" if (rest or 0) >= MIN_GROUP or not largest else largest["_own"])
-    pool = F.when(F.col("n") >= MIN_GROUP, F.col("_own")).when(F.col("_left") >= MIN_GROUP, F.col("_lang")).otherwise(last)
-    pools = saved(sizes.select("_own", pool.alias("_pool")), "pools")
-    return df.withColumn("_own", own).join(pools, "_own").drop("_own")
-
+def median(x: Column) -> Column:
+    return F.percentile_approx(x, 0.5, ACCURACY)
 
-def histogram_quantiles(df: DataFrame, values: list[Column], width: float, shares: list[float]) -> DataFrame:
-    """Per pool: q_<value>_<share>, from histograms of fixed width."""
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.floor(v / width).alias("bin")) for i, v in enumerate(values))))
-    counts = df.select("_pool", cells.alias("c")).groupBy("_pool", "c.dim", "c.bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("_pool", "dim")
-    counts = counts.select("_pool", "dim", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
-    own = [
-        ((F.min(F.when((F.col("dim") == i) & (F.col("upto") >= s * F.col("total")), F.col("bin"))) + 1) * width).alias(f"q_{i}_{j}")
-        for i in range(len(values))
-        for j, s in enumerate(shares)
-    ]
-    return counts.groupBy("_pool").agg(*own)
 
+def total(parts: list[Column]) -> Column:
+    return reduce(add, parts)
 
-def log_distance() -> Column:
-    return F.log2(F.col("_d2") + 1e-6)
 
+def starts() -> list[Column]:
+    """What orders the rows of a group at first. Columns: o0, ... off the group's medians, and their median deviations s0, ..."""
+    u = [F.col(f"o{i}") / F.col(f"s{i}") for i in DIMS]
+    directions = [F.pow(total([F.lit(d[i]) * u[i] for i in DIMS]), F.lit(2)) for d in DIRECTIONS]
+    return [total([x * x for x in u]), *(x * x for x in u), *directions]
 
-def with_distance(df: DataFrame) -> DataFrame:
-    """df with ``_d2``: squared Mahalanobis distance, the covariance being the model's and the row's sampling variance.
 
-    Forward substitution in the Cholesky factor of each row.
-    """
-    for i in DIMS:
-        for j in range(i + 1):
-            rest = reduce(add, (F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
-            if i == j:
-                own = F.sqrt(F.greatest(F.col(f"c{i}{i}") - rest, F.lit(0.0)) + FLOORS[i] ** 2 + F.col(f"v{i}"))
-            else:
-                own = (F.col(f"c{i}{j}") - rest) / F.col(f"_l{j}{j}")
-            df = df.withColumn(f"_l{i}{j}", own)
-        rest = reduce(add, (F.col(f"_l{i}{j}") * F.col(f"_y{j}") for j in range(i)), F.lit(0.0))
-        df = df.withColumn(f"_y{i}", (F.col(f"z{i}") - F.col(f"m{i}") - rest) / F.col(f"_l{i}{i}"))
-    return df.withColumn("_d2", reduce(add, (F.col(f"_y{i}") * F.col(f"_y{i}") for i in DIMS))).drop(*(f"_y{i}" for i in DIMS), *(f"_l{i}{j}" for i in DIMS for j in range(i + 1)))
-
-
-def moments(df: DataFrame) -> DataFrame:
-    """Per pool: mean and covariance of the rows."""
+def moments(near: DataFrame) -> DataFrame:
+    """Per group and start: mean and covariance of the rows, with what is known before, its Cholesky factor and determinant."""
     z = [F.col(f"z{i}") for i in DIMS]
-    return df.groupBy("_pool").agg(
-        F.count("*").alias("n"),
+    own = near.groupBy("g", "start").agg(
+        F.count("*").alias("h"),
         *(F.avg(z[i]).alias(f"m{i}") for i in DIMS),
-        *((F.covar_pop(z[i], z[j]) if i != j else F.var_pop(z[i])).alias(f"c{i}{j}") for i in DIMS for j in range(i + 1)),
+        *((F.covar_pop(z[i], z[j]) if i != j else F.var_pop(z[i])).alias(f"c{i}{j}") for i, j in LOWER),
     )
+    own = saved(own, "moments")
+    share = F.col("h") / (F.col("h") + PRIOR_ROWS)
+    known = {f"c{i}{j}": share * F.col(f"c{i}{j}") + ((1 - share) * PRIOR[i] ** 2 + FLOORS[i] ** 2 if i == j else 0.0) for i, j in LOWER}
+    det = reduce(lambda a, b: a * b, (F.col(f"l{i}{i}") * F.col(f"l{i}{i}") for i in DIMS))
+    return factored(own.withColumns(known)).withColumn("det", det)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Per pool: the robust model. rows: _pool, z0, z1, ... and v0, v1, ..."""
-    z = [F.col(f"z{i}") for i in DIMS]
-    start = reduce(add, (F.pow(z[i], 2) / (FLOORS[i] + F.col(f"v{i}")) for i in DIMS))
-    near = rows.withColumn("_d2", start)
-    model = None
-    for step in range(STEPS + 1):
-        cut = saved(histogram_quantiles(near, [log_distance()], 1 / 64, [0.5 if step == 0 else H_SHARE]), "cut")
-        model = saved(moments(near.join(cut, "_pool").where(log_distance() <= F.col("q_0_0"))), "model")
-        near = with_distance(rows.join(model.drop("n"), "_pool"))
-    # rows in the middle of the distances lie where chi-square has its median, or nearer
-    middle = histogram_quantiles(near, [log_distance()], 1 / 64, [0.5])
-    sizes = rows.groupBy("_pool").agg(F.count("*").alias("rows"))
-    return saved(
-        model.drop("n").join(middle, "_pool").join(sizes, "_pool").withColumn("scale", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.col("q_0_0")) / CHI2_MEDIAN)).drop("q_0_0"),
-        "estimates",
-    )
+def factored(df: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """df with l00, ...: the Cholesky factor of the covariance c00, ..., `more` being added to its diagonal."""
+    for j in DIMS:
+        rest = lambda i, j=j: total([F.lit(0.0), *(F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j))])
+        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") + (more[j] if more else 0.0) - rest(j), F.lit(FLOORS[j] ** 2 / 1e3))))
+        df = df.withColumns({f"l{i}{j}": (F.col(f"c{i}{j}") - rest(i)) / F.col(f"l{j}{j}") for i in DIMS if i > j})
+    return df
 
 
-def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base statistics, base_failed, distance (squared, scaled; null without an estimate) and kept."""
-    added = [*STATS, "base_failed", "distance", "kept"]
-    own = [c for c in docs.columns if c not in added]
-    rows = saved(with_statistics(docs.select(*own, text) if text not in own else docs.select(*own), text), "statistics")
-    return judged(rows).select(*own, *added)
+def concentrated(rows: DataFrame) -> DataFrame:
+    """Moments of the rows (g, start, d2, z0, ...) up to the median of d2."""
+    cuts = rows.groupBy("g", "start").agg(median(F.col("d2")).alias("cut"))
+    return moments(rows.join(cuts, ["g", "start"]).where("d2 <= cut"))
+
+
+def step(vectors: DataFrame, models: DataFrame) -> DataFrame:
+    """One concentration step from each model."""
+    return concentrated(distances(vectors.join(models, "g")).select("g", "start", *(f"z{i}" for i in DIMS), "d2"))
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """Per group g: the mean m0, ... and covariance c00, ... of the half with the smallest determinant det.
+
+    vectors: g, z0, ...
+    """
+    z = [f"z{i}" for i in DIMS]
+    medians = saved(vectors.groupBy("g").agg(*(median(F.col(f"z{i}")).alias(f"q{i}") for i in DIMS)), "medians")
+    off = {f"o{i}": F.col(f"z{i}") - F.col(f"q{i}") for i in DIMS}
+    begun = vectors.join(medians, "g").withColumns(off).select("g", *z, *off)
+    spread = saved(begun.groupBy("g").agg(*((1.4826 * median(F.abs(f"o{i}")) + FLOORS[i]).alias(f"s{i}") for i in DIMS)), "deviations")
+    models = concentrated(begun.join(spread, "g").select("g", *z, F.posexplode(F.array(*starts())).alias("start", "d2")))
+    for _ in range(STEPS):
+        models = step(vectors, models)
+    best = Window.partitionBy("g").orderBy("det", "start")  # over one row per start
+    models = saved(models.withColumn("_place", F.row_number().over(best)).where("_place <= 2").drop("_place"), "models")
+    falling = models
+    while True:
+        was = falling.select("g", "start", F.col("det").alias("was"))
+        new = saved(step(vectors, falling).join(was, ["g", "start"]).where(F.col("det") < (1 - FALL) * F.col("was")).drop("was"), "models")
+        if new.isEmpty():
+            break
+        models = saved(models.join(new.select("g", "start"), ["g", "start"], "left_anti").unionByName(new), "models")
+        falling = new
+    best = Window.partitionBy("g").orderBy("det", "start")
+    return models.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place", *(f"l{i}{j}" for i, j in LOWER))
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Verdicts over a table with lang, source and the statistics."""
-    rows = pooled(rows)
-    v = vector()
-    scored = rows.withColumns({f"x{i}": v[i] for i in DIMS})
-    medians = saved(histogram_quantiles(scored, [F.col(f"x{i}") for i in DIMS], 0.002, [0.5]), "medians")
-    v = sampling()
-    scored = scored.join(medians, "_pool").withColumns({f"z{i}": F.col(f"x{i}") - F.col(f"q_{i}_0") for i in DIMS}).withColumns({f"v{i}": v[i] for i in DIMS})
-    scored = scored.drop(*(f"q_{i}_0" for i in DIMS), *(f"x{i}" for i in DIMS))
-    model = estimates(scored.where(~base_failed()).select("_pool", *(f"{x}{i}" for x in "zv" for i in DIMS)))
-    d2 = F.when(F.col("rows") >= MIN_GROUP, F.col("_d2") / F.col("scale"))
-    return with_distance(scored.join(model, "_pool", "left")).withColumn("distance", d2).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
+    """rows (from ``with_statistics``) with base_failed, distance (squared, scaled; null where the base rule fails) and kept."""
+    group = F.to_json(F.struct(F.col("_lang").alias("lang"), F.col("_source").alias("source")))
+    x, v = vector(), sampling()
+    rows = rows.withColumns({"base_failed": base_failed(), "g": group} | {f"x{i}": x[i] for i in DIMS} | {f"v{i}": v[i] for i in DIMS})
+    some = rows.where(~F.col("base_failed"))
+    middle = some.agg(*(median(F.col(f"x{i}")) for i in DIMS)).first()
+    centred = {f"z{i}": F.col(f"x{i}") - F.lit(middle[i] or 0.0) for i in DIMS}
+    vectors = saved(some.withColumns(centred).select("g", *centred, *(f"v{i}" for i in DIMS)), "vectors")
+    # the mean too is that of the rows and of PRIOR_ROWS rows in the middle of the corpus
+    model = saved(estimates(vectors).withColumns({f"m{i}": F.col("h") / (F.col("h") + PRIOR_ROWS) * F.col(f"m{i}") for i in DIMS}), "estimates")
+    # rows in the middle of the distances lie where chi-square has its median, or nearer
+    halves = final_distances(vectors.join(model, "g")).groupBy("g").agg(median(F.col("d2")).alias("half"))
+    # (one row says nothing of that)
+    known = (F.col("h") - 1) / (F.col("h") - 1 + PRIOR_ROWS)
+    scales = saved(halves.join(model.select("g", "h"), "g").select("g", F.pow(F.greatest(F.lit(1.0), F.col("half") / CHI2_MEDIAN), known).alias("scale")), "scales")
+    met = rows.withColumns(centred).join(model, "g", "left").join(scales, "g", "left")
+    distance = F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))
+    return final_distances(met).withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUT))
+
+
+def distances(df: DataFrame) -> DataFrame:
+    """df with ``d2``: squared Mahalanobis distance by the factor l00, ...; forward substitution."""
+    for i in DIMS:
+        rest = total([F.lit(0.0), *(F.col(f"l{i}{j}") * F.col(f"y{j}") for j in range(i))])
+        df = df.withColumn(f"y{i}", (F.col(f"z{i}") - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}"))
+    return df.withColumn("d2", total([F.col(f"y{i}") * F.col(f"y{i}") for i in DIMS]))
+
+
+def final_distances(df: DataFrame) -> DataFrame:
+    """df with ``d2``, the covariance being the model's and the row's sampling variance v0, ..."""
+    return distances(factored(df, tuple(F.col(f"v{i}") for i in DIMS)))
+
+
+def quality(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the base statistics, base_failed, distance (squared, scaled) and kept."""
+    return judged(saved(with_statistics(docs, text), "statistics")).select("_doc.*", *ADDED)
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    rows = saved(with_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "statistics")
-    return judged(rows).select("doc_id", *STATS, "base_failed", "kept", "distance")
+    rows = saved(with_statistics(docs.select("doc_id", "text", "lang", "source"), carried=["doc_id"]), "statistics")
+    return judged(rows).select("_doc.doc_id", *STATS, "base_failed", "kept", "distance")
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Documents that pass; rejected ones go."""
-    return quality(docs).where("kept").select(*docs.columns)
+    """Documents that pass; rejected ones go. Columns and rows stay as they are, null and repeated ids too."""
+    rows = saved(with_statistics(docs.select(F.struct(*docs.columns).alias("_whole"), "text", "lang", "source"), carried=["_whole"]), "statistics")
+    return judged(rows).where("kept").select("_doc._whole.*")
