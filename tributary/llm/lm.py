@@ -10,13 +10,13 @@ itself; the end of the chain, n(w) / N, is of the whole corpus, since a word tha
 have no score there. Words and bigrams are keyed by 64-bit hashes; no word is merged with another.
 
 1. Count tables: words, and bigrams that occur twice or more, each partitioned by the hash of its key.
-   The ``HEAD_WORDS`` most frequent words (bounded) are broadcast as a short cut; rows of the bigram
-   table that have other words carry the counts of these.
+   The ``HEAD_WORDS`` most frequent words (bounded) are broadcast as a short cut.
 2. Scoring: every token starts at the end of the chain, and a bigram that occurs elsewhere lifts it. The
    ``HEAD`` most frequent bigrams (bounded) are settled where the text is read. A bitmap of fixed size
    tells most bigrams that occur once from the others; those that may occur twice, and the words outside
    the head, are exploded into (row, key, frequency) rows and joined to the count tables by one shuffle.
-3. Parts are summed per row.
+3. Parts are summed per row; the few bigrams that lift a word outside the head, or have one as their
+   history, meet the word counts then.
 
 Defined cases: null or empty text has no words and score 0 (and no mean); repeated rows are scored each
 on its own and count each time, so exact copies vouch for each other; null keys are kept; an empty table
@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ from tributary.llm import words as W
 from tributary.llm.shared import most_frequent, saved
 
 HEAD_WORDS = 1 << 18
-HEAD = 500_000
+HEAD = 2_000_000
 ALPHA = 0.4
 #: Bits of the bitmap of repeated bigrams, as a power of two: 16 MB at any size of the corpus.
 FILTER_BITS = 27
@@ -111,22 +110,19 @@ def distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order[new], n, which
 
 
-def bigram_counts(docs: DataFrame, known: Broadcast, text: str = "text") -> DataFrame:
-    """(k, c, v, w): bigrams that occur twice or more; v and w are the hashes of words outside the head, else 0."""
+def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(k, c): bigrams that occur twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(np.zeros(0, np.uint64),) * 3]
+            own = [np.zeros(0, np.uint64)]
             for c in W.chunks(batch.column(0)):
-                rare = np.where(known.value.of(c.hash) > 0, np.uint64(0), c.hash)
                 at = neighbours(c)
-                own.append((pair_keys(c.hash[at], c.hash[at + 1]), rare[at], rare[at + 1]))
-            key, v, w = (np.concatenate(x) for x in zip(*own, strict=True))
-            k, place, n = np.unique(key, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(x[place].view(np.int64)) for x in (v, w))], names=["k", "n", "v", "w"])
+                own.append(pair_keys(c.hash[at], c.hash[at + 1]))
+            k, n = np.unique(np.concatenate(own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
 
-    pairs = docs.select(text).mapInArrow(run, "k long, n long, v long, w long")
-    return pairs.groupBy("k").agg(F.sum("n").alias("c"), F.max(F.struct("v", "w")).alias("x")).where("c > 1").select("k", "c", "x.v", "x.w")
+    return docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("c")).where("c > 1")
 
 
 def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -144,9 +140,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
     counts = saved(word_counts(docs, text), "words")
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     known = spark.sparkContext.broadcast(head_table(counts, "w", "n", head_words))
-    pairs = saved(bigram_counts(docs, known, text), "bigrams")
-    # a bigram of a word outside the head is settled by the join
-    frequent = spark.sparkContext.broadcast(head_table(pairs.where("v = 0 and w = 0"), "k", "c", head))
+    pairs = saved(bigram_counts(docs, text), "bigrams")
+    frequent = spark.sparkContext.broadcast(head_table(pairs, "k", "c", head))
     repeated = spark.sparkContext.broadcast(bitmap(pairs, filter_bits))
     log_alpha = float(np.log(alpha))
     kind = docs.schema[key].dataType.simpleString()
@@ -164,7 +159,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
                 log_p = np.log(np.maximum(count, 1) / total)
                 out = count == 0
                 score = np.bincount(doc[place[~out]], (log_p * n_own)[~out], size) + log_alpha * np.maximum(tokens - 1, 0)
-                waiting = [(doc[place[out]], c.hash[place[out]], n_own[out], np.zeros(int(out.sum()), np.int64), np.zeros(int(out.sum())), np.zeros(int(out.sum())))]
+                none = np.zeros(int(out.sum()), np.int64)
+                waiting = [(doc[place[out]], c.hash[place[out]], n_own[out], none, none, none, none, none)]
                 # bigrams
                 at = neighbours(c)
                 k = pair_keys(c.hash[at], c.hash[at + 1])
@@ -173,61 +169,61 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
                 d, v, w = doc[at], which[at], which[at + 1]
                 c2 = bigrams.of(k)
                 left = c2 - n
-                hit = left > 0
+                common = (count[v] > 0) & (count[w] > 0)
+                hit = (left > 0) & common
                 part = np.log(left[hit] / np.maximum(count[v[hit]] - n_own[v[hit]], left[hit])) - log_alpha - log_p[w[hit]]
                 score = score + np.bincount(d[hit], part * n[hit], size)
                 n_seen = np.bincount(d[hit], n[hit], size).astype(np.int64)
+                # what a word outside the head is part of waits, and what may occur twice but is not in the head
                 slot = k >> np.uint64(64 - filter_bits)
-                more = np.flatnonzero((c2 == 0) & ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1))
+                maybe = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                more = np.flatnonzero(np.where(c2 > 0, (left > 0) & ~common, maybe))
                 v, w = v[more], w[more]
-                waiting.append((d[more], k[more], n[more], n_own[v], np.where(count[v] > 0, count[v], np.nan).astype(np.float64), np.where(count[w] > 0, log_p[w], np.nan)))
-                d, k, n, own, cv, lp = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                rare = [np.where(count[x] > 0, np.uint64(0), c.hash[place[x]]).view(np.int64) for x in (v, w)]
+                waiting.append((d[more], k[more], n[more], n_own[v], count[v], count[w], *rare))
+                d, k, n, own, cv, cw, rv, rw = (np.concatenate(x) for x in zip(*waiting, strict=True))
                 mine, rest = rows[c.first : c.first + size], len(d)
                 # a row per document, which meets nothing, and those that wait
-                both = lambda a, b: pa.array(np.concatenate([a, b]), from_pandas=True)
-                none = np.zeros(rest, np.int64)
+                none, zero = np.zeros(rest, np.int64), np.zeros(size, np.int64)
+                both = lambda a, b: pa.array(np.concatenate([a, b]))
                 ids = batch.column(0).slice(c.first, size)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        both(mine, mine[d]), pa.concat_arrays([ids, pa.nulls(rest, ids.type)]), both(-1 - mine, k.view(np.int64)),
-                        both(np.zeros(size, np.int32), n.astype(np.int32)), both(np.zeros(size, np.int32), own.astype(np.int32)),
-                        both(np.zeros(size), cv), both(np.zeros(size), lp),
-                        both(tokens, none), both(n_seen, none), both(score, none.astype(np.float64)),
-                    ],
-                    names=["_row", "key", "_k", "_n", "_own", "_cv", "_lp", "_tokens", "_seen", "_score"],
-                )
-
-    kinds = f"_row long, key {kind}, _k long, _n int, _own int, _cv double, _lp double, _tokens long, _seen long, _score double"
+                columns = [both(mine, mine[d]), pa.concat_arrays([ids, pa.nulls(rest, ids.type)]), both(-1 - mine, k.view(np.int64))]
+                columns += [both(zero, x) for x in (n, own, cv, cw, rv, rw)]
+                columns += [both(tokens, none), both(n_seen, none), both(score, none.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = f"_row long, key {kind}, _k long, _n long, _own long, _cv long, _cw long, _v long, _w long, _tokens long, _seen long, _score double"
+    names = [x.split()[0] for x in kinds.split(", ")]
     waiting = docs.select(key, F.monotonically_increasing_id().alias("_row"), text).mapInArrow(run, kinds)
-    met = waiting.join(count_table(counts, pairs, known, total), "_k", "left")
-    n = F.col("_n")
-    left = F.col("c") - n
+    table = pairs.union(counts.select("w", "n")).toDF("_k", "c")
+    met = waiting.join(table, "_k", "left")
+    n, left = F.col("_n"), F.col("c") - F.col("_n")
     seen = (F.col("_own") > 0) & (left > 0)
-    history = F.greatest(F.coalesce("_cv", "cv") - F.col("_own"), left)
-    lift = n * (F.log(left / history) - log_alpha - F.coalesce("_lp", "lp"))
-    part = F.when(n == 0, 0.0).when(F.col("_own") == 0, n * F.log(F.col("c") / total)).when(seen, lift).otherwise(0.0)
-    summed = met.groupBy("_row").agg(
-        F.max("key").alias(key),
-        F.sum("_tokens").alias("n_tokens"),
-        F.sum(F.col("_seen") + F.when(seen, n).otherwise(0)).alias("n_seen"),
-        F.sum(F.col("_score") + part).alias("score"),
+    v, w = (F.when(seen & (F.col(x) != 0), F.col(x)) for x in ("_v", "_w"))
+    lift = F.log(left) - log_alpha
+    lift = lift - F.when(F.col("_v") == 0, F.log(F.greatest(F.col("_cv") - F.col("_own"), left))).otherwise(0.0)
+    lift = lift - F.when(F.col("_w") == 0, F.log(F.col("_cw") / total)).otherwise(0.0)
+    part = F.when(n == 0, 0.0).when(F.col("_own") == 0, n * F.log(F.col("c") / total)).when(seen, n * lift).otherwise(0.0)
+    open_ = v.isNotNull() | w.isNotNull()
+    parts = met.select(
+        "_row", "key", v.alias("_v"), w.alias("_w"),
+        F.when(v.isNotNull(), F.col("_own")).alias("_own"), F.when(v.isNotNull(), left).alias("_left"), F.when(open_, n).otherwise(0).alias("_n"),
+        F.col("_tokens"), (F.col("_seen") + F.when(seen, n).otherwise(0)).alias("_seen"), (F.col("_score") + part).alias("_score"),
+    )
+    sums = [F.sum(x).alias(x) for x in ("_n", "_tokens", "_seen", "_score")]
+    parts = parts.groupBy("_row", "_v", "_w", "_own", "_left").agg(F.max("key").alias("key"), *sums)
+    # few wait for the counts of words outside the head; the others meet nothing, each at a key of its own
+    for word, named in (("_v", "_nv"), ("_w", "_nw")):
+        own = counts.select(F.col("w").alias("_x"), F.col("n").alias(named))
+        parts = parts.withColumn("_x", F.coalesce(word, -1 - F.col("_row"))).join(own, "_x", "left").drop("_x")
+    more = F.when(F.col("_v").isNotNull(), F.log(F.greatest(F.col("_nv") - F.col("_own"), F.col("_left")))).otherwise(0.0)
+    more = more + F.when(F.col("_w").isNotNull(), F.log(F.col("_nw") / total)).otherwise(0.0)
+    summed = parts.groupBy("_row").agg(
+        F.max("key").alias(key), F.sum("_tokens").alias("n_tokens"), F.sum("_seen").alias("n_seen"), F.sum(F.col("_score") - F.col("_n") * more).alias("score")
     )
     return summed.select(key, "n_tokens", "n_seen", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
-def count_table(counts: DataFrame, pairs: DataFrame, known: Broadcast, total: float) -> DataFrame:
-    """(_k, c, cv, lp): words and repeated bigrams, with what the latter need of words outside the head."""
-    rare = pairs.where("v <> 0 or w <> 0")
-    # a word outside the head is in few bigrams that repeat: no key of these joins is hot
-    for word, named in (("v", "cv"), ("w", "cw")):
-        own = counts.select(F.col("w").alias("x"), F.col("n").alias(named))
-        rare = rare.join(own, F.nullif(F.col(word), F.lit(0)) == F.col("x"), "left").drop("x")
-    two = pairs.where("v = 0 and w = 0").select("k", "c", F.lit(None).cast("double").alias("cv"), F.lit(None).cast("double").alias("lp"))
-    two = two.union(rare.select("k", "c", F.col("cv").cast("double"), F.log(F.col("cw") / total)))
-    one = counts.select(F.col("w").alias("k"), F.col("n").alias("c"), F.lit(None).cast("double"), F.lit(None).cast("double"))
-    return two.union(one).withColumnRenamed("k", "_k")
-
-
 def op4(docs: DataFrame) -> DataFrame:
     """Scores rounded to four places, so that the order in which parts are summed doesn't show."""
     out = scores(docs.select("doc_id", "text"))
