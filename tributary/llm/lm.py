@@ -12,8 +12,8 @@ have no score there. Words and bigrams are keyed by 64-bit hashes; no word is me
 1. Count tables: words, and bigrams that occur twice or more, each partitioned by the hash of its key.
    The ``HEAD_WORDS`` most frequent words (bounded) are broadcast as a short cut.
 2. Scoring: every token starts at the end of the chain, and a bigram that occurs elsewhere lifts it. The
-   ``HEAD`` most frequent bigrams (bounded) are settled where the text is read. A bitmap of fixed size
-   tells most bigrams that occur once from the others; those that may occur twice, and the words outside
+   ``HEAD`` most frequent bigrams (bounded) are settled where the text is read. Bitmaps of fixed size
+   tell most words and bigrams that occur once from the others; those that may occur twice, and the words outside
    the head, are exploded into (row, key, frequency) rows and joined to the count tables by one shuffle.
 3. Parts are summed per row; the few bigrams that lift a word outside the head, or have one as their
    history, meet the word counts then.
@@ -30,16 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import words as W
 from tributary.llm.shared import most_frequent, saved
 
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 20
 HEAD = 2_000_000
 ALPHA = 0.4
-#: Bits of the bitmap of repeated bigrams, as a power of two: 16 MB at any size of the corpus.
+#: Bits of the bitmaps of repeated words and bigrams, as a power of two: 16 MB each at any size of the corpus.
 FILTER_BITS = 27
 
 
@@ -110,14 +111,31 @@ def distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order[new], n, which
 
 
-def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(k, c): bigrams that occur twice or more."""
+class Bitmap:
+    """Hashes of which a table has some with the same first bits; what is not here is not in the table."""
+
+    def __init__(self, keys: DataFrame, key: str, bits: int) -> None:
+        slot = F.shiftrightunsigned(key, 64 - bits)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - bits}) & 63 AS INT))")
+        rows = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("x")).toArrow()
+        self.shift = np.uint64(64 - bits)
+        self.bits = np.zeros(1 << (bits - 6), np.uint64)
+        self.bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> self.shift
+        return (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bigram_counts(docs: DataFrame, several: Broadcast, text: str = "text") -> DataFrame:
+    """(k, c): bigrams that occur twice or more. A word that occurs once is in none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.zeros(0, np.uint64)]
             for c in W.chunks(batch.column(0)):
-                at = neighbours(c)
+                at, some = neighbours(c), several.value.has(c.hash)
+                at = at[some[at] & some[at + 1]]
                 own.append(pair_keys(c.hash[at], c.hash[at + 1]))
             k, n = np.unique(np.concatenate(own), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
@@ -125,42 +143,35 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("c")).where("c > 1")
 
 
-def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """Which of the 2 ** bits first bits of a key occur: words of 64 bits, gathered by a grouped aggregation."""
-    slot = F.shiftrightunsigned("k", 64 - bits)
-    rows = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(k, {64 - bits}) & 63 AS INT))")).alias("x")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
-    return out
-
-
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD, alpha: float = ALPHA, head_words: int = HEAD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(key, n_tokens, n_seen, score, mean_score) of every row: n_seen bigrams occur elsewhere; score is the natural log."""
     spark = docs.sparkSession
     counts = saved(word_counts(docs, text), "words")
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     known = spark.sparkContext.broadcast(head_table(counts, "w", "n", head_words))
-    pairs = saved(bigram_counts(docs, text), "bigrams")
+    several = spark.sparkContext.broadcast(Bitmap(counts.where("n > 1"), "w", filter_bits))
+    pairs = saved(bigram_counts(docs, several, text), "bigrams")
     frequent = spark.sparkContext.broadcast(head_table(pairs, "k", "c", head))
-    repeated = spark.sparkContext.broadcast(bitmap(pairs, filter_bits))
+    repeated = spark.sparkContext.broadcast(Bitmap(pairs, "k", filter_bits))
     log_alpha = float(np.log(alpha))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bigrams, bits = known.value, frequent.value, repeated.value
+        words, bigrams, twice, again = known.value, frequent.value, several.value, repeated.value
         for batch in batches:
             rows = batch.column(1).to_numpy()
             for c in W.chunks(batch.column(2)):
                 size, tokens = c.n_docs, np.diff(c.offset)
                 doc = c.doc()
                 place, n_own, which = distinct(doc, c.hash)
-                count = words.of(c.hash[place])
+                # a word that is not in the bitmap occurs once in all
+                count = np.where(twice.has(c.hash[place]), words.of(c.hash[place]), 1)
                 # every token at the end of the chain; words outside the head wait
                 log_p = np.log(np.maximum(count, 1) / total)
                 out = count == 0
                 score = np.bincount(doc[place[~out]], (log_p * n_own)[~out], size) + log_alpha * np.maximum(tokens - 1, 0)
                 none = np.zeros(int(out.sum()), np.int64)
-                waiting = [(doc[place[out]], c.hash[place[out]], n_own[out], none, none, none, none, none)]
+                waiting = [(doc[place[out]], c.hash[place[out]], n_own[out], none, none, none, none)]
                 # bigrams
                 at = neighbours(c)
                 k = pair_keys(c.hash[at], c.hash[at + 1])
@@ -175,48 +186,47 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
                 score = score + np.bincount(d[hit], part * n[hit], size)
                 n_seen = np.bincount(d[hit], n[hit], size).astype(np.int64)
                 # what a word outside the head is part of waits, and what may occur twice but is not in the head
-                slot = k >> np.uint64(64 - filter_bits)
-                maybe = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                more = np.flatnonzero(np.where(c2 > 0, (left > 0) & ~common, maybe))
+                more = np.flatnonzero(np.where(c2 > 0, (left > 0) & ~common, again.has(k)))
                 v, w = v[more], w[more]
                 rare = [np.where(count[x] > 0, np.uint64(0), c.hash[place[x]]).view(np.int64) for x in (v, w)]
-                waiting.append((d[more], k[more], n[more], n_own[v], count[v], count[w], *rare))
-                d, k, n, own, cv, cw, rv, rw = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting.append((d[more], k[more], n[more], count[v] - n_own[v], count[w], *rare))
+                d, k, n, h, cw, rv, rw = (np.concatenate(x) for x in zip(*waiting, strict=True))
                 mine, rest = rows[c.first : c.first + size], len(d)
                 # a row per document, which meets nothing, and those that wait
                 none, zero = np.zeros(rest, np.int64), np.zeros(size, np.int64)
                 both = lambda a, b: pa.array(np.concatenate([a, b]))
                 ids = batch.column(0).slice(c.first, size)
                 columns = [both(mine, mine[d]), pa.concat_arrays([ids, pa.nulls(rest, ids.type)]), both(-1 - mine, k.view(np.int64))]
-                columns += [both(zero, x) for x in (n, own, cv, cw, rv, rw)]
+                columns += [both(zero, x) for x in (n, h, cw, rv, rw)]
                 columns += [both(tokens, none), both(n_seen, none), both(score, none.astype(np.float64))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = f"_row long, key {kind}, _k long, _n long, _own long, _cv long, _cw long, _v long, _w long, _tokens long, _seen long, _score double"
+    kinds = f"_row long, key {kind}, _k long, _n long, _h long, _cw long, _v long, _w long, _tokens long, _seen long, _score double"
     names = [x.split()[0] for x in kinds.split(", ")]
     waiting = docs.select(key, F.monotonically_increasing_id().alias("_row"), text).mapInArrow(run, kinds)
     table = pairs.union(counts.select("w", "n")).toDF("_k", "c")
     met = waiting.join(table, "_k", "left")
     n, left = F.col("_n"), F.col("c") - F.col("_n")
-    seen = (F.col("_own") > 0) & (left > 0)
+    bigram = (F.col("_cw") > 0) | (F.col("_w") != 0)
+    seen = bigram & (left > 0)
     v, w = (F.when(seen & (F.col(x) != 0), F.col(x)) for x in ("_v", "_w"))
     lift = F.log(left) - log_alpha
-    lift = lift - F.when(F.col("_v") == 0, F.log(F.greatest(F.col("_cv") - F.col("_own"), left))).otherwise(0.0)
+    lift = lift - F.when(F.col("_v") == 0, F.log(F.greatest("_h", left))).otherwise(0.0)
     lift = lift - F.when(F.col("_w") == 0, F.log(F.col("_cw") / total)).otherwise(0.0)
-    part = F.when(n == 0, 0.0).when(F.col("_own") == 0, n * F.log(F.col("c") / total)).when(seen, n * lift).otherwise(0.0)
+    part = F.when(n == 0, 0.0).when(~bigram, n * F.log(F.col("c") / total)).when(seen, n * lift).otherwise(0.0)
     open_ = v.isNotNull() | w.isNotNull()
     parts = met.select(
         "_row", "key", v.alias("_v"), w.alias("_w"),
-        F.when(v.isNotNull(), F.col("_own")).alias("_own"), F.when(v.isNotNull(), left).alias("_left"), F.when(open_, n).otherwise(0).alias("_n"),
+        F.when(v.isNotNull(), F.col("_h")).alias("_h"), F.when(v.isNotNull(), left).alias("_left"), F.when(open_, n).otherwise(0).alias("_n"),
         F.col("_tokens"), (F.col("_seen") + F.when(seen, n).otherwise(0)).alias("_seen"), (F.col("_score") + part).alias("_score"),
     )
     sums = [F.sum(x).alias(x) for x in ("_n", "_tokens", "_seen", "_score")]
-    parts = parts.groupBy("_row", "_v", "_w", "_own", "_left").agg(F.max("key").alias("key"), *sums)
+    parts = parts.groupBy("_row", "_v", "_w", "_h", "_left").agg(F.max("key").alias("key"), *sums)
     # few wait for the counts of words outside the head; the others meet nothing, each at a key of its own
     for word, named in (("_v", "_nv"), ("_w", "_nw")):
         own = counts.select(F.col("w").alias("_x"), F.col("n").alias(named))
         parts = parts.withColumn("_x", F.coalesce(word, -1 - F.col("_row"))).join(own, "_x", "left").drop("_x")
-    more = F.when(F.col("_v").isNotNull(), F.log(F.greatest(F.col("_nv") - F.col("_own"), F.col("_left")))).otherwise(0.0)
+    more = F.when(F.col("_v").isNotNull(), F.log(F.greatest(F.col("_nv") + F.col("_h"), F.col("_left")))).otherwise(0.0)
     more = more + F.when(F.col("_w").isNotNull(), F.log(F.col("_nw") / total)).otherwise(0.0)
     summed = parts.groupBy("_row").agg(
         F.max("key").alias(key), F.sum("_tokens").alias("n_tokens"), F.sum("_seen").alias("n_seen"), F.sum(F.col("_score") - F.col("_n") * more).alias("score")
