@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tributary.llm import words as W
 from tributary.llm.automaton import SuffixAutomaton
+from tributary.llm.shared import aside
 
 WINDOW = 10
 SHARD_WORDS = 200_000
@@ -223,6 +224,10 @@ def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """Documents without hit spans; one that the benchmark covers beyond the limit is dropped whole."""
-    found = contamination(docs, benchmark)
-    return without_spans(found.where(F.col("n_hit") <= F.col("n_words") * max_coverage)).select(*docs.columns)
+    """Documents without hit spans; one that the benchmark covers beyond the limit is dropped whole.
+
+    Rows with null or repeated ids are rows like others; columns of any name pass through.
+    """
+    own, names = aside(docs, ADDED.names)
+    found = contamination(own, benchmark)
+    return without_spans(found.where(F.col("n_hit") <= F.col("n_words") * max_coverage)).select(*own.columns).withColumnsRenamed(names)

@@ -15,8 +15,8 @@ have no score there. Words and bigrams are keyed by 64-bit hashes; no word is me
    ``HEAD`` most frequent bigrams (bounded) are settled where the text is read. Bitmaps of fixed size
    tell most words and bigrams that occur once from the others; those that may occur twice, and the words outside
    the head, are exploded into (row, key, frequency) rows and joined to the count tables by one shuffle.
-3. Parts are summed per row; the few bigrams that lift a word outside the head, or have one as their
-   history, meet the word counts then.
+   A repeated bigram of words outside the head has their counts in its row of the table.
+3. Parts are summed per row.
 
 Defined cases: null or empty text has no words and score 0 (and no mean); repeated rows are scored each
 on its own and count each time, so exact copies vouch for each other; null keys are kept; an empty table
@@ -38,8 +38,10 @@ from tributary.llm import words as W
 from tributary.llm.shared import most_frequent, saved
 
 HEAD_WORDS = 1 << 20
-HEAD = 2_000_000
+HEAD = 1_000_000
 ALPHA = 0.4
+#: Stands for the count of a word outside the head.
+OUTSIDE = -1
 #: Bits of the bitmaps of repeated words and bigrams, as a power of two: 16 MB each at any size of the corpus.
 FILTER_BITS = 27
 
@@ -127,20 +129,39 @@ class Bitmap:
         return (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bigram_counts(docs: DataFrame, several: Broadcast, text: str = "text") -> DataFrame:
-    """(k, c): bigrams that occur twice or more. A word that occurs once is in none."""
+def bigram_counts(docs: DataFrame, several: Broadcast, known: Broadcast, text: str = "text") -> DataFrame:
+    """(k, c, v, w): bigrams that occur twice or more; v and w are the hashes of words outside the head, else 0.
+
+    A word that occurs once is in none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.zeros(0, np.uint64)]
+            own = [(np.zeros(0, np.uint64),) * 3]
             for c in W.chunks(batch.column(0)):
                 at, some = neighbours(c), several.value.has(c.hash)
                 at = at[some[at] & some[at + 1]]
-                own.append(pair_keys(c.hash[at], c.hash[at + 1]))
-            k, n = np.unique(np.concatenate(own), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
+                rare = np.where(known.value.of(c.hash) > 0, np.uint64(0), c.hash)
+                own.append((pair_keys(c.hash[at], c.hash[at + 1]), rare[at], rare[at + 1]))
+            key, v, w = (np.concatenate(x) for x in zip(*own, strict=True))
+            k, place, n = np.unique(key, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(x[place].view(np.int64)) for x in (v, w))], names=["k", "n", "v", "w"])
+
+    pairs = docs.select(text).mapInArrow(run, "k long, n long, v long, w long")
+    # all rows of a key have the same v and w
+    return pairs.groupBy("k").agg(F.sum("n").alias("c"), F.max("v").alias("v"), F.max("w").alias("w")).where("c > 1")
+
 
-    return docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("c")).where("c > 1")
+def count_table(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_k, c, cv, cw): words and repeated bigrams, with the counts of the latter's words outside the head."""
+    none = F.lit(None).cast("long")
+    rare = pairs.where("v <> 0 or w <> 0")
+    # such a word is in few bigrams that repeat: no key of these joins is hot, and those without it have keys of their own
+    for word, named in (("v", "cv"), ("w", "cw")):
+        own = counts.select(F.col("w").alias("x"), F.col("n").alias(named))
+        rare = rare.withColumn("x", F.when(F.col(word) != 0, F.col(word)).otherwise(F.col("k"))).join(own, "x", "left").drop("x")
+    two = pairs.where("v = 0 and w = 0").select("k", "c", none, none).union(rare.select("k", "c", "cv", "cw"))
+    return two.union(counts.select("w", "n", none, none)).toDF("_k", "c", "cv", "cw")
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD, alpha: float = ALPHA, head_words: int = HEAD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -150,7 +171,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     known = spark.sparkContext.broadcast(head_table(counts, "w", "n", head_words))
     several = spark.sparkContext.broadcast(Bitmap(counts.where("n > 1"), "w", filter_bits))
-    pairs = saved(bigram_counts(docs, several, text), "bigrams")
+    pairs = saved(bigram_counts(docs, several, known, text), "bigrams")
     frequent = spark.sparkContext.broadcast(head_table(pairs, "k", "c", head))
     repeated = spark.sparkContext.broadcast(Bitmap(pairs, "k", filter_bits))
     log_alpha = float(np.log(alpha))
@@ -171,7 +192,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
                 out = count == 0
                 score = np.bincount(doc[place[~out]], (log_p * n_own)[~out], size) + log_alpha * np.maximum(tokens - 1, 0)
                 none = np.zeros(int(out.sum()), np.int64)
-                waiting = [(doc[place[out]], c.hash[place[out]], n_own[out], none, none, none, none)]
+                waiting = [(doc[place[out]], c.hash[place[out]], n_own[out], none, none)]
                 # bigrams
                 at = neighbours(c)
                 k = pair_keys(c.hash[at], c.hash[at + 1])
@@ -188,48 +209,34 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
                 # what a word outside the head is part of waits, and what may occur twice but is not in the head
                 more = np.flatnonzero(np.where(c2 > 0, (left > 0) & ~common, again.has(k)))
                 v, w = v[more], w[more]
-                rare = [np.where(count[x] > 0, np.uint64(0), c.hash[place[x]]).view(np.int64) for x in (v, w)]
-                waiting.append((d[more], k[more], n[more], count[v] - n_own[v], count[w], *rare))
-                d, k, n, h, cw, rv, rw = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                # words outside the head: what is taken out of their count, or OUTSIDE
+                waiting.append((d[more], k[more], n[more], count[v] - n_own[v], np.where(count[w] > 0, count[w], OUTSIDE)))
+                d, k, n, h, cw = (np.concatenate(x) for x in zip(*waiting, strict=True))
                 mine, rest = rows[c.first : c.first + size], len(d)
                 # a row per document, which meets nothing, and those that wait
                 none, zero = np.zeros(rest, np.int64), np.zeros(size, np.int64)
                 both = lambda a, b: pa.array(np.concatenate([a, b]))
                 ids = batch.column(0).slice(c.first, size)
                 columns = [both(mine, mine[d]), pa.concat_arrays([ids, pa.nulls(rest, ids.type)]), both(-1 - mine, k.view(np.int64))]
-                columns += [both(zero, x) for x in (n, h, cw, rv, rw)]
+                columns += [both(zero, x) for x in (n, h, cw)]
                 columns += [both(tokens, none), both(n_seen, none), both(score, none.astype(np.float64))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = f"_row long, key {kind}, _k long, _n long, _h long, _cw long, _v long, _w long, _tokens long, _seen long, _score double"
+    kinds = f"_row long, key {kind}, _k long, _n long, _h long, _cw long, _tokens long, _seen long, _score double"
     names = [x.split()[0] for x in kinds.split(", ")]
     waiting = docs.select(key, F.monotonically_increasing_id().alias("_row"), text).mapInArrow(run, kinds)
-    table = pairs.union(counts.select("w", "n")).toDF("_k", "c")
-    met = waiting.join(table, "_k", "left")
-    n, left = F.col("_n"), F.col("c") - F.col("_n")
-    bigram = (F.col("_cw") > 0) | (F.col("_w") != 0)
+    met = waiting.join(count_table(counts, pairs), "_k", "left")
+    n, left, bigram = F.col("_n"), F.col("c") - F.col("_n"), F.col("_cw") != 0
     seen = bigram & (left > 0)
-    v, w = (F.when(seen & (F.col(x) != 0), F.col(x)) for x in ("_v", "_w"))
-    lift = F.log(left) - log_alpha
-    lift = lift - F.when(F.col("_v") == 0, F.log(F.greatest("_h", left))).otherwise(0.0)
-    lift = lift - F.when(F.col("_w") == 0, F.log(F.col("_cw") / total)).otherwise(0.0)
+    history = F.greatest(F.when(F.col("_h") < 0, F.col("cv") + F.col("_h")).otherwise(F.col("_h")), left)
+    word = F.when(F.col("_cw") == OUTSIDE, F.col("cw")).otherwise(F.col("_cw"))
+    lift = F.log(left / history) - log_alpha - F.log(word / total)
     part = F.when(n == 0, 0.0).when(~bigram, n * F.log(F.col("c") / total)).when(seen, n * lift).otherwise(0.0)
-    open_ = v.isNotNull() | w.isNotNull()
-    parts = met.select(
-        "_row", "key", v.alias("_v"), w.alias("_w"),
-        F.when(v.isNotNull(), F.col("_h")).alias("_h"), F.when(v.isNotNull(), left).alias("_left"), F.when(open_, n).otherwise(0).alias("_n"),
-        F.col("_tokens"), (F.col("_seen") + F.when(seen, n).otherwise(0)).alias("_seen"), (F.col("_score") + part).alias("_score"),
-    )
-    sums = [F.sum(x).alias(x) for x in ("_n", "_tokens", "_seen", "_score")]
-    parts = parts.groupBy("_row", "_v", "_w", "_h", "_left").agg(F.max("key").alias("key"), *sums)
-    # few wait for the counts of words outside the head; the others meet nothing, each at a key of its own
-    for word, named in (("_v", "_nv"), ("_w", "_nw")):
-        own = counts.select(F.col("w").alias("_x"), F.col("n").alias(named))
-        parts = parts.withColumn("_x", F.coalesce(word, -1 - F.col("_row"))).join(own, "_x", "left").drop("_x")
-    more = F.when(F.col("_v").isNotNull(), F.log(F.greatest(F.col("_nv") + F.col("_h"), F.col("_left")))).otherwise(0.0)
-    more = more + F.when(F.col("_w").isNotNull(), F.log(F.col("_nw") / total)).otherwise(0.0)
-    summed = parts.groupBy("_row").agg(
-        F.max("key").alias(key), F.sum("_tokens").alias("n_tokens"), F.sum("_seen").alias("n_seen"), F.sum(F.col("_score") - F.col("_n") * more).alias("score")
+    summed = met.groupBy("_row").agg(
+        F.max("key").alias(key),
+        F.sum("_tokens").alias("n_tokens"),
+        F.sum(F.col("_seen") + F.when(seen, n).otherwise(0)).alias("n_seen"),
+        F.sum(F.col("_score") + part).alias("score"),
     )
     return summed.select(key, "n_tokens", "n_seen", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
 

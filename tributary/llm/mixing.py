@@ -28,6 +28,8 @@ SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 MOST = 2
 POOL = 256
+#: Sums that the dynamic programme tells apart: 20 MB of tables.
+MOST_SUMS = 1 << 22
 BITS = 5
 LEVELS = 12
 SEED = 20_240_131
@@ -59,6 +61,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.astype(np.int64)
+    if budget > MOST_SUMS:  # very long documents: sums in larger units, lengths rounded up
+        unit = -(-budget // MOST_SUMS)
+        lengths, budget = -(-lengths // unit), budget // unit
     parts: list[tuple[int, int]] = []  # (place of the length, how many at once): 1, 2, 4, ... and the rest
     for i, (size, n) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         k = 1
@@ -143,7 +148,10 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The mix: each document that is taken, once, with how often (``times``) and what the contract gives."""
+    """The mix: each document that is taken, once, with how often (``times``) and what the contract gives.
+
+    Rows with null or repeated ids are rows like others; columns that clash with the added ones are replaced.
+    """
     added = ["size", "source_size", "target", "taken", "times"]
     own = docs.drop(*added)
     # the whole row goes through the mix: a doc_id may be null or occur again

@@ -70,3 +70,10 @@ def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
             break
         room, least = room - r["count"], r["b"]
     return counts.where(level >= least) if least is not None else counts.limit(0)
+
+
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns of these names put aside under others, and how to name them back."""
+    taken = [*docs.columns, *names]
+    new = {c: f"_aside{'_' * max(map(len, taken))}{k}" for k, c in enumerate(docs.columns) if c in names}
+    return docs.withColumnsRenamed(new), {v: k for k, v in new.items()}

@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tributary.llm import words as W
 from tributary.llm.automaton import SuffixAutomaton
-from tributary.llm.shared import saved
+from tributary.llm.shared import aside, saved
 
 WINDOW = 20
 GROUP = 4
@@ -272,5 +272,6 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Documents without repeated spans; one of which nothing is left goes."""
-    return deduplicated(docs).where("n_words = 0 or n_removed < n_words").select(*docs.columns)
+    """Documents without repeated spans; one of which nothing is left goes. Columns of any name pass through."""
+    own, names = aside(docs, [*ADDED, "_marks", "_doc", "_wanted"])
+    return deduplicated(own).where("n_words = 0 or n_removed < n_words").select(*own.columns).withColumnsRenamed(names)
