@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from tributary.llm import words as W
 from tributary.llm.shared import most_frequent, saved
 
-HEAD_WORDS = 1 << 20
+HEAD_WORDS = 1 << 19
 HEAD = 1_000_000
 ALPHA = 0.4
 #: Stands for the count of a word outside the head.
 OUTSIDE = -1
-#: Bits of the bitmaps of repeated words and bigrams, as a power of two: 16 MB each at any size of the corpus.
-FILTER_BITS = 27
+#: Bits of the bitmaps of repeated words and bigrams, as a power of two: 8 MB each at any size of the corpus.
+FILTER_BITS = 26
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
