@@ -179,7 +179,8 @@ def factored(df: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
 
 def concentrated(rows: DataFrame) -> DataFrame:
     """Moments of the rows (g, start, d2, z0, ...) up to the median of d2."""
-    cuts = rows.groupBy("g", "start").agg(median(F.col("d2")).alias("cut"))
+    # a table of its own: its size is known, so the rows of a large group aren't dealt by its key
+    cuts = saved(rows.groupBy("g", "start").agg(median(F.col("d2")).alias("cut")), "cuts")
     return moments(rows.join(cuts, ["g", "start"]).where("d2 <= cut"))
 
 
