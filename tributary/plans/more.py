@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import shapes
-from tributary.operators import frames, review
+from tributary.operators import cells, comparison, frames, review
 from tributary.plans.oracles import ORACLES
 from tributary.plans.queries import money, number, query
 from tributary.sources.tables import table
 
 
+def micros(at: str) -> Column:
+    """Microseconds of a time without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(at))
+
+
 @query
 def frame_distribution(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
@@ -182,3 +187,139 @@ def recent_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["recent_events"] = "SELECT event_id, user_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE"
+
+
+# --- comparisons
+
+
+def _mappers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two ways to say what an order's kind is: by its heaviest line, and by its dearest."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_partkey")
+    by = lambda c, least: lines.where(F.col("l_quantity") > least).groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct(c, -F.col("l_linenumber"), "l_partkey")).alias("kind"))
+    return by("l_quantity", 30), by("l_extendedprice", 10)
+
+
+MAPPERS = """
+ a AS (SELECT l_orderkey, l_returnflag AS kind FROM lineitem WHERE l_quantity > 30 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey DESC) = 1),
+ b AS (SELECT l_orderkey, l_returnflag AS kind FROM lineitem WHERE l_quantity > 10 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey DESC) = 1),
+ m AS (SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, a.kind AS left_value, b.kind AS right_value,
+   CASE WHEN b.kind IS NULL THEN 'left_only' WHEN a.kind IS NULL THEN 'right_only' WHEN a.kind = b.kind THEN 'agree' ELSE 'conflict' END AS outcome FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey)"""
+
+
+@query
+def mapper_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return comparison.compared(*_mappers(spark, d), "l_orderkey", "kind")
+
+
+ORACLES["mapper_comparison"] = f"WITH {MAPPERS} SELECT * FROM m"
+
+
+@query
+def mapper_comparison_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = comparison.compared(*_mappers(spark, d), "l_orderkey", "kind")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    return comparison.summary(rows.join(orders, "l_orderkey"), ["o_orderpriority"])
+
+
+ORACLES["mapper_comparison_summary"] = f"""
+WITH {MAPPERS}, c AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (outcome IN ('agree', 'conflict')) AS comparable, count(*) FILTER (outcome = 'agree') AS agreed FROM m JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT *, round(CASE WHEN comparable > 0 THEN agreed / comparable ELSE 0.0 END, 6) AS agreement FROM c"""
+
+
+@query
+def rows_losing_all_candidates(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    return comparison.losing_all(lines, lines.where("l_quantity > 30 AND l_discount < 0.05"), "l_orderkey")
+
+
+ORACLES["rows_losing_all_candidates"] = "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30 AND l_discount < 0.05)"
+
+
+@query
+def pipeline_overlap(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    return comparison.overlap(lines.where("l_quantity > 25"), lines.where("l_discount > 0.05"), "l_orderkey")
+
+
+ORACLES["pipeline_overlap"] = """
+WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 25), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.05)
+SELECT count(a.l_orderkey) AS n_left, count(b.l_orderkey) AS n_right, count(*) FILTER (a.l_orderkey = b.l_orderkey) AS n_both, round(count(*) FILTER (a.l_orderkey = b.l_orderkey) / count(*), 6) AS jaccard
+FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey"""
+
+
+@query
+def review_confusion(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    return comparison.confusion(lines, ["l_returnflag"], F.col("l_quantity") > 25, F.col("l_extendedprice") > 30000)
+
+
+ORACLES["review_confusion"] = """
+WITH c AS (SELECT l_returnflag, count(*) FILTER (l_quantity > 25 AND l_extendedprice > 30000) AS tp, count(*) FILTER (l_quantity > 25 AND NOT l_extendedprice > 30000) AS fp,
+ count(*) FILTER (NOT l_quantity > 25 AND l_extendedprice > 30000) AS fn, count(*) FILTER (NOT l_quantity > 25 AND NOT l_extendedprice > 30000) AS tn FROM lineitem GROUP BY 1)
+SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall FROM c"""
+
+
+# --- cells and lines
+
+
+@query
+def cell_matrix(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.col("l_quantity").cast("int").cast("string")).alias("cell"))
+    return cells.matrix(own, ["l_orderkey"], "l_linenumber", "cell").select("l_orderkey", F.array_join("cells", "|").alias("cells"))
+
+
+ORACLES["cell_matrix"] = "SELECT l_orderkey, string_agg(l_returnflag || CAST(CAST(l_quantity AS INT) AS VARCHAR), '|' ORDER BY l_linenumber, l_returnflag || CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS cells FROM lineitem GROUP BY 1"
+
+
+@query
+def header_year_map(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a customer's orders: the first that names a year gives it to its column."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("row"), "o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("Year "), F.year("o_orderdate").cast("string"))).otherwise(F.lit("Group")).alias("cell"))
+    return cells.header_years(o, ["o_custkey"], "o_orderstatus", "cell").withColumn("year", F.col("year").cast("long"))
+
+
+ORACLES["header_year_map"] = "SELECT o_custkey, o_orderstatus, arg_min(year(o_orderdate), o_orderkey) AS year FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2"
+
+
+@query
+def trailing_amounts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws("  ", "p_name", F.format_number(money("p_retailprice"), 2), F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")"))).alias("line"))
+    x = cells.trailing_amounts(F.col("line"))
+    return p.select("p_partkey", x.alias("x")).select("p_partkey", F.col("x.label").alias("label"), F.array_join("x.amounts", " ").alias("amounts"))
+
+
+ORACLES["trailing_amounts"] = "SELECT p_partkey, p_name AS label, format('{:,.2f}', CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE)) || ' (' || p_size || ')' AS amounts FROM part"
+
+
+@query
+def adjacent_merge(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", micros("ts").alias("at"))
+    return cells.merged(e, ["user_id"], ["at", "event_id"], "event_type", "at", F.lit(12 * 3_600_000_000))
+
+
+ORACLES["adjacent_merge"] = """
+WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS us FROM events),
+ n AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR us - lag(us) OVER w > 43200000000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+ b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS block FROM n)
+SELECT user_id, min(us) AS first, max(us) AS last, any_value(event_type) AS event_type, count(*) AS n FROM b GROUP BY user_id, block"""
+
+
+@query
+def embedded_json(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("answer: "), "props", F.lit(" end"))).otherwise("event_type").alias("t"))
+    found = cells.embedded_json(F.col("t"))
+    return e.select("event_id", F.get_json_object(found, "$.k").cast("long").alias("k"))
+
+
+ORACLES["embedded_json"] = "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events"
+
+
+@query
+def elapsed_millis(spark: SparkSession, d: str) -> DataFrame:
+    """Whole milliseconds since the same user's event before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = micros("ts")
+    return table(spark, d, "events").select("event_id", F.floor((at - F.lag(at).over(w)) / 1000).alias("elapsed_ms"))
+
+
+ORACLES["elapsed_millis"] = "SELECT event_id, CAST(floor((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000) AS BIGINT) AS elapsed_ms FROM events"
