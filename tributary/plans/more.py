@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import shapes
-from tributary.operators import cells, comparison, frames, review
+from tributary.operators import cells, comparison, examples, frames, lines, review
 from tributary.plans.oracles import ORACLES
 from tributary.plans.queries import money, number, query
 from tributary.sources.tables import table
@@ -323,3 +323,41 @@ def elapsed_millis(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["elapsed_millis"] = "SELECT event_id, CAST(floor((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000) AS BIGINT) AS elapsed_ms FROM events"
+
+
+@query
+def text_line_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document, as a row, amounts or a paragraph, with its label, section and years."""
+    return lines.line_candidates(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+ORACLES["text_line_candidates"] = rf"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+ l AS (SELECT doc_id, CAST(unnest(range(len(t))) AS BIGINT) AS line, unnest(t) AS x FROM s),
+ k AS (SELECT *, regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS clean,
+  CASE WHEN length(x) <= {lines.SHORT} AND regexp_matches(x, '{lines.YEARS}') THEN 'years' WHEN regexp_matches(x, '{lines.AMOUNTS}') THEN 'amounts' WHEN regexp_matches(x, '{lines.ROW}') THEN 'row'
+   WHEN length(x) <= {lines.SHORT} AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') THEN 'heading'
+   WHEN length(x) <= {lines.SHORT} AND NOT regexp_matches(x, '[.!?][ \t\r]*$') THEN 'label' ELSE 'paragraph' END AS kind
+  FROM l WHERE NOT regexp_matches(x, '{lines.BLANK}')),
+ o AS (SELECT *, lag(CASE kind WHEN 'label' THEN clean END) OVER w AS before, last_value(CASE kind WHEN 'heading' THEN clean END IGNORE NULLS) OVER w AS section,
+  last_value(CASE kind WHEN 'years' THEN array_to_string(regexp_extract_all(x, '{lines.YEAR}'), ' ') END IGNORE NULLS) OVER w AS years FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line))
+SELECT doc_id, line, kind, CASE kind WHEN 'row' THEN regexp_extract(x, '{lines.ROW}', 1) WHEN 'amounts' THEN before END AS label,
+ CASE WHEN kind <> 'paragraph' THEN array_to_string(regexp_extract_all(CASE kind WHEN 'row' THEN regexp_extract(x, '{lines.ROW}', 2) ELSE x END, '{lines.AMOUNT}'), ' ') END AS amounts, section, years
+FROM o WHERE kind IN ('row', 'amounts', 'paragraph')"""
+
+
+@query
+def fewshot_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """For every benchmark item the three labelled documents that have most of its words."""
+    items = table(spark, d, "benchmark").select("item_id", examples.word_set(F.col("text")).alias("words"))
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    own = docs.select("doc_id", examples.word_set(F.col("text")).alias("words"))
+    return examples.similar_examples(items, own, "item_id", "doc_id", 0.3, 3)
+
+
+ORACLES["fewshot_retrieval"] = """
+WITH i AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))) AS a FROM benchmark),
+ e AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))) AS b FROM documents JOIN labels USING (doc_id)),
+ p AS (SELECT item_id, doc_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS n_shared, len(a) AS n FROM i, e)
+SELECT item_id, doc_id, n_shared, round(CAST(n_shared AS DOUBLE) / n, 6) AS share, row_number() OVER w AS rank FROM p WHERE n > 0 AND n_shared * 10 >= n * 3
+WINDOW w AS (PARTITION BY item_id ORDER BY n_shared DESC, doc_id) QUALIFY row_number() OVER w <= 3"""
