@@ -18,7 +18,8 @@ def similar_examples(rows: DataFrame, examples: DataFrame, row: str, example: st
     Both sides bring their key and an array `words`. A row of n words needs ceil(least * n) of them in an
     example, so one of its n - ceil(least * n) + 1 rarest words is there: only those are joined, and
     frequent words never are unless a row has nothing else. Every found pair is then decided on its
-    whole sets. Ties go to the smaller key; rows without words have no examples.
+    whole sets. Ties go to the smaller key. Keys are unique on their side;
+    rows without words, and either side's rows without a key, are in no pair.
     """
     need = F.ceil(F.size("words") * F.lit(least).cast("decimal(9,6)"))
     spread = examples.select(example, F.explode("words").alias("w"))
