@@ -25,7 +25,6 @@ of any name pass through.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -62,63 +61,65 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ADDED = [*STATS, "base_failed", "distance", "kept"]
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), value being computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+def pairs(a: Column, b: Column, off: int) -> Column:
+    """64-bit hashes of each entry of a with the entry of b that stands `off` places on."""
+    return F.zip_with(F.slice(a, 1, F.size(b) - off), F.slice(b, off + 1, F.size(b)), lambda x, y: F.xxhash64(x, y))
 
 
-def word_array(text: Column) -> Column:
-    """Words; white space at the ends goes first, so that no word is empty."""
-    return let(F.btrim(text, F.lit(WHITE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+")))
+def like_neighbours(sorted_keys: Column, low: Column) -> Column:
+    """Of sorted longs, the low bits of those that agree with a neighbour in the other bits."""
+    high = lambda x: x.bitwiseAND(F.bitwise_not(low))
+    same = lambda x, y: F.coalesce(high(x) == high(y), F.lit(False))
+    found = F.filter(sorted_keys, lambda x, i: same(F.get(sorted_keys, i - 1), x) | same(F.get(sorted_keys, i + 1), x))
+    return F.transform(found, lambda x: x.bitwiseAND(low).cast("int"))
 
 
-def repeat_words(words: Column, size: int = 5) -> Column:
-    """Words in windows of so many words that the text has twice or more (windows by 64-bit hash)."""
+def with_repeat_words(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """rows with `out`: words in five-word windows that the text has twice or more (windows by hash).
 
-    def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size))))
-
-    def covered(at: Column) -> Column:
-        gaps = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(b - a, F.lit(size)))
-        return F.aggregate(gaps, F.lit(size), lambda x, y: x + y)
-
-    def places(w: Column) -> Column:
-        # of the sorted hashes, those equal to a neighbour are the repeated ones
-        order = F.array_sort(w)
-        twice = let(order, lambda o: F.array_distinct(F.filter(o, lambda h, i: (i > 0) & (F.get(o, i - 1) == h))))
-        return let(twice, lambda x: F.filter(F.transform(w, lambda h, i: F.when(F.array_contains(x, h), i)), lambda i: i.isNotNull()))
-
-    def repeated(w: Column) -> Column:
-        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(places(w), covered)).otherwise(0)
-
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    # without a word that occurs twice no window does
-    some = (F.size(words) > size) & (F.size(F.array_distinct(words)) < F.size(words))
-    return F.when(some, let(let(hashes, windows), repeated)).otherwise(0)
+    Windows are sorted as longs, their place in the low bits, so a text costs n log n. What agrees there is
+    held against each other once more by the bits that the places had covered.
+    """
+    h, fours, w, low, at = (F.col(f"_{x}") for x in ("hashes", "fours", "windows", "low", "at"))
+    shifted = lambda x: F.call_function("shiftleft", x, F.ceil(F.log2(F.size(w) + 1)).cast("int"))
+    rows = rows.withColumn("_hashes", F.transform(words, lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("_twos", F.when(F.size(h) > 5, pairs(h, h, 1)))
+    rows = rows.withColumn("_fours", pairs(F.col("_twos"), F.col("_twos"), 2))
+    # without four words that occur twice no window does
+    rows = rows.withColumn("_windows", F.when(F.size(F.array_distinct(fours)) < F.size(fours), pairs(fours, h, 4)))
+    rows = rows.withColumn("_low", shifted(F.lit(1).cast("long")) - 1)
+    rows = rows.withColumn("_order", F.sort_array(F.transform(w, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))))
+    rows = rows.withColumn("_at", like_neighbours(F.col("_order"), low))
+    rows = rows.withColumn("_order", F.sort_array(F.transform(at, lambda i: shifted(F.get(w, i)).bitwiseOR(i.cast("long")))))
+    rows = rows.withColumn("_at", F.sort_array(like_neighbours(F.col("_order"), low)))
+    new = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(b - a, F.lit(5)))
+    total_words = F.when(F.size(at) > 0, F.aggregate(new, F.lit(5), lambda x, y: x + y)).otherwise(0)
+    return rows.withColumn(out, total_words).drop("_hashes", "_twos", "_fours", "_windows", "_low", "_order", "_at")
 
 
 def with_statistics(docs: DataFrame, text: str = "text", carried: list[str] | None = None) -> DataFrame:
     """``_doc`` (the carried columns), ``_lang``, ``_source``, the base statistics and ``_n_lines``, lines that have a word."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    counts = let(word_array(t), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), repeat_words(w).alias("r")))
-    dup = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     rows = docs.select(
         F.struct(*(c for c in (docs.columns if carried is None else carried) if c not in ADDED)).alias("_doc"),
         F.col("lang").cast("string").alias("_lang"),
         F.col("source").cast("string").alias("_source"),
-        counts.alias("_counts"),
+        # white space at the ends goes first, so that no word is empty
+        F.btrim(t, F.lit(WHITE)).alias("_text"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        dup.alias("_dup"),
+        lines.alias("_lines"),
     )
-    return rows.select(
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_words", F.when(F.col("_text") == "", none).otherwise(F.split("_text", r"[\x20\x09-\x0D]+")))
+    return with_repeat_words(rows, "_words", "_repeated").select(
         "_doc", "_lang", "_source",
-        F.col("_counts.n").cast("long").alias("n_words"),
-        F.col("_counts.c").cast("long").alias("word_chars"),
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
-        F.col("_dup.d").cast("long").alias("n_dup_lines"),
-        F.col("_counts.r").cast("long").alias("n_repeat_words"),
-        F.col("_dup.n").cast("long").alias("_n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.col("_repeated").cast("long").alias("n_repeat_words"),
+        F.size("_lines").cast("long").alias("_n_lines"),
     )
 
 
