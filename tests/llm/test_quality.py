@@ -22,6 +22,14 @@ def brute(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def test_repeated_words_of_long_texts(spark):
+    seeded = random.Random(6)
+    once = [str(seeded.randrange(10**9)) for _ in range(20000)]
+    texts = [" ".join(once), " ".join(once + once), " ".join(once + ["x"] + once[100:104] + ["y"] + once[200:206]), "a " * 3000, "a b c d e", "a b c d e a b c d e"]
+    got = quality.with_statistics(cases.frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)]), carried=["doc_id"])
+    assert {r.doc_id: r.n_repeat_words for r in got.select("_doc.doc_id", "n_repeat_words").collect()} == {k: brute(t)[4] for k, t in enumerate(texts)}
+
+
 def test_statistics_and_base_rule(spark):
     rows = cases.documents() + [(500, "a b c d e\n" * 3 + "x # | <y> z", "en", "s", 1), (500, "a b c d e\n" * 3, "en", "s", 1), (501, "  é x\x1cy", None, None, 2)]
     docs = cases.frame(spark, rows).selectExpr("*", "'clash' as kept", "5 as n_words")
