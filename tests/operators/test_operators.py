@@ -52,6 +52,16 @@ def test_ranges_keep_every_point(spark):
     assert got == {i: "ambiguous" if i == 4 else "assigned" if 2 <= i < 7 else "unassigned" for i in range(10)}
 
 
+def test_ranges_with_nulls_and_ends(spark):
+    rng = random.Random(5)
+    part = lambda: rng.choice([None, *range(20)])
+    points = [(i // 2, rng.choice(["a", "b", None]), part()) for i in range(120)]
+    spans = [(rng.choice(["a", "b", None]), part(), part()) for _ in range(40)]
+    held = lambda k, p: sum(k is not None and k == x and None not in (p, s) and p >= s and (e is None or p < e) for x, s, e in spans)
+    got = joins.point_in_range(spark.createDataFrame(points, "id int, k string, p int"), spark.createDataFrame(spans, "k string, s int, e int"), ["k"], "p", "s", "e", "id")
+    assert sorted(map(str, ((r.id, r.k, r.p, r.n_ranges) for r in got.collect()))) == sorted(str((i, k, p, held(k, p))) for i, k, p in points)
+
+
 def test_leave_one_out_is_a_loop_over_folds(spark):
     rng = random.Random(3)
     rows = [(f"f{rng.randrange(4)}", rng.randrange(5), f"t{rng.randrange(3)}") for _ in range(150)]
