@@ -67,3 +67,43 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{SPACE}') AS ws
  c AS (SELECT doc_id, min(other) AS least FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.least, d.doc_id) AS kept
 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def crc32(key: str) -> str:
+    """SQL of the CRC-32 of an ASCII string; the table ``crc`` has the list t of the 256 remainders."""
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({key}, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1])))"
+
+
+EIGHT = "list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+CRC = f"crc AS (SELECT list({EIGHT} ORDER BY i) AS t FROM range(256) r(i))"
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+INSERTED = """SELECT conv_id, i, CASE WHEN ins = 0 THEN st WHEN st = 'u' THEN 'a' ELSE 'u' END AS st, cost + 5 * ins AS cost, audit || CASE ins WHEN 1 THEN 'I' ELSE '' END AS audit,
+ made || CASE WHEN ins = 0 THEN '' WHEN st = 'u' THEN 'assistant:' || chr(10) ELSE 'user:' || chr(10) END AS made FROM p CROSS JOIN (VALUES (0), (1)) v(ins)"""
+
+# cheapest edits: one row per conversation, place and state, the cheapest of each kept; '' s u a are the states
+ORACLES["op12_conversation_repair"] = f"""
+WITH RECURSIVE {CRC},
+ k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS act FROM conversations, crc),
+ d AS (SELECT conv_id, turn, CASE act WHEN 4 THEN 'user' ELSE role END AS role, CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, range(2) v(copy) WHERE act <> 0 AND (copy = 0 OR act = 3)),
+ f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, {WHITE}) AS bare,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d),
+ g AS (SELECT *, left(role, 1) AS ini, CASE WHEN bare = '' THEN 'b' WHEN again THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM f),
+ n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (after IS NOT NULL AND ini || after NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1),
+p AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS st, 0::BIGINT AS cost, '' AS audit, '' AS made FROM g
+  UNION ALL
+  SELECT conv_id, i, st, cost, audit, made FROM (
+   SELECT q.conv_id, g.i, CASE e.edit WHEN 'D' THEN q.st WHEN 'K' THEN g.ini ELSE e.ini END AS st,
+    q.cost + e.price + CASE WHEN e.edit <> 'D' AND g.fault = 't' THEN 5 ELSE 0 END AS cost, q.audit || e.edit AS audit,
+    q.made || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN g.role || ':' || g.text || chr(10) ELSE e.role || ':' || g.text || chr(10) END AS made
+   FROM ({INSERTED}) q JOIN g ON g.conv_id = q.conv_id AND g.i = q.i + 1
+   JOIN (VALUES ('D', '', '', 2), ('K', '', '', 0), ('R', 'u', 'user', 1), ('R', 'a', 'assistant', 1)) e(edit, ini, role, price)
+    ON e.edit = 'D' OR (g.fault NOT IN ('b', 'd') AND (CASE e.edit WHEN 'K' THEN g.ini ELSE e.ini END = CASE q.st WHEN 'u' THEN 'a' ELSE 'u' END OR (q.st = '' AND e.edit = 'K' AND g.ini = 's')))) x
+  QUALIFY row_number() OVER (PARTITION BY conv_id, i, st ORDER BY cost, audit) = 1),
+ z AS (SELECT q.* FROM ({INSERTED}) q JOIN n ON n.conv_id = q.conv_id AND n.rows = q.i WHERE st IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY q.conv_id ORDER BY cost, audit) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(made, length(made) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n USING (conv_id) LEFT JOIN z USING (conv_id)"""
