@@ -107,3 +107,19 @@ p AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS st, 0::BIGINT AS cost, '' A
 SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(made, length(made) - 1), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n USING (conv_id) LEFT JOIN z USING (conv_id)"""
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH {CRC},
+ k AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '{SPACE}')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+ t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM k),
+ c AS (SELECT conv_id, conv_id - conv_id % 20 AS family, {crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+ r AS (SELECT c.conv_id, pos, k, w FROM c JOIN t ON t.conv_id = c.family AND pos <= h UNION ALL SELECT c.conv_id, pos, k, w FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+ q AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, w, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r),
+ a AS (SELECT conv_id, depth, w, path FROM q UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+ l AS (SELECT conv_id, max(depth) AS n FROM a GROUP BY 1),
+ n AS (SELECT path, any_value(depth) AS depth, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = l.n), '') AS ends FROM a JOIN l USING (conv_id) GROUP BY 1),
+ h AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+ m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN h USING (path)),
+ s AS (SELECT left(path, 32 * up) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS up FROM m) GROUP BY 1)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN n p ON m.depth > 0 AND p.path = left(m.path, length(m.path) - 32)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import decontaminate, langid, licenses, lm, mixing, near_dup, quality, repair, substring, token_counts, warc
+from tributary.llm import decontaminate, langid, licenses, lm, mixing, near_dup, prefix_trie, quality, repair, substring, token_counts, warc
 from tributary.llm.oracles import ORACLES
 from tributary.llm.shared import table
 
@@ -51,6 +51,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op11(table(spark, sf_dir, "conversations"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.op12(table(spark, sf_dir, "conversations"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_decontamination,
         op10_near_duplicates,
+        op11_prefix_trie,
         op12_conversation_repair,
         pipeline,
     )
