@@ -123,3 +123,11 @@ WITH {CRC},
  s AS (SELECT left(path, 32 * up) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS up FROM m) GROUP BY 1)
 SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
 FROM m JOIN s USING (path) LEFT JOIN n p ON m.depth > 0 AND p.path = left(m.path, length(m.path) - 32)"""
+
+# what the two passes should find in pages whose article is marked: every heading and paragraph of it
+ORACLES["op13_html_text"] = r"""
+WITH p AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS inner_html FROM pages),
+ b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(inner_html, '</?(?:h[1-6]|p)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(
+  regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM p),
+ t AS (SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM t"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import decontaminate, langid, licenses, lm, mixing, near_dup, prefix_trie, quality, repair, substring, token_counts, warc
+from tributary.llm import decontaminate, html_text, langid, licenses, lm, mixing, near_dup, prefix_trie, quality, repair, substring, token_counts, warc
 from tributary.llm.oracles import ORACLES
 from tributary.llm.shared import table
 
@@ -59,6 +59,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.op12(table(spark, sf_dir, "conversations"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op13(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_near_duplicates,
         op11_prefix_trie,
         op12_conversation_repair,
+        op13_html_text,
         pipeline,
     )
 }
