@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm.shared import bounded, saved
+from tributary.llm.shared import bounded, release, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 SIZE = 16
@@ -62,7 +62,6 @@ def digested(turns: DataFrame) -> DataFrame:
 
 def rebuilt(convs: DataFrame) -> DataFrame:
     """Conversations that begin with the first h turns of their family's first, h by crc32 of the id."""
-    convs = saved(convs, "conversations")
     family = F.col("conv_id") - F.col("conv_id") % FAMILY
     heads = convs.where(F.col("conv_id") % FAMILY == 0).select(F.col("conv_id").alias("family"), F.slice("turns", 1, MOST_SHARED).alias("head"))
     h = (F.crc32(F.encode(F.col("conv_id").cast("string"), "utf-8")) % (MOST_SHARED + 1)).cast("int")
@@ -226,7 +225,9 @@ def trie(convs: DataFrame) -> DataFrame:
     ends = chunks.groupBy("chunk").agg(F.min("path").alias("first"), F.max("path").alias("last"))
     ends = ends.select("chunk", "first", "last", F.lag("last").over(by_chunk).alias("before"), F.lead("first").over(by_chunk).alias("after"))
     bounds = saved(ends.mapInPandas(bounds_of, "chunk int, left int, right int"), "bounds")
+    release(paths)
     parts = saved(chunks.join(bounds, "chunk").groupBy("chunk").applyInPandas(lambda x: grown(x), PARTS), "parts")
+    release(chunks, bounds)
     seams = parts.where("seam").groupBy("key").agg(
         *(F.first(c).alias(c) for c in ("parent_key", "depth", "words")),
         F.min("conv_id").alias("conv_id"), F.max("ends").alias("ends"), F.sum(F.col("saved")[0]).alias("saved"),
@@ -253,4 +254,7 @@ def trie(convs: DataFrame) -> DataFrame:
 
 def op11(turns: DataFrame) -> DataFrame:
     bounded(turns.sparkSession)
-    return trie(rebuilt(digested(turns)))
+    convs = saved(digested(turns), "conversations")
+    nodes = trie(rebuilt(convs))
+    release(convs)
+    return nodes
