@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tributary.llm import quality
@@ -127,3 +128,30 @@ def test_columns_of_any_name_pass(spark):
     got = quality.stage(docs)
     assert got.columns == docs.columns and {r.n_words for r in got.collect()} == {10}
     assert quality.quality(docs).count() == len(rows)
+
+
+def test_generated_code_compiles(spark):
+    """Where code generation fails, Spark interprets and only logs it; here it raises."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.codegen.fallback", "spark.sql.codegen.factoryMode")}
+    try:
+        spark.conf.set("spark.sql.codegen.fallback", "false")
+        spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+        assert quality.quality(cases.frame(spark, cases.documents())).count() == 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_inverse_by_minors_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], []
+    for _ in range(20):
+        a = rng.normal(0, 1, (4, 4)) * rng.choice([0.01, 1, 5], 4)[:, None]
+        c, y = a @ a.T + np.diag(np.square(quality.FLOORS)), rng.normal(0, 1, 4)
+        rows.append([float(x) for x in (*(c[i, j] for i, j in quality.LOWER), *y)])
+        want.append((np.linalg.det(c), y @ np.linalg.solve(c, y)))
+    frame = spark.createDataFrame(rows, ", ".join([f"c{i}{j} double" for i, j in quality.LOWER] + [f"y{i} double" for i in range(4)]))
+    cofactors, det = quality.adjugate({(i, j): F.col(f"c{i}{j}") for i, j in quality.LOWER})
+    got = frame.select(det.alias("det"), (quality.quadratic(cofactors, [F.col(f"y{i}") for i in range(4)]) / det).alias("d2")).collect()
+    for r, (d, q) in zip(got, want, strict=True):
+        assert abs(r.det - d) <= 1e-6 * abs(d) and abs(r.d2 - q) <= 1e-5 * abs(q)

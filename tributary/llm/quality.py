@@ -31,12 +31,14 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import saved
+from tributary.llm.shared import release, saved
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Concentration steps from all starts, before the best go on.
 STEPS = 2
+#: Steps after that, at most; the determinant converges long before.
+MOST_STEPS = 30
 #: A determinant that falls by less than this share has converged.
 FALL = 1e-3
 #: Squared distance beyond which a vector is rejected; chi-square of 4 degrees exceeds it with 1e-4.
@@ -47,6 +49,8 @@ FLOORS = (0.01, 0.01, 0.01, 0.01)
 #: What is known of a group before its rows are: standard deviations, and how many rows that counts for.
 PRIOR = (0.1, 0.2, 0.2, 0.25)
 PRIOR_ROWS = 5
+#: No covariance of the floors above has a smaller determinant.
+LEAST_DET = 1e-20
 #: Seeded directions among the starts.
 DIRECTIONS = ((0.8, 0.3, -0.4, 0.3), (0.2, -0.7, 0.3, 0.6))
 #: Entries of a quantile summary: ranks are exact to a thousandth of a group's rows.
@@ -61,66 +65,56 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ADDED = [*STATS, "base_failed", "distance", "kept"]
 
 
-def pairs(a: Column, b: Column, off: int) -> Column:
-    """64-bit hashes of each entry of a with the entry of b that stands `off` places on."""
-    return F.zip_with(F.slice(a, 1, F.size(b) - off), F.slice(b, off + 1, F.size(b)), lambda x, y: F.xxhash64(x, y))
+def windows_of(words: Column) -> Column:
+    """64-bit hashes of the five-word windows, by their start."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 4, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(words, i + k) for k in range(1, 5))))
 
 
-def like_neighbours(sorted_keys: Column, low: Column) -> Column:
-    """Of sorted longs, the low bits of those that agree with a neighbour in the other bits."""
-    high = lambda x: x.bitwiseAND(F.bitwise_not(low))
-    same = lambda x, y: F.coalesce(high(x) == high(y), F.lit(False))
-    found = F.filter(sorted_keys, lambda x, i: same(F.get(sorted_keys, i - 1), x) | same(F.get(sorted_keys, i + 1), x))
-    return F.transform(found, lambda x: x.bitwiseAND(low).cast("int"))
+def repeat_words(windows: Column) -> Column:
+    """Words in windows that the text has twice or more. windows: ``windows_of`` its words.
 
+    Only a text that repeats a window at all has them sorted, with their places: n log n.
+    """
+    placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-def with_repeat_words(rows: DataFrame, words: str, out: str) -> DataFrame:
-    """rows with `out`: words in five-word windows that the text has twice or more (windows by hash).
+    def starts_of(order: Column) -> Column:
+        again = lambda x, k: F.coalesce(F.get(order, k)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(order, lambda x, k: again(x, k - 1) | again(x, k + 1)), lambda x: x["i"]))
 
-    Windows are sorted as longs, their place in the low bits, so a text costs n log n. What agrees there is
-    held against each other once more by the bits that the places had covered.
-    """
-    h, fours, w, low, at = (F.col(f"_{x}") for x in ("hashes", "fours", "windows", "low", "at"))
-    shifted = lambda x: F.call_function("shiftleft", x, F.ceil(F.log2(F.size(w) + 1)).cast("int"))
-    rows = rows.withColumn("_hashes", F.transform(words, lambda x: F.xxhash64(x)))
-    rows = rows.withColumn("_twos", F.when(F.size(h) > 5, pairs(h, h, 1)))
-    rows = rows.withColumn("_fours", pairs(F.col("_twos"), F.col("_twos"), 2))
-    # without four words that occur twice no window does
-    rows = rows.withColumn("_windows", F.when(F.size(F.array_distinct(fours)) < F.size(fours), pairs(fours, h, 4)))
-    rows = rows.withColumn("_low", shifted(F.lit(1).cast("long")) - 1)
-    rows = rows.withColumn("_order", F.sort_array(F.transform(w, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))))
-    rows = rows.withColumn("_at", like_neighbours(F.col("_order"), low))
-    rows = rows.withColumn("_order", F.sort_array(F.transform(at, lambda i: shifted(F.get(w, i)).bitwiseOR(i.cast("long")))))
-    rows = rows.withColumn("_at", F.sort_array(like_neighbours(F.col("_order"), low)))
-    new = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(b - a, F.lit(5)))
-    total_words = F.when(F.size(at) > 0, F.aggregate(new, F.lit(5), lambda x, y: x + y)).otherwise(0)
-    return rows.withColumn(out, total_words).drop("_hashes", "_twos", "_fours", "_windows", "_low", "_order", "_at")
+    def covered(at: Column) -> Column:
+        new = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(b - a, F.lit(5)))
+        return F.aggregate(new, F.lit(5), lambda x, y: x + y)
+
+    # one-element arrays hold what is used more than once
+    held = F.transform(F.transform(F.array(placed), starts_of), covered)
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.get(held, F.lit(0))).otherwise(0)
 
 
 def with_statistics(docs: DataFrame, text: str = "text", carried: list[str] | None = None) -> DataFrame:
     """``_doc`` (the carried columns), ``_lang``, ``_source``, the base statistics and ``_n_lines``, lines that have a word."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
+    # white space at the ends goes first, so that no word is empty
+    bare = F.btrim(t, F.lit(WHITE))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
     rows = docs.select(
         F.struct(*(c for c in (docs.columns if carried is None else carried) if c not in ADDED)).alias("_doc"),
         F.col("lang").cast("string").alias("_lang"),
         F.col("source").cast("string").alias("_source"),
-        # white space at the ends goes first, so that no word is empty
-        F.btrim(t, F.lit(WHITE)).alias("_text"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
+        words.alias("_words"),
     )
-    none = F.array().cast("array<string>")
-    rows = rows.withColumn("_words", F.when(F.col("_text") == "", none).otherwise(F.split("_text", r"[\x20\x09-\x0D]+")))
-    return with_repeat_words(rows, "_words", "_repeated").select(
+    rows = rows.select(
         "_doc", "_lang", "_source",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.col("_repeated").cast("long").alias("n_repeat_words"),
+        windows_of(F.col("_words")).alias("_windows"),
         F.size("_lines").cast("long").alias("_n_lines"),
     )
+    return rows.withColumn("n_repeat_words", repeat_words(F.col("_windows")).cast("long")).drop("_windows")
 
 
 def base_failed() -> Column:
@@ -154,40 +148,55 @@ def starts() -> list[Column]:
     return [total([x * x for x in u]), *(x * x for x in u), *directions]
 
 
+def adjugate(c: dict[tuple[int, int], Column]) -> tuple[dict[tuple[int, int], Column], Column]:
+    """Cofactors and determinant of a symmetric 4 x 4 matrix, from its 2 x 2 minors: one expression each."""
+    at = lambda i, j: c[max(i, j), min(i, j)]
+    upper = {(i, j): at(0, i) * at(1, j) - at(0, j) * at(1, i) for i in DIMS for j in DIMS if i < j}
+    lower = {(i, j): at(2, i) * at(3, j) - at(2, j) * at(3, i) for i in DIMS for j in DIMS if i < j}
+    rows = {0: (1, lower), 1: (0, lower), 2: (3, upper), 3: (2, upper)}
+
+    def cofactor(i: int, j: int) -> Column:
+        r, minors = rows[i]
+        a, b, d = (k for k in DIMS if k != j)
+        x = at(r, a) * minors[b, d] - at(r, b) * minors[a, d] + at(r, d) * minors[a, b]
+        return x if (i + j) % 2 == 0 else -x
+
+    det = total([sign * upper[p] * lower[q] for sign, p, q in ((1, (0, 1), (2, 3)), (-1, (0, 2), (1, 3)), (1, (0, 3), (1, 2)), (1, (1, 2), (0, 3)), (-1, (1, 3), (0, 2)), (1, (2, 3), (0, 1)))])
+    return {(i, j): cofactor(i, j) for i, j in LOWER}, F.greatest(det, F.lit(LEAST_DET))
+
+
+def quadratic(p: dict[tuple[int, int], Column], y: list[Column]) -> Column:
+    return total([p[i, j] * y[i] * y[j] * (1.0 if i == j else 2.0) for i, j in LOWER])
+
+
 def moments(near: DataFrame) -> DataFrame:
-    """Per group and start: mean and covariance of the rows, with what is known before, its Cholesky factor and determinant."""
+    """Per group and start: mean and covariance of the rows, with what is known before, its inverse and determinant."""
     z = [F.col(f"z{i}") for i in DIMS]
     own = near.groupBy("g", "start").agg(
         F.count("*").alias("h"),
         *(F.avg(z[i]).alias(f"m{i}") for i in DIMS),
         *((F.covar_pop(z[i], z[j]) if i != j else F.var_pop(z[i])).alias(f"c{i}{j}") for i, j in LOWER),
     )
-    own = saved(own, "moments")
     share = F.col("h") / (F.col("h") + PRIOR_ROWS)
-    known = {f"c{i}{j}": share * F.col(f"c{i}{j}") + ((1 - share) * PRIOR[i] ** 2 + FLOORS[i] ** 2 if i == j else 0.0) for i, j in LOWER}
-    det = reduce(lambda a, b: a * b, (F.col(f"l{i}{i}") * F.col(f"l{i}{i}") for i in DIMS))
-    return factored(own.withColumns(known)).withColumn("det", det)
-
-
-def factored(df: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
-    """df with l00, ...: the Cholesky factor of the covariance c00, ..., `more` being added to its diagonal."""
-    for j in DIMS:
-        rest = lambda i, j=j: total([F.lit(0.0), *(F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j))])
-        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") + (more[j] if more else 0.0) - rest(j), F.lit(FLOORS[j] ** 2 / 1e3))))
-        df = df.withColumns({f"l{i}{j}": (F.col(f"c{i}{j}") - rest(i)) / F.col(f"l{j}{j}") for i in DIMS if i > j})
-    return df
+    own = own.withColumns({f"c{i}{j}": share * F.col(f"c{i}{j}") + ((1 - share) * PRIOR[i] ** 2 + FLOORS[i] ** 2 if i == j else 0.0) for i, j in LOWER})
+    cofactors, det = adjugate({(i, j): F.col(f"c{i}{j}") for i, j in LOWER})
+    return own.withColumns({"det": det} | {f"a{i}{j}": cofactors[i, j] for i, j in LOWER})
 
 
 def concentrated(rows: DataFrame) -> DataFrame:
     """Moments of the rows (g, start, d2, z0, ...) up to the median of d2."""
     # a table of its own: its size is known, so the rows of a large group aren't dealt by its key
     cuts = saved(rows.groupBy("g", "start").agg(median(F.col("d2")).alias("cut")), "cuts")
-    return moments(rows.join(cuts, ["g", "start"]).where("d2 <= cut"))
+    models = saved(moments(rows.join(cuts, ["g", "start"]).where("d2 <= cut")), "moments")
+    release(cuts)
+    return models
 
 
 def step(vectors: DataFrame, models: DataFrame) -> DataFrame:
     """One concentration step from each model."""
-    return concentrated(distances(vectors.join(models, "g")).select("g", "start", *(f"z{i}" for i in DIMS), "d2"))
+    y = [F.col(f"z{i}") - F.col(f"m{i}") for i in DIMS]
+    d2 = quadratic({(i, j): F.col(f"a{i}{j}") for i, j in LOWER}, y) / F.col("det")
+    return concentrated(vectors.join(models, "g").select("g", "start", *(f"z{i}" for i in DIMS), d2.alias("d2")))
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
@@ -200,21 +209,25 @@ def estimates(vectors: DataFrame) -> DataFrame:
     off = {f"o{i}": F.col(f"z{i}") - F.col(f"q{i}") for i in DIMS}
     begun = vectors.join(medians, "g").withColumns(off).select("g", *z, *off)
     spread = saved(begun.groupBy("g").agg(*((1.4826 * median(F.abs(f"o{i}")) + FLOORS[i]).alias(f"s{i}") for i in DIMS)), "deviations")
-    models = concentrated(begun.join(spread, "g").select("g", *z, F.posexplode(F.array(*starts())).alias("start", "d2")))
+    tables = [concentrated(begun.join(spread, "g").select("g", *z, F.posexplode(F.array(*starts())).alias("start", "d2")))]
+    release(medians, spread)
     for _ in range(STEPS):
-        models = step(vectors, models)
+        tables.append(step(vectors, tables[-1]))
+        release(tables.pop(0))
     best = Window.partitionBy("g").orderBy("det", "start")  # over one row per start
-    models = saved(models.withColumn("_place", F.row_number().over(best)).where("_place <= 2").drop("_place"), "models")
-    falling = models
-    while True:
+    falling = tables[0].withColumn("_place", F.row_number().over(best)).where("_place <= 2").drop("_place")
+    for _ in range(MOST_STEPS):
+        new = step(vectors, falling)
         was = falling.select("g", "start", F.col("det").alias("was"))
-        new = saved(step(vectors, falling).join(was, ["g", "start"]).where(F.col("det") < (1 - FALL) * F.col("was")).drop("was"), "models")
-        if new.isEmpty():
+        tables.append(new)
+        falling = new.join(was, ["g", "start"]).where(F.col("det") < (1 - FALL) * F.col("was")).drop("was")
+        if falling.isEmpty():
             break
-        models = saved(models.join(new.select("g", "start"), ["g", "start"], "left_anti").unionByName(new), "models")
-        falling = new
-    best = Window.partitionBy("g").orderBy("det", "start")
-    return models.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place", *(f"l{i}{j}" for i, j in LOWER))
+    # a start's determinant never rises, so the least of all steps is the last that fell
+    models = reduce(DataFrame.unionByName, tables).withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place", *(f"a{i}{j}" for i, j in LOWER))
+    found = saved(models, "models")
+    release(*tables)
+    return found
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -227,28 +240,24 @@ def judged(rows: DataFrame) -> DataFrame:
     centred = {f"z{i}": F.col(f"x{i}") - F.lit(middle[i] or 0.0) for i in DIMS}
     vectors = saved(some.withColumns(centred).select("g", *centred, *(f"v{i}" for i in DIMS)), "vectors")
     # the mean too is that of the rows and of PRIOR_ROWS rows in the middle of the corpus
-    model = saved(estimates(vectors).withColumns({f"m{i}": F.col("h") / (F.col("h") + PRIOR_ROWS) * F.col(f"m{i}") for i in DIMS}), "estimates")
+    found = estimates(vectors)
+    model = found.withColumns({f"m{i}": F.col("h") / (F.col("h") + PRIOR_ROWS) * F.col(f"m{i}") for i in DIMS})
     # rows in the middle of the distances lie where chi-square has its median, or nearer
-    halves = final_distances(vectors.join(model, "g")).groupBy("g").agg(median(F.col("d2")).alias("half"))
+    halves = vectors.join(model, "g").select("g", final_distance().alias("d2")).groupBy("g").agg(median(F.col("d2")).alias("half"))
     # (one row says nothing of that)
     known = (F.col("h") - 1) / (F.col("h") - 1 + PRIOR_ROWS)
-    scales = saved(halves.join(model.select("g", "h"), "g").select("g", F.pow(F.greatest(F.lit(1.0), F.col("half") / CHI2_MEDIAN), known).alias("scale")), "scales")
-    met = rows.withColumns(centred).join(model, "g", "left").join(scales, "g", "left")
-    distance = F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))
-    return final_distances(met).withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUT))
-
-
-def distances(df: DataFrame) -> DataFrame:
-    """df with ``d2``: squared Mahalanobis distance by the factor l00, ...; forward substitution."""
-    for i in DIMS:
-        rest = total([F.lit(0.0), *(F.col(f"l{i}{j}") * F.col(f"y{j}") for j in range(i))])
-        df = df.withColumn(f"y{i}", (F.col(f"z{i}") - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}"))
-    return df.withColumn("d2", total([F.col(f"y{i}") * F.col(f"y{i}") for i in DIMS]))
-
-
-def final_distances(df: DataFrame) -> DataFrame:
-    """df with ``d2``, the covariance being the model's and the row's sampling variance v0, ..."""
-    return distances(factored(df, tuple(F.col(f"v{i}") for i in DIMS)))
+    scale = F.pow(F.greatest(F.lit(1.0), F.col("half") / CHI2_MEDIAN), known)
+    model = saved(model.join(halves, "g").withColumn("scale", scale).drop("half", "start", "det", "h"), "estimates")
+    release(found, vectors)
+    met = rows.withColumns(centred).join(model, "g", "left")
+    distance = F.when(~F.col("base_failed"), final_distance() / F.col("scale"))
+    return met.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(False)))
+
+
+def final_distance() -> Column:
+    """Squared Mahalanobis distance, the covariance being the model's c00, ... and the row's sampling variance v0, ..."""
+    cofactors, det = adjugate({(i, j): F.col(f"c{i}{j}") + F.col(f"v{i}") if i == j else F.col(f"c{i}{j}") for i, j in LOWER})
+    return quadratic(cofactors, [F.col(f"z{i}") - F.col(f"m{i}") for i in DIMS]) / det
 
 
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
