@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import tributary.plans.more  # noqa: F401
+import tributary.plans.structure  # noqa: F401
 import tributary.plans.queries as q
 from tributary.plans.oracles import ORACLES
 
