@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators import retrieval
+from tributary.operators import anchors, retrieval
 from tributary.plans.oracles import ORACLES
 from tributary.plans.queries import query
 from tributary.sources.tables import table
@@ -110,3 +110,69 @@ SELECT row_id, qname, CASE WHEN exclusion_reason IS NULL THEN row_number() OVER
  {", ".join(f"CASE WHEN why IS NULL THEN {p}::DOUBLE END AS {p}" for p in _PARTS)}, CASE WHEN why IS NULL THEN reasons END AS reasons, exclusion_reason FROM u"""
 ORACLES["section_retrieval"] = f"""{_AUDIT_SQL}
 SELECT row_id, qname, row_number() OVER (PARTITION BY row_id ORDER BY total DESC, qname) AS rank, total AS total_score FROM u WHERE exclusion_reason IS NULL QUALIFY rank <= 5"""
+
+
+# --- document structure
+
+
+def document_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, line, text): the lines of the texts that have a letter."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.where(F.col("text").rlike(r"\p{L}"))
+
+
+@query
+def heading_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Every second line as an entry by its first words, every line as a heading: which heading does it get?"""
+    first = lambda n: F.regexp_extract("text", rf"^(\S+(?: \S+){{0,{n - 1}}})", 1)
+    lines = document_lines(spark, d)
+    entries = lines.where("line % 2 = 0").select(
+        "doc_id", F.col("line").cast("long").alias("entry_no"), F.concat(first(6), F.lit(" ... 7")).alias("title"), F.floor(F.col("line") / 4).cast("int").alias("printed_page"),
+        F.lit(None).cast("string").alias("printed_label"), F.when(F.col("line") < 12, "front").otherwise("body").alias("scheme"),
+    )
+    headings = lines.select(
+        "doc_id", F.col("line").cast("long").alias("heading_id"), (F.floor(F.col("line") / 4) + 3).cast("int").alias("page"), first(7).alias("text"), F.when(F.col("line") % 3 == 0, "title").alias("role"),
+        (F.col("line") % 4).cast("double").alias("top"), F.lit(4.0).alias("page_height"), F.array((F.floor(F.col("line") / 4)).cast("string")).alias("page_labels"), (F.col("line") % 5 == 0).alias("before_table"),
+    )
+    return anchors.anchors(entries, headings)
+
+
+_SQL_TITLE = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[\s.]*\d*\s*$', ''), '^\s*(note\s+)?\d+(\.\d+)*[.)]?\s+', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_TITLE_WORDS = lambda x: f"list_filter(list_distinct(string_split({x}, ' ')), lambda w: w NOT IN ('', 'the', 'of', 'and', 'to', 'for', 'in', 'on', 'a', 'an', 'by', 'as', 'at'))"
+ORACLES["heading_anchors"] = rf"""
+WITH RECURSIVE x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+ l AS (SELECT doc_id, line, text FROM (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS text FROM x) WHERE regexp_matches(text, '\p{{L}}')),
+ f AS (SELECT doc_id, line, regexp_extract(text, '^(\S+(?: \S+){{0,5}})', 1) AS six, regexp_extract(text, '^(\S+(?: \S+){{0,6}})', 1) AS seven FROM l),
+ n AS (SELECT doc_id, line, seven, {_SQL_TITLE("six || ' ... 7'")} AS e_norm, {_SQL_TITLE("seven")} AS h_norm FROM f),
+ w AS (SELECT *, {_TITLE_WORDS("e_norm")} AS ew, {_TITLE_WORDS("h_norm")} AS hw FROM n),
+ p AS (SELECT a.doc_id, a.line AS entry_no, b.line AS heading_id, a.line // 4 AS printed_page, b.line // 4 + 3 AS page, CASE WHEN a.line < 12 THEN 'front' ELSE 'body' END AS scheme, a.e_norm, b.h_norm, a.ew, b.hw, b.seven AS text,
+   len(list_intersect(a.ew, b.hw)) AS k, len(a.ew) AS m, len(b.hw) AS n, length(replace(a.e_norm, ' ', '')) AS la, length(replace(b.h_norm, ' ', '')) AS lb
+  FROM w a JOIN w b ON a.doc_id = b.doc_id WHERE a.line % 2 = 0 AND len(list_intersect(a.ew, b.hw)) > 0),
+ q AS (SELECT *, round(CASE WHEN e_norm = h_norm THEN 1 ELSE 2 * k / (m + n)::DOUBLE END, 4) AS alike, k / m::DOUBLE AS expected, k / n::DOUBLE AS observed, least(la, lb) / greatest(la, lb)::DOUBLE AS lengths,
+   string_split(substr(h_norm, length(e_norm) + 2), ' ')[1] AS next_word, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS uppers FROM p),
+ s AS (SELECT *, CASE WHEN e_norm = h_norm THEN 'same_title' WHEN list_sort(ew) = list_sort(hw) THEN 'same_words'
+   WHEN starts_with(h_norm, e_norm || ' ') AND (next_word IN ('continued', 'cont', 'consolidated', 'group', 'company', 'notes') OR regexp_matches(next_word, '^[0-9]+$')) THEN 'title_and_qualifier'
+   WHEN alike >= 0.84 AND least(expected, observed) >= 0.6 AND lengths >= 0.6 THEN 'most_words'
+   WHEN (contains(h_norm, e_norm) OR contains(e_norm, h_norm)) AND least(la, lb) >= 8 AND expected >= CASE WHEN m <= 3 THEN 1 ELSE 0.8 END AND observed >= 0.8 AND lengths >= 0.45 THEN 'one_within_the_other' END AS method FROM q),
+ t AS (SELECT *, CASE method WHEN 'same_title' THEN 'A' WHEN 'most_words' THEN 'C' WHEN 'one_within_the_other' THEN 'D' ELSE 'B' END AS tier,
+   round(least(1, CASE method WHEN 'same_title' THEN 0.9 WHEN 'same_words' THEN 0.89 WHEN 'title_and_qualifier' THEN 0.87 + least(0.08, alike * 0.08) WHEN 'most_words' THEN 0.78 + alike * 0.16 + least(expected, observed) * 0.04
+     ELSE 0.74 + least(expected, observed) * 0.12 + lengths * 0.06 END::DOUBLE
+    + CASE WHEN heading_id % 3 = 0 THEN 0.07 ELSE 0 END + CASE WHEN letters > 0 AND uppers >= 0.8 * letters THEN 0.03 ELSE 0 END + CASE WHEN heading_id % 4 <= 1 THEN 0.05 ELSE 0 END
+    + CASE WHEN heading_id // 4 = printed_page THEN 0.03 ELSE 0 END + CASE WHEN heading_id % 5 = 0 THEN 0.02 ELSE 0 END), 4) AS score FROM s WHERE method IS NOT NULL),
+ v AS (SELECT *, round(expected, 4) AS cover FROM t WHERE score >= 0.68),
+ best AS (SELECT * FROM v WHERE tier IN ('A', 'B') QUALIFY row_number() OVER (PARTITION BY doc_id, entry_no ORDER BY tier, alike DESC, cover DESC, score DESC, page, heading_id) = 1),
+ vote AS (SELECT doc_id, scheme, page - 1 - printed_page AS off, round(sum(CASE tier WHEN 'A' THEN 1 ELSE 0.9 END * (0.65 + 0.35 * alike)), 9) AS support, count(*) AS votes FROM best GROUP BY 1, 2, 3),
+ o AS (SELECT doc_id, scheme, off FROM (SELECT *, sum(support) OVER (PARTITION BY doc_id, scheme) AS total, row_number() OVER (PARTITION BY doc_id, scheme ORDER BY support DESC, votes DESC, abs(off), off) AS place FROM vote)
+  WHERE place = 1 AND votes >= 2 AND support >= 0.72 * total),
+ c AS (SELECT v.doc_id, entry_no, heading_id, page, tier, method, score, abs(page - 1 - printed_page - off) AS distance,
+   row_number() OVER (PARTITION BY v.doc_id, entry_no ORDER BY tier, alike DESC, cover DESC, coalesce(abs(page - 1 - printed_page - off), 0), score DESC, page, heading_id) AS place FROM v LEFT JOIN o USING (doc_id, scheme)),
+ e AS (SELECT doc_id, entry_no, row_number() OVER (PARTITION BY doc_id ORDER BY entry_no) AS i FROM (SELECT DISTINCT doc_id, entry_no FROM c)),
+ r AS (SELECT doc_id, 0::BIGINT AS i, NULL::BIGINT AS entry_no, NULL::BIGINT AS heading_id, []::BIGINT[] AS used FROM e WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, entry_no, heading_id, CASE WHEN heading_id IS NULL THEN used ELSE list_append(used, heading_id) END FROM (
+   SELECT r.doc_id, e.i, e.entry_no, r.used, c.heading_id, c.place FROM r JOIN e ON e.doc_id = r.doc_id AND e.i = r.i + 1 LEFT JOIN c ON c.doc_id = e.doc_id AND c.entry_no = e.entry_no AND NOT list_contains(r.used, c.heading_id)
+  ) QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY place) = 1),
+ g AS (SELECT r.doc_id, r.entry_no, r.heading_id, c.page, c.tier, c.method, c.score, c.distance, c.place, list_filter(r.used, lambda u: u <> r.heading_id) AS before FROM r JOIN c USING (doc_id, entry_no, heading_id)),
+ near AS (SELECT g.doc_id, g.entry_no, bool_or(c.page <> g.page) AS near_tie, bool_or(c.page = g.page) AS same_page_tie FROM g JOIN c ON c.doc_id = g.doc_id AND c.entry_no = g.entry_no AND c.place > g.place AND c.tier = g.tier
+   AND round(g.score - c.score, 4) <= 0.12 AND NOT list_contains(g.before, c.heading_id) GROUP BY 1, 2)
+SELECT g.doc_id, g.entry_no, g.heading_id, g.page, g.tier, g.method, g.score, g.distance, coalesce(near_tie, false) AS near_tie, coalesce(same_page_tie, false) AS same_page_tie FROM g LEFT JOIN near USING (doc_id, entry_no)"""
