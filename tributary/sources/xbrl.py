@@ -1,8 +1,15 @@
-"""XBRL instances and linkbases, with Spark's own XML reader and functions."""
+"""XBRL instances and linkbases: contexts and units by Spark's XML functions, facts and arcs by an XML parser in Arrow batches.
+
+Facts keep their text: Spark's XML functions name every element in a schema, or, as a variant, turn 007
+into 7. An instance is one row, parsed in one task; its size is that of a report.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from xml.parsers import expat
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,53 +19,180 @@ def read_instances(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("rejected", F.col("text").rlike(r"(?i)<!\s*(DOCTYPE|ENTITY)"))
 
 
-def _blocks(text: Column, name: str) -> Column:
-    """Elements of this local name, with any prefix, as text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)<(?:\w+:)?{name}\b[^>]*?(?:/>|>.*?</(?:\w+:)?{name}\s*>)"), 0)
+#: What the reader of an instance needs of contexts and units, whatever their prefixes.
+_CONTEXT = """struct<_id: string, entity: struct<identifier: struct<_VALUE: string, _scheme: string>, segment: {0}>, scenario: {0}, period: struct<instant: string, startDate: string, endDate: string>>""".format(
+    "struct<explicitMember: array<struct<_VALUE: string, _dimension: string>>, typedMember: array<struct<_dimension: string, xs_any: array<string>>>>"
+)
+_INSTANCE = f"context array<{_CONTEXT}>, unit array<struct<_id: string, measure: array<string>, divide: struct<unitNumerator: struct<measure: array<string>>, unitDenominator: struct<measure: array<string>>>>>, schemaRef array<struct<_href: string>>"
+#: Children of an instance that are no facts.
+NO_FACTS = ("context", "unit", "schemaRef", "linkbaseRef", "roleRef", "arcroleRef", "footnoteLink")
+_ELEMENTS = "array<struct<place: int, above: int, depth: int, name: string, attributes: map<string, string>, text: string>>"
+
+
+def _elements_of(text: str | None) -> list[tuple] | None:
+    """Elements of one document in order: place, place of the parent, depth, name, attributes, text with that of what is inside.
+
+    Null for text that is not well-formed, or that declares a document type (entities could be anything).
+    """
+    found: list[list] = []
+    open_at: list[int] = []
+
+    def begin(name: str, attributes: dict[str, str]) -> None:
+        found.append([len(found), open_at[-1] if open_at else None, len(open_at), name, attributes, []])
+        open_at.append(len(found) - 1)
+
+    def data(piece: str) -> None:
+        for at in open_at[1:]:  # the root's text is that of the whole document
+            found[at][5].append(piece)
+
+    def refuse(*_) -> None:
+        raise ValueError("document type")
+
+    reader = expat.ParserCreate()
+    reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler, reader.StartDoctypeDeclHandler = begin, lambda _: open_at.pop(), data, refuse
+    try:
+        reader.Parse(text or "", True)
+    except (expat.ExpatError, ValueError):
+        return None
+    return [(*x[:5], "".join(x[5])) for x in found]
+
+
+def elements(text: str) -> Column:
+    """All elements of an XML document, by an XML parser: entities, CDATA and comments are what they are."""
+
+    @F.pandas_udf(_ELEMENTS)
+    def parsed(texts: pd.Series) -> pd.Series:
+        return texts.map(_elements_of)
 
+    return parsed(text)
 
-def _attribute(block: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(block, rf"""\b{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
 
+def problems(instances: DataFrame) -> DataFrame:
+    """(path, problem): files that are not read, and why. instances: path, text, rejected."""
+    why = F.when(F.col("rejected"), "document_type_declared").when(elements("text").isNull(), "not_well_formed")
+    return instances.select("path", why.alias("problem")).where("problem IS NOT NULL")
 
-def _inner(block: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(block, rf"(?s)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}\s*>", 1)), F.lit(""))
+
+def _read(instances: DataFrame) -> DataFrame:
+    return instances.where("not rejected").select("path", F.from_xml("text", F.lit(_INSTANCE), {"ignoreNamespace": "true"}).alias("x"))
 
 
 def contexts(instances: DataFrame) -> DataFrame:
-    """(path, context_ref, entity, period_start, period_end, instant, dimensions)."""
-    rows = instances.where("not rejected").select("path", F.explode(_blocks(F.col("text"), "context")).alias("c"))
-    members = F.transform(_blocks(F.col("c"), "explicitMember"), lambda m: F.concat(_attribute(m, "dimension"), F.lit("="), F.trim(F.regexp_extract(m, r">([^<]*)<", 1))))
-    return rows.select("path", _attribute(F.col("c"), "id").alias("context_ref"), _inner(F.col("c"), "identifier").alias("entity"), _inner(F.col("c"), "startDate").alias("period_start"), _inner(F.col("c"), "endDate").alias("period_end"), _inner(F.col("c"), "instant").alias("instant"), members.alias("dimensions"))
+    """(path, context_ref, entity, scheme, period_start, period_end, instant, dimensions, members).
+
+    dimensions: dimension=member, or dimension=value of a typed member; members: (type, dimension, member,
+    value). Both from segment and scenario.
+    """
+    rows = _read(instances).select("path", F.explode("x.context").alias("c"))
+    none = F.array()
+    member = "struct<type: string, dimension: string, member: string, value: string>"
+    parts = []
+    for at in ("c.entity.segment", "c.scenario"):
+        explicit = F.transform(F.col(f"{at}.explicitMember"), lambda m: F.named_struct(F.lit("type"), F.lit("explicit"), F.lit("dimension"), m["_dimension"], F.lit("member"), F.trim(m["_VALUE"]), F.lit("value"), F.lit(None).cast("string")))
+        typed = F.transform(F.col(f"{at}.typedMember"), lambda m: F.named_struct(F.lit("type"), F.lit("typed"), F.lit("dimension"), m["_dimension"], F.lit("member"), F.lit(None).cast("string"), F.lit("value"), F.trim(F.array_join(m["xs_any"], ""))))
+        parts += [F.coalesce(x, none).cast(f"array<{member}>") for x in (explicit, typed)]
+    period = lambda name: F.nullif(F.trim(F.col(f"c.period.{name}")), F.lit(""))
+    out = rows.select(
+        "path", F.col("c._id").alias("context_ref"), F.trim("c.entity.identifier._VALUE").alias("entity"), F.col("c.entity.identifier._scheme").alias("scheme"),
+        period("startDate").alias("period_start"), period("endDate").alias("period_end"), period("instant").alias("instant"), F.concat(*parts).alias("members"),
+    )
+    return out.withColumn("dimensions", F.transform("members", lambda m: F.concat(m["dimension"], F.lit("="), F.coalesce(m["member"], m["value"]))))
 
 
 def units(instances: DataFrame) -> DataFrame:
-    """(path, unit_ref, measures)."""
-    rows = instances.where("not rejected").select("path", F.explode(_blocks(F.col("text"), "unit")).alias("u"))
-    return rows.select("path", _attribute(F.col("u"), "id").alias("unit_ref"), F.transform(_blocks(F.col("u"), "measure"), lambda m: F.trim(F.regexp_extract(m, r">([^<]*)<", 1))).alias("measures"))
+    """(path, unit_ref, measures): of a ratio its numerator's measures, then its denominator's with a slash."""
+    rows = _read(instances).select("path", F.explode("x.unit").alias("u"))
+    none = F.array().cast("array<string>")
+    below = F.transform(F.col("u.divide.unitDenominator.measure"), lambda m: F.concat(F.lit("/"), F.trim(m)))
+    measures = F.concat(F.coalesce("u.measure", none), F.coalesce("u.divide.unitNumerator.measure", none))
+    return rows.select("path", F.col("u._id").alias("unit_ref"), F.concat(F.transform(measures, lambda m: F.trim(m)), F.coalesce(below, none)).alias("measures"))
+
+
+def schema_refs(instances: DataFrame) -> DataFrame:
+    """(path, href) of the schemas that an instance names."""
+    return _read(instances).select("path", F.explode("x.schemaRef").alias("r")).select("path", F.col("r._href").alias("href"))
 
 
 def facts(instances: DataFrame) -> DataFrame:
-    """A row per fact, joined to its context and unit; what is missing is a warning."""
-    found = F.regexp_extract_all(F.col("text"), F.lit(r"(?s)<\w[\w.-]*:[\w.-]+\s[^>]*\bcontextRef\s*=[^>]*?(?:/>|>[^<]*</[\w.:-]+\s*>)"), 0)
-    rows = instances.where("not rejected").select("path", F.posexplode(found).alias("place", "f"))
-    value = F.trim(F.regexp_extract(F.col("f"), r"(?s)>([^<]*)<", 1))
-    rows = rows.select(
-        "path", "place", F.regexp_extract("f", r"^<([\w.:-]+)", 1).alias("qname"), _attribute(F.col("f"), "contextRef").alias("context_ref"),
-        _attribute(F.col("f"), "unitRef").alias("unit_ref"), _attribute(F.col("f"), "decimals").alias("decimals"), value.alias("value"),
-        F.col("f").rlike(r"\bnil\s*=\s*[\"']true").alias("is_nil"),
+    """A row per fact, joined to its context and unit; what is missing is a warning.
+
+    Facts are the root's children that are no infrastructure, in order (place). A fact's value is its text as
+    written: numbers stay text, markup inside gives its text. namespace: what the fact's prefix stands for
+    on the root or the fact itself.
+    """
+    rows = instances.where("not rejected").select("path", elements("text").alias("e"))
+    root = rows.select("path", F.explode("e").alias("x"), F.col("e")[0]["attributes"].alias("root"))
+    a = lambda name: F.element_at("x.attributes", F.lit(name))
+    local = F.element_at(F.split("x.name", ":"), -1)
+    prefix = F.when(F.contains("x.name", F.lit(":")), F.split("x.name", ":")[0])
+    xmlns = F.when(prefix.isNull(), "xmlns").otherwise(F.concat(F.lit("xmlns:"), prefix))
+    nil = F.exists(F.map_entries("x.attributes"), lambda kv: kv["key"].isin("nil", "xsi:nil") & F.lower(F.trim(kv["value"])).isin("true", "1"))
+    found = root.where((F.col("x.depth") == 1) & ~local.isin(*NO_FACTS)).select(
+        "path", F.col("x.place").alias("place"), F.col("x.name").alias("qname"), local.alias("local_name"), F.coalesce(F.element_at("x.attributes", xmlns), F.element_at("root", xmlns)).alias("namespace"),
+        a("id").alias("fact_id"), a("contextRef").alias("context_ref"), a("unitRef").alias("unit_ref"), a("decimals").alias("decimals"), F.trim("x.text").alias("value"), nil.alias("is_nil"),
     )
-    out = rows.join(contexts(instances), ["path", "context_ref"], "left").join(units(instances), ["path", "unit_ref"], "left")
+    out = found.join(contexts(instances), ["path", "context_ref"], "left").join(units(instances), ["path", "unit_ref"], "left")
     warnings = F.filter(F.array(F.when(F.col("entity").isNull(), "missing_context_ref"), F.when(F.col("unit_ref").isNotNull() & F.col("measures").isNull(), "missing_unit_ref")), lambda x: x.isNotNull())
     return out.withColumns({"is_numeric": F.col("unit_ref").isNotNull(), "warnings": warnings})
 
 
+# --- linkbases
+
+
+def _links(linkbases: DataFrame) -> DataFrame:
+    """Elements of linkbases: path, link (place of the extended link), place, kind (local name), attributes, text."""
+    rows = linkbases.select("path", F.explode(elements("text")).alias("x"))
+    return rows.select("path", F.col("x.above").alias("link"), F.col("x.place").alias("place"), F.element_at(F.split("x.name", ":"), -1).alias("kind"), F.col("x.attributes").alias("a"), F.trim("x.text").alias("text"))
+
+
+def _of(rows: DataFrame, kind: str, **names: str) -> DataFrame:
+    return rows.where(F.col("kind") == kind).select("path", "link", "place", "text", *(F.element_at("a", F.lit(v)).alias(k) for k, v in names.items()))
+
+
 def concept_labels(linkbases: DataFrame) -> DataFrame:
     """(concept, label): locators, arcs and labels of label linkbases joined. linkbases: path, text."""
-    loc = linkbases.select("path", F.explode(_blocks(F.col("text"), "loc")).alias("x")).select("path", _attribute(F.col("x"), "xlink:label").alias("from"), F.element_at(F.split(_attribute(F.col("x"), "xlink:href"), "#"), -1).alias("concept"))
-    arc = linkbases.select("path", F.explode(_blocks(F.col("text"), "labelArc")).alias("x")).select("path", _attribute(F.col("x"), "xlink:from").alias("from"), _attribute(F.col("x"), "xlink:to").alias("to"))
-    label = linkbases.select("path", F.explode(_blocks(F.col("text"), "label")).alias("x")).select("path", _attribute(F.col("x"), "xlink:label").alias("to"), F.trim(F.regexp_extract("x", r"(?s)>([^<]*)<", 1)).alias("label"))
-    return loc.join(arc, ["path", "from"]).join(label, ["path", "to"]).select("concept", "label").distinct()
+    rows = _links(linkbases)
+    loc = _of(rows, "loc", start="xlink:label", href="xlink:href").select("path", "link", "start", F.element_at(F.split("href", "#"), -1).alias("concept"))
+    arc = _of(rows, "labelArc", start="xlink:from", end="xlink:to").select("path", "link", "start", "end")
+    label = _of(rows, "label", end="xlink:label").select("path", "link", "end", F.col("text").alias("label"))
+    return loc.join(arc, ["path", "link", "start"]).join(label, ["path", "link", "end"]).select("concept", "label").distinct()
+
+
+def presentation_arcs(linkbases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs (path, link, start, end, priority, place) and nodes (path, link, node, concept) of presentation linkbases."""
+    rows = _links(linkbases)
+    nodes = _of(rows, "loc", node="xlink:label", href="xlink:href").where(F.contains("href", F.lit("#")))
+    arcs = _of(rows, "presentationArc", start="xlink:from", end="xlink:to", priority="order").where("start IS NOT NULL AND end IS NOT NULL")
+    concept = F.replace(F.element_at(F.split("href", "#"), -1), F.lit("_"), F.lit(":"))
+    return arcs.select("path", "link", "start", "end", F.coalesce(F.col("priority").try_cast("double"), F.lit(0.0)).alias("priority"), "place"), nodes.select("path", "link", "node", concept.alias("concept"))
+
+
+def forest(arcs: DataFrame, nodes: DataFrame, keys: list[str], passed: str = "Abstract|Table|LineItems", deepest: int = 1000) -> DataFrame:
+    """(keys, concept, level, parent, position): the forests of arcs, depth first, siblings by priority.
+
+    Roots begin arcs and end none; they come in the order of their first arc. A concept that `passed`
+    matches is left out, its children stay, with the level that they have. An arc to a node of its own
+    path is cut, a node under two parents comes twice; a node without a concept ends its branch. A
+    recursive query: as many steps as the tallest tree has levels, each a join over the nodes of a level.
+    """
+    on = ", ".join(keys)
+    same = " AND ".join(f"t.{k} = a.{k}" for k in keys)
+    known = " AND ".join(f"a.{k} = n.{k}" for k in keys)
+    spark = arcs.sparkSession
+    ranked = arcs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "start").orderBy("priority", "place")))
+    begun = arcs.groupBy(*keys, F.col("start").alias("node")).agg(F.min("place").alias("first")).join(arcs.select(*keys, F.col("end").alias("node")), [*keys, "node"], "left_anti")
+    roots = begun.join(nodes, [*keys, "node"])
+    found = spark.sql(
+        f"""WITH RECURSIVE t({on}, node, concept, parent, level, trail, way) MAX RECURSION LEVEL {deepest} AS (
+         SELECT {on}, node, concept, CAST(NULL AS STRING), 0, array(node), array(CAST(first AS BIGINT)) FROM {{roots}}
+         UNION ALL
+         SELECT {", ".join(f"a.{k}" for k in keys)}, a.end, n.concept, t.concept, t.level + 1, array_append(t.trail, a.end), array_append(t.way, CAST(a.rank AS BIGINT))
+         FROM t JOIN {{ranked}} a ON {same} AND t.node = a.start JOIN {{nodes}} n ON {known} AND a.end = n.node WHERE NOT array_contains(t.trail, a.end))
+        SELECT {on}, concept, level, parent, way FROM t""",
+        roots=roots, ranked=ranked, nodes=nodes,
+    )
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy("way")) - 1
+    return found.where(~F.col("concept").rlike(passed)).withColumn("position", position).drop("way")
 
 
 def instance_text(rows: DataFrame, key: str) -> DataFrame:
