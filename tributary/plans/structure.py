@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.operators import anchors, retrieval
+from tributary.operators import aliases, anchors, boxes, budget, json_paths, retrieval, search
 from tributary.plans.oracles import ORACLES
 from tributary.plans.queries import query
+from tributary.sources import xbrl
 from tributary.sources.tables import table
+from tributary.streaming import progress
 
 PART_RULES = retrieval.Rules(
     markers={"warm": r"\bhot\b", "chill": r"\bcold\b", "big": r"\b(large|plate)\b", "little": r"\bsmall\b", "round": r"\b(ring|rod)\b", "total": r"\btotal\b"},
@@ -176,3 +178,193 @@ WITH RECURSIVE x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docum
  near AS (SELECT g.doc_id, g.entry_no, bool_or(c.page <> g.page) AS near_tie, bool_or(c.page = g.page) AS same_page_tie FROM g JOIN c ON c.doc_id = g.doc_id AND c.entry_no = g.entry_no AND c.place > g.place AND c.tier = g.tier
    AND round(g.score - c.score, 4) <= 0.12 AND NOT list_contains(g.before, c.heading_id) GROUP BY 1, 2)
 SELECT g.doc_id, g.entry_no, g.heading_id, g.page, g.tier, g.method, g.score, g.distance, coalesce(near_tie, false) AS near_tie, coalesce(same_page_tie, false) AS same_page_tie FROM g LEFT JOIN near USING (doc_id, entry_no)"""
+
+
+# --- markup
+
+
+@query
+def xbrl_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as an XML instance (CDATA, entities, comments, a typed dimension), read again."""
+    esc = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\t\n\x20-퟿-�\x{10000}-\x{10FFFF}]", " ")
+    pieces = [
+        F.lit('<?xml version="1.0"?><!-- <a:No contextRef="c"/> --><x:xbrl xmlns:x="http://www.xbrl.org/2003/instance" xmlns:a="urn:a" xmlns:m="urn:m"><x:context id="c"><x:entity><x:identifier scheme="urn:s">'),
+        F.col("doc_id").cast("string"), F.lit('</x:identifier><x:segment><m:typedMember dimension="a:Source"><a:key>'), esc("source"),
+        F.lit('</a:key></m:typedMember></x:segment></x:entity><x:period><x:instant>2024-12-31</x:instant></x:period></x:context><x:unit id="u"><x:measure>x:pure</x:measure></x:unit><a:Text contextRef="c"><![CDATA['),
+        F.replace(clean, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit(']]></a:Text><a:Lang contextRef="c">'), esc("lang"),
+        F.lit('<!-- no --></a:Lang><a:Chars contextRef="c" unitRef="u" decimals="0">00'), F.coalesce(F.col("n_chars").cast("string"), F.lit("")), F.lit("</a:Chars></x:xbrl>"),
+    ]
+    made = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(*pieces).alias("text"), F.lit(False).alias("rejected"))
+    f = xbrl.facts(made)
+    of = lambda name: F.max(F.when(F.col("local_name") == name, F.col("value")))
+    return f.groupBy(F.col("path").cast("long").alias("doc_id")).agg(
+        F.count("*").alias("n_facts"), F.sha2(of("Text"), 256).alias("text_sha256"), of("Lang").alias("lang"), of("Chars").alias("chars"),
+        F.max(F.element_at("dimensions", 1)).alias("dimension"), F.max("entity").alias("entity"), F.count_if("is_numeric").alias("n_numeric"), F.sum(F.size("warnings")).alias("n_warnings"),
+    )
+
+
+ORACLES["xbrl_markup"] = """
+SELECT doc_id, 3 AS n_facts, sha256(trim(coalesce(text, ''), ' ')) AS text_sha256, coalesce(lang, '') AS lang, '00' || coalesce(n_chars::VARCHAR, '') AS chars, 'a:Source=' || coalesce(source, '') AS dimension,
+ doc_id::VARCHAR AS entity, 1 AS n_numeric, 0 AS n_warnings FROM documents"""
+
+
+@query
+def linkbase_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a forest (a customer's parent is half its number), some passed through, some arcs leading back."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.round("c_acctbal").alias("priority"))
+    concept = F.concat(F.lit("c:"), F.col("c_mktsegment"), F.col("c_custkey").cast("string"), F.when(F.col("c_mktsegment") == "BUILDING", "Abstract").otherwise(""))
+    nodes = c.select((F.col("c_custkey") % 3).alias("link"), F.col("c_custkey").alias("node"), concept.alias("concept")).where("node % 97 <> 96")
+    up = F.floor(F.col("c_custkey") / 6) * 3 + F.col("c_custkey") % 3
+    arcs = c.where(up < F.col("c_custkey")).select((F.col("c_custkey") % 3).alias("link"), up.alias("start"), F.col("c_custkey").alias("end"), "priority", F.col("c_custkey").alias("place"))
+    back = arcs.where("end % 50 = 0 AND start > 5").select("link", F.col("end").alias("start"), F.col("start").alias("end"), "priority", (F.col("place") + 10_000_000_000).alias("place"))
+    return xbrl.forest(arcs.unionByName(back), nodes, ["link"])
+
+
+ORACLES["linkbase_forest"] = """
+WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey % 3 AS link, (c_custkey // 6) * 3 + c_custkey % 3 AS up, round(c_acctbal) AS priority,
+   'c:' || c_mktsegment || c_custkey || CASE c_mktsegment WHEN 'BUILDING' THEN 'Abstract' ELSE '' END AS concept FROM customer),
+ n AS (SELECT * FROM c WHERE k % 97 <> 96),
+ f AS (SELECT link, up AS a, k AS b, priority, k AS place FROM c WHERE up < k),
+ r AS (SELECT * FROM f UNION ALL SELECT link, b, a, priority, place + 10000000000 FROM f WHERE b % 50 = 0 AND a > 5),
+ s AS (SELECT *, row_number() OVER (PARTITION BY link, a ORDER BY priority, place) AS rank FROM r),
+ b AS (SELECT link, a AS node, min(place) AS first FROM r GROUP BY 1, 2 HAVING (link, a) NOT IN (SELECT link, b FROM r)),
+ t AS (SELECT n.link, n.k AS node, concept, NULL::VARCHAR AS parent, 0 AS level, [n.k] AS trail, [first::BIGINT] AS way FROM b JOIN n ON n.link = b.link AND n.k = b.node
+  UNION ALL
+  SELECT n.link, n.k, n.concept, t.concept, level + 1, list_append(trail, n.k), list_append(way, s.rank) FROM t JOIN s ON s.link = t.link AND s.a = t.node JOIN n ON n.k = s.b WHERE NOT list_contains(trail, s.b))
+SELECT link, concept, level, parent, row_number() OVER (PARTITION BY link ORDER BY way) - 1 AS position FROM t WHERE NOT contains(concept, 'Abstract')"""
+
+
+# --- streams, JSON, boxes, context, search, names
+
+
+@query
+def progress_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each user, as a stream run to its end: live, or expired twelve hours after it by event time."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = progress.run_to_the_end(spark, progress.progress(stream, "user_id", "ts", "event_id", "event_type", "1 hour", 12 * 3_600_000), "progress")
+    out = progress.state_of(rows)
+    return out.select(F.col("key").cast("long").alias("user_id"), "event_id", F.col("status").alias("event_type"), "state")
+
+
+ORACLES["progress_stream"] = """
+WITH e AS (SELECT *, epoch_ms(ts) AS ms FROM events WHERE user_id IS NOT NULL),
+ l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) = 1)
+SELECT user_id, event_id, event_type, CASE WHEN ms + 12 * 3600000 <= (SELECT max(ms) FROM e) - 3600000 THEN 'expired' ELSE 'live' END AS state FROM l"""
+
+
+def nested_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON of four levels, the order of keys by the parity of the id."""
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    kind = F.to_json(F.struct(F.col("event_type").alias("t")))
+    a = F.concat(F.lit('"a": {"own": '), F.col("props"), F.lit(', "list": [1, {"deep": ["x", '), k, F.lit("]}, []]}"))
+    b = F.concat(F.lit('"b": '), kind, F.lit(', "Token": null'))
+    return e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("{"), a, F.lit(", "), b, F.lit("}"))).otherwise(F.concat(F.lit("{ "), b, F.lit(" ,"), a, F.lit("}"))).alias("doc"))
+
+
+@query
+def canonical_hash(spark: SparkSession, d: str) -> DataFrame:
+    """A hash of each event's JSON that doesn't depend on the order of its keys."""
+    return json_paths.hashes(json_paths.paths(nested_events(spark, d), "event_id", "doc")).withColumnRenamed("key", "event_id")
+
+
+ORACLES["canonical_hash"] = """
+SELECT event_id, 6 AS n_values, sha256(concat_ws(chr(10), '$.a.list:array', '$.a.list[1].deep:array', '$.a.list[1]:object', '$.a.list[2]:array', '$.a.own:object', '$.a:object', '$.b:object', '$:object',
+ '$.Token=null', '$.a.list[0]=1', '$.a.list[1].deep[0]="x"', '$.a.list[1].deep[1]=' || (props->>'$.k'), '$.a.own.k=' || (props->>'$.k'), '$.b.t="' || event_type || '"')) AS hash FROM events"""
+
+
+@query
+def forbidden_keys(spark: SparkSession, d: str) -> DataFrame:
+    return json_paths.with_names(json_paths.paths(nested_events(spark, d), "event_id", "doc"), ["token", "K"]).withColumnRenamed("key", "event_id")
+
+
+ORACLES["forbidden_keys"] = "SELECT event_id, unnest(['$.Token', '$.a.own.k']) AS path FROM events"
+
+
+@query
+def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as boxes on the page of their brand: even ones against odd ones."""
+    p = table(spark, d, "part").select(
+        "p_brand", F.col("p_partkey").alias("id"), (F.col("p_partkey") % 211).cast("double").alias("x0"), F.col("p_size").cast("double").alias("y0"),
+        (F.col("p_partkey") % 211 + F.col("p_partkey") % 7).cast("double").alias("x1"), (F.col("p_size") + 1 + F.col("p_partkey") % 3 * 2.5).cast("double").alias("y1"),
+    )
+    return boxes.overlaps(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["p_brand"], cell=4.0).withColumn("share", F.round("share", 6))
+
+
+ORACLES["box_overlaps"] = """
+WITH p AS (SELECT p_brand, p_partkey AS id, p_partkey % 211 AS x0, p_size AS y0, p_partkey % 211 + p_partkey % 7 AS x1, (p_size + 1 + p_partkey % 3 * 2.5)::DOUBLE AS y1 FROM part),
+ m AS (SELECT a.p_brand, a.id AS left_id, b.id AS right_id, greatest(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb
+  FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id % 2 = 0 AND b.id % 2 = 1)
+SELECT p_brand, left_id, right_id, ((x1 - x0) * (y1 - y0))::DOUBLE AS area, round((x1 - x0) * (y1 - y0) / least(sa, sb), 6)::DOUBLE AS share FROM m WHERE x1 > x0 AND y1 > y0"""
+
+
+def _context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as contexts: the order itself is fixed, its lines are the lists, by return flag."""
+    li = table(spark, d, "lineitem")
+    priority = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    # a line's place is that of all lines of its order and flag
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    items = li.select("l_orderkey", priority.alias("priority"), place.cast("long").alias("place"), F.col("l_quantity").cast("long").alias("size"))
+    return items, table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 90).alias("size"))
+
+
+@query
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    """What of an order's lines fits beside it into eighty, the least important flag cut first."""
+    return budget.within_budget(*_context(spark, d), "l_orderkey", 80, run=3)[1]
+
+
+ORACLES["context_budget"] = """
+WITH i AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS priority, l_quantity::BIGINT AS size,
+  row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS place FROM lineitem),
+ s AS (SELECT i.*, o_orderkey % 90 + sum(size) OVER (PARTITION BY l_orderkey ORDER BY priority, place) <= 80 AS keep FROM i JOIN orders ON o_orderkey = l_orderkey),
+ a AS (SELECT l_orderkey, coalesce(sum(size) FILTER (keep), 0) AS used, count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS omitted FROM s GROUP BY 1)
+SELECT o_orderkey AS l_orderkey, o_orderkey % 90 <= 80 AS fits, (o_orderkey % 90 + coalesce(used, 0))::BIGINT AS used, coalesce(kept, 0) AS kept, coalesce(omitted, 0) AS omitted, coalesce(omitted, 0) > 0 AS truncated
+FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey"""
+
+
+@query
+def ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item's first three words as a query over all documents: the ten best that have all of them."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(search.terms(F.col("text")), 1, 3), " ").alias("text"))
+    return search.search(search.index(docs, "doc_id", "text"), queries, docs.count(), 10)
+
+
+ORACLES["ranked_search"] = r"""
+WITH d AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ts FROM documents),
+ p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ts) AS term FROM d) GROUP BY 1, 2),
+ q AS (SELECT item_id AS query, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')[1:3]) AS ts FROM benchmark),
+ t AS (SELECT query, len(ts) AS n, unnest(ts) AS term FROM q),
+ f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+ s AS (SELECT query, doc, any_value(n) AS n, count(*) AS m, round(sum((1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / df)), 6) AS score FROM t JOIN p USING (term) JOIN f USING (term) GROUP BY 1, 2)
+SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s WHERE n = m QUALIFY rank <= 10"""
+
+
+@query
+def alias_match(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of the benchmark as labels, those of the documents as names of concepts: the best name of each."""
+    sentences = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"[.\n]"), lambda x: F.length(x) > 12)
+    b = table(spark, d, "benchmark").select("item_id", F.posexplode(sentences("text")).alias("at", "label"))
+    labels = b.select((F.col("item_id") * 1000 + F.col("at")).alias("label_id"), "label")
+    own = sentences("text")
+    concepts = table(spark, d, "documents").select(F.col("doc_id").alias("concept"), F.slice(own, 1, 1).alias("labels"), F.when(F.size(own) > 1, F.slice(own, F.lit(2), F.size(own))).alias("aliases"))
+    return aliases.best_names(labels, concepts, 0.5)
+
+
+_SQL_LABEL = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\(?\bnotes?\s+\d+[a-z]?\)?', ' ', 'g'), '&', ' and ', 'g'), '\bp\.\s*p\.\s*e\.?', ' ppe ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+ORACLES["alias_match"] = rf"""
+WITH b AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[.\n]'), lambda x: length(x) > 12) AS ss FROM benchmark),
+ l AS (SELECT item_id * 1000 + pos AS label_id, {_SQL_LABEL("s")} AS name FROM (SELECT item_id, unnest(range(len(ss))) AS pos, unnest(ss) AS s FROM b)),
+ c AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[.\n]'), lambda x: length(x) > 12) AS ss FROM documents),
+ n AS (SELECT doc_id AS concept, place, {_SQL_LABEL("s")} AS other FROM (SELECT doc_id, unnest(range(len(ss))) AS place, unnest(ss) AS s FROM c)),
+ m AS (SELECT concept, other, min(place) AS place FROM n WHERE other NOT IN ('', 'total', 'subtotal', 'other', 'others', 'amount', 'balance', 'net') GROUP BY 1, 2),
+ x AS (SELECT name, list_distinct(string_split(name, ' ')) AS ws FROM (SELECT DISTINCT name FROM l WHERE name <> '')),
+ y AS (SELECT other, list_distinct(string_split(other, ' ')) AS vs FROM (SELECT DISTINCT other FROM m)),
+ z AS (SELECT name, w, len(ws) AS nw FROM (SELECT name, ws, unnest(ws) AS w FROM x)),
+ v AS (SELECT other, w, len(vs) AS nv FROM (SELECT other, vs, unnest(vs) AS w FROM y)),
+ s AS (SELECT name, other, CASE WHEN name = other THEN 1 ELSE count(*) / (any_value(nw) + any_value(nv) - count(*))::DOUBLE END AS ratio FROM z JOIN v USING (w) GROUP BY 1, 2),
+ r AS (SELECT label_id, concept, l.name, m.other, place, ratio FROM s JOIN l USING (name) JOIN m USING (other) WHERE ratio >= 0.5 QUALIFY row_number() OVER (PARTITION BY label_id, concept ORDER BY ratio DESC, place) = 1)
+SELECT label_id, concept, other AS name, CASE place WHEN 0 THEN 'label' ELSE 'alias' END AS source, CASE WHEN name = other THEN 'exact_' || CASE place WHEN 0 THEN 'label' ELSE 'alias' END || '_match' ELSE 'shared_words' END AS reason, round(ratio, 6) AS ratio FROM r"""
