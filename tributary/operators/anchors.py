@@ -57,7 +57,7 @@ def matches(entries: DataFrame, headings: DataFrame, sections: dict[str, str] |
     e, h = e.withColumn("e_words", words(F.col("e_norm"))), h.withColumn("h_words", words(F.col("h_norm")))
     known = F.create_map(*(F.lit(x) for kv in sections.items() for x in kv)) if sections else None
     # the section is one more word to meet on
-    met_on = lambda words, norm: F.concat(words, F.when(F.get(known, norm).isNotNull(), F.array(F.concat(F.lit("\u0000"), F.get(known, norm)))).otherwise(F.array().cast("array<string>"))) if known is not None else words
+    met_on = lambda words, norm: F.concat(words, F.when(F.element_at(known, norm).isNotNull(), F.array(F.concat(F.lit("\u0000"), F.element_at(known, norm)))).otherwise(F.array().cast("array<string>"))) if known is not None else words
     left = e.select("doc_id", "entry_no", F.explode(met_on(F.col("e_words"), F.col("e_norm"))).alias("w"))
     right = h.select("doc_id", "heading_id", F.explode(met_on(F.col("h_words"), F.col("h_norm"))).alias("w"))
     pairs = left.join(right, ["doc_id", "w"]).select("doc_id", "entry_no", "heading_id").distinct()
@@ -70,7 +70,7 @@ def matches(entries: DataFrame, headings: DataFrame, sections: dict[str, str] |
     cover = F.least("expected", "observed")
     needed = F.when(c("_m") <= 3, 1.0).otherwise(0.8)
     after = F.split(F.substring("h_norm", F.length("e_norm") + 2, F.length("h_norm")), " ")[0]
-    section = (F.get(known, c("e_norm")) == F.get(known, c("h_norm"))) if known is not None else F.lit(False)
+    section = (F.element_at(known, c("e_norm")) == F.element_at(known, c("h_norm"))) if known is not None else F.lit(False)
     qualified = F.startswith("h_norm", F.concat("e_norm", F.lit(" "))) & (after.isin(*QUALIFIERS) | after.rlike("^[0-9]+$"))
     within = F.contains("h_norm", c("e_norm")) | F.contains("e_norm", c("h_norm"))
     rules = [
