@@ -42,6 +42,13 @@ def test_fit_is_the_best_subset():
         assert int((lengths * k).sum()) == max(s for s in sums if s <= budget)
 
 
+def test_fit_is_exact_for_very_long_documents():
+    take = lambda lengths, counts, budget: (mixing.fit(np.array(lengths), np.array(counts), budget) * lengths).sum()
+    assert take([4_199_999, 4_200_001, 5_000_000], [1, 1, 1], 8_400_000) == 8_400_000
+    assert take([7_000_003, 11_000_017], [100, 100], 400_000_333) == max(7_000_003 * i + 11_000_017 * j for i in range(101) for j in range(101) if 7_000_003 * i + 11_000_017 * j <= 400_000_333)
+    assert take([5], [3], 4) == 0 and take([0, 3], [9, 1], 2) == 0
+
+
 def check(got, rows):
     size = {k: len(cases.space_words(t)) for k, t, *_ in rows}
     by = defaultdict(int)

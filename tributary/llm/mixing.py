@@ -9,6 +9,8 @@
    cell that crosses the budget. Each level sums before the shuffle and leaves ``2 ** BITS`` rows a source.
 4. Documents of that cell are counted by exact length, and a bounded-knapsack dynamic programme says
    how many of each length come closest to the remaining budget; within a length the seed chooses.
+   Sums are the bits of an integer, so they are exact however long the documents: a budget is less
+   than the words of ``POOL`` documents, and takes a few bits a word.
 
 Defined cases: null text has size 0 and takes nothing; null sources are a source of their own; an
 empty source (no words) has target 0; rows that repeat a doc_id lie at one place and are chosen by size
@@ -17,6 +19,8 @@ there; an empty table gives an empty mix. The seed is a parameter; reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,8 +32,6 @@ SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 MOST = 2
 POOL = 256
-#: Sums that the dynamic programme tells apart: 20 MB of tables.
-MOST_SUMS = 1 << 22
 BITS = 5
 LEVELS = 12
 SEED = 20_240_131
@@ -55,39 +57,48 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
     return rows.select("source", "source_size", F.when(F.col("reached").isNull(), F.col("most").cast("double")).otherwise(F.least(F.col("most").cast("double"), F.coalesce("reached", final) * F.col("weight"))).alias("target"))
 
 
+def reached(parts: list[int], start: int, step: Callable[[int, int], int]) -> int:
+    """A bit for each sum that some of the parts lead to from `start`; step adds a part to all of them."""
+    for x in parts:
+        start |= step(start, x)
+    return start
+
+
+def subset(parts: list[int], total: int) -> list[bool]:
+    """Which of the parts sum to `total`, a sum that some of them have.
+
+    One half of the parts leads up from 0, the other down from the total; where they meet, each half has a
+    total of its own. Memory: two bits a sum.
+    """
+    if len(parts) == 1:
+        return [total > 0]
+    half = len(parts) // 2
+    low, high = parts[:half], parts[half:]
+    mask = (1 << (total + 1)) - 1
+    met = reached(low, 1, lambda bits, x: (bits << x) & mask) & reached(high, 1 << total, lambda bits, x: bits >> x)
+    at = (met & -met).bit_length() - 1  # the smallest
+    return subset(low, at) + subset(high, total - at)
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take so that their sum is as near below the budget as can be."""
+    """How many of each length to take so that their sum is as near below the budget as can be: exact, whatever the budget."""
     taken = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    if total <= budget:
+    if int((lengths * counts).sum()) <= budget:
         return counts.astype(np.int64)
-    if budget > MOST_SUMS:  # very long documents: sums in larger units, lengths rounded up
-        unit = -(-budget // MOST_SUMS)
-        lengths, budget = -(-lengths // unit), budget // unit
     parts: list[tuple[int, int]] = []  # (place of the length, how many at once): 1, 2, 4, ... and the rest
     for i, (size, n) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         k = 1
         while size and n > 0:
-            parts.append((i, min(k, n)))
+            if size * min(k, n) <= budget:
+                parts.append((i, min(k, n)))
             n -= k
             k *= 2
-    first = np.full(budget + 1, -1, np.int32)  # the part that first reached each sum
-    reached = np.zeros(budget + 1, bool)
-    reached[0] = True
-    for p, (i, k) in enumerate(parts):
-        step = int(lengths[i]) * k
-        if step > budget:
-            continue
-        new = reached[:-step] & ~reached[step:]
-        first[step:][new] = p
-        reached[step:] |= new
-        if reached[budget]:
-            break
-    at = int(np.flatnonzero(reached)[-1])
-    while at:
-        i, k = parts[first[at]]
-        taken[i] += k
-        at -= int(lengths[i]) * k
+    sums = [int(lengths[i]) * k for i, k in parts]
+    mask = (1 << (budget + 1)) - 1
+    total = reached(sums, 1, lambda bits, x: (bits << x) & mask).bit_length() - 1
+    if total > 0:
+        for (i, k), used in zip(parts, subset(sums, total), strict=True):
+            taken[i] += k * used
     return taken
 
 
