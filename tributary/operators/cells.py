@@ -14,10 +14,10 @@ def matrix(cells: DataFrame, keys: list[str], column: str, text: str) -> DataFra
     return cells.groupBy(*keys).agg(own.alias("x")).select(*keys, F.col("x.text").alias("cells"))
 
 
-def header_years(cells: DataFrame, keys: list[str], column: str, text: str) -> DataFrame:
-    """(keys, column, year): the year that the first cell of a column to name one names."""
+def header_years(cells: DataFrame, keys: list[str], column: str, text: str, row: str = "row") -> DataFrame:
+    """(keys, column, year): the year that the first cell of a column to name one names; of cells in one row the earliest year."""
     year = F.regexp_extract(text, rf"\b({YEAR})\b", 1)
-    return cells.where(year != "").groupBy(*keys, column).agg(F.min_by(year.cast("int"), F.col("row")).alias("year"))
+    return cells.where(year != "").groupBy(*keys, column).agg(F.min_by(year.cast("int"), F.struct(row, year)).alias("year"))
 
 
 def trailing_amounts(line: Column) -> Column:
@@ -28,9 +28,10 @@ def trailing_amounts(line: Column) -> Column:
 
 
 def merged(blocks: DataFrame, keys: list[str], order: list[str], same: str, at: str, gap: Column) -> DataFrame:
-    """Consecutive blocks of one kind that are no further apart than the gap become one block."""
+    """Consecutive blocks of one kind (null is one) that are no further apart than the gap become one block."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    new = (F.lag(same).over(w).isNull() | (F.lag(same).over(w) != F.col(same)) | (F.col(at) - F.lag(at).over(w) > gap)).cast("int")
+    apart = F.coalesce(F.col(at) - F.lag(at).over(w) > gap, F.lit(False))
+    new = ((F.row_number().over(w) == 1) | ~F.lag(same).over(w).eqNullSafe(F.col(same)) | apart).cast("int")
     own = blocks.withColumn("_new", new).withColumn("_block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return own.groupBy(*keys, "_block").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first(same).alias(same), F.count("*").alias("n")).drop("_block")
 

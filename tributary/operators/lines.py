@@ -28,13 +28,14 @@ def line_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, kind, label, amounts, section, years) of every row, amounts line and paragraph; lines count from 0.
 
     Amounts that stand alone take the label of the line before, blank lines aside; a heading and a line of
-    years hold until the next. Null texts have no lines. A window holds the lines of one document: rows
-    that share a key (null is one) would share it, so they need keys of their own first.
+    years hold until the next. Null texts have no lines. A window holds the lines of one row of docs, so
+    rows that share a key, null too, keep apart.
     """
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "x")).where(~F.col("x").rlike(BLANK))
+    rows = docs.select(key, F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    lines = rows.select(key, "_row", F.posexplode(F.split("_text", "\n")).alias("line", "x")).where(~F.col("x").rlike(BLANK))
     x, kind = F.col("x"), F.col("kind")
     own = lines.withColumn("kind", line_kind(x))
-    w = Window.partitionBy(key).orderBy("line")
+    w = Window.partitionBy("_row").orderBy("line")
     clean = F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")
     own = own.select(
         key,

@@ -182,8 +182,8 @@ SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS c
 def recent_events(spark: SparkSession, d: str) -> DataFrame:
     """The events of the last thirty minutes before the latest one."""
     events = table(spark, d, "events")
-    latest = events.agg(F.max("ts")).first()[0]
-    return events.where(F.col("ts") >= F.lit(latest) - F.expr("INTERVAL 30 MINUTES")).select("event_id", "user_id", "event_type")
+    latest = events.agg(F.max("ts")).scalar()
+    return events.where(F.col("ts") >= latest - F.expr("INTERVAL 30 MINUTES")).select("event_id", "user_id", "event_type")
 
 
 ORACLES["recent_events"] = "SELECT event_id, user_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE"

@@ -430,7 +430,7 @@ def ranking_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_jaccard_match(spark: SparkSession, d: str) -> DataFrame:
-    """Each part name's best other names by shared tokens (names are few, and are deduplicated first)."""
+    """Pairs of distinct part names that share a word, with their likeness."""
     names = table(spark, d, "part").select(labels.normalize_label(F.col("p_name")).alias("name")).distinct().withColumn("t", labels.tokens(F.col("name")))
     words = names.select("name", "t", F.explode("t").alias("w"))
     pairs = words.alias("a").join(words.alias("b"), "w").where("a.name < b.name").select(F.col("a.name").alias("left_name"), F.col("b.name").alias("right_name"), F.col("a.t").alias("x"), F.col("b.t").alias("y")).distinct()

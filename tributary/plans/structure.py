@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.functions import amounts
 from tributary.operators import aliases, anchors, boxes, budget, json_paths, retrieval, search
 from tributary.plans.oracles import ORACLES
 from tributary.plans.queries import query
@@ -368,3 +369,29 @@ WITH b AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[
  s AS (SELECT name, other, CASE WHEN name = other THEN 1 ELSE count(*) / (any_value(nw) + any_value(nv) - count(*))::DOUBLE END AS ratio FROM z JOIN v USING (w) GROUP BY 1, 2),
  r AS (SELECT label_id, concept, l.name, m.other, place, ratio FROM s JOIN l USING (name) JOIN m USING (other) WHERE ratio >= 0.5 QUALIFY row_number() OVER (PARTITION BY label_id, concept ORDER BY ratio DESC, place) = 1)
 SELECT label_id, concept, other AS name, CASE place WHEN 0 THEN 'label' ELSE 'alias' END AS source, CASE WHEN name = other THEN 'exact_' || CASE place WHEN 0 THEN 'label' ELSE 'alias' END || '_match' ELSE 'shared_words' END AS reason, round(ratio, 6) AS ratio FROM r"""
+
+
+@query
+def amount_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Order totals as reports write them, by the key: currency, parentheses, dashes, percentages, years; and what each grammar reads."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    shown, kind = F.format_number("v", 2), F.col("o_orderkey") % 7
+    text = F.when(kind == 0, F.concat(F.lit("RM "), shown)).when(kind == 1, F.concat(F.lit("("), shown, F.lit(")"))).when(kind == 2, "-").when(kind == 3, "12.5%").when(kind == 4, "2023").when(kind == 5, F.concat(F.lit("USD "), shown)).otherwise(shown)
+    rows = o.select("o_orderkey", text.alias("x"))
+    as_number = lambda c: F.round(c.cast("double"), 2)
+    x = F.col("x")
+    return rows.select(
+        "o_orderkey", as_number(amounts.amount_layout(x)).alias("layout"), as_number(amounts.amount_native(x)).alias("native"), as_number(amounts.amount_quality(x)).alias("quality"), as_number(amounts.amount_shadow(x)).alias("shadow"),
+        as_number(amounts.amount_align(x)).alias("align"), as_number(amounts.amount_xbrl(x)).alias("xbrl"), as_number(amounts.amount_calc(x)).alias("calc"), amounts.amount_xbrl_out(x)["value"].alias("out_value"),
+        amounts.amount_xbrl_out(x)["decimals"].alias("out_decimals"), amounts.value_pattern(x).alias("pattern"),
+    )
+
+
+ORACLES["amount_texts"] = """
+WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders),
+ x AS (SELECT *, v::DOUBLE AS n, CASE k WHEN 0 THEN 'RM ' || format('{:,.2f}', v) WHEN 1 THEN '(' || format('{:,.2f}', v) || ')' WHEN 2 THEN '-' WHEN 3 THEN '12.5%' WHEN 4 THEN '2023' WHEN 5 THEN 'USD ' || format('{:,.2f}', v) ELSE format('{:,.2f}', v) END AS t FROM o)
+SELECT o_orderkey, CASE k WHEN 1 THEN -n WHEN 2 THEN 0 WHEN 4 THEN 2023 WHEN 3 THEN NULL ELSE n END AS layout, CASE k WHEN 1 THEN -n WHEN 2 THEN 0 WHEN 4 THEN 2023 WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE n END AS native,
+ CASE k WHEN 0 THEN n WHEN 1 THEN -n WHEN 5 THEN n WHEN 6 THEN n END AS quality, CASE k WHEN 1 THEN -n WHEN 4 THEN 2023 WHEN 6 THEN n END AS shadow,
+ CASE k WHEN 1 THEN -n WHEN 2 THEN 0 WHEN 3 THEN 12.5 WHEN 4 THEN 2023 ELSE n END AS align, CASE k WHEN 1 THEN -n WHEN 2 THEN NULL WHEN 3 THEN 12.5 WHEN 4 THEN 2023 ELSE n END AS xbrl,
+ CASE k WHEN 1 THEN -n WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 2023 ELSE n END AS calc, CASE k WHEN 1 THEN '-' || v WHEN 2 THEN '0' WHEN 3 THEN '0' WHEN 4 THEN '2023' ELSE v::VARCHAR END AS out_value,
+ CASE WHEN k IN (2, 3, 4) THEN '0' ELSE '2' END AS out_decimals, regexp_replace(regexp_replace(t, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS pattern FROM x"""
