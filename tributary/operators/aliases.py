@@ -56,3 +56,38 @@ def best_names(labels: DataFrame, concepts: DataFrame, least: float) -> DataFram
     reason = F.when(F.col("name") == F.col("other"), F.concat(F.lit("exact_"), "source", F.lit("_match"))).otherwise("shared_words")
     out = rows.withColumn("_place", F.row_number().over(best)).where("_place = 1")
     return out.select("label_id", "concept", F.col("other").alias("name"), "source", reason.alias("reason"), F.round("ratio", 6).alias("ratio"))
+
+
+def canonical_names(labels: DataFrame, known: DataFrame, longest: int = 8) -> DataFrame:
+    """(label_id, name, canonical): what an alias stands for: the whole label's, else of its longest alias, else the label.
+
+    labels: label_id, label. known: alias, canonical. An alias inside a label is one of its runs of up to
+    `longest` words, so both meet by equality, however long the table of aliases; of runs as long the first
+    stands, of two canonical names of one alias the smaller. An alias of more words than that matches whole
+    labels only.
+    """
+    table = known.select(normalize_label(F.col("alias")).alias("run"), "canonical").where("run <> ''").groupBy("run").agg(F.min("canonical").alias("canonical"))
+    mine = labels.select("label_id", normalize_label(F.col("label")).alias("name"))
+    ws = F.split("name", " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(ws), F.lit(longest))), lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.named_struct(F.lit("run"), F.array_join(F.slice(ws, i, n), " "), F.lit("at"), i, F.lit("n"), n))))
+    whole = F.array(F.named_struct(F.lit("run"), F.col("name"), F.lit("at"), F.lit(1), F.lit("n"), F.size(ws)))
+    spread = mine.select("name").distinct().where("name <> ''").select("name", F.explode(F.array_distinct(F.concat(runs, whole))).alias("r")).select("name", "r.*")
+    found = spread.join(table, "run").groupBy("name").agg(F.max_by("canonical", F.struct("n", -F.col("at"))).alias("canonical"))
+    return mine.join(found, "name", "left").select("label_id", "name", F.coalesce("canonical", "name").alias("canonical"))
+
+
+def synonym_overlap(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """pairs (with left, right) and ``overlap``: half a point for each group of synonyms that both sides name, at most 1.
+
+    groups: group, phrase; a phrase of one or more words names its group where it stands in a label.
+    """
+    sides = pairs.select(F.col("left").alias("label")).union(pairs.select(F.col("right").alias("label"))).where("label IS NOT NULL").distinct()
+    phrases = groups.select("group", normalize_label(F.col("phrase")).alias("run")).where("run <> ''")
+    ws = F.split(normalize_label(F.col("label")), " ")
+    longest = 6
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(ws), F.lit(longest))), lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))))
+    named = sides.select("label", F.explode(F.array_distinct(runs)).alias("run")).join(phrases, "run").groupBy("label").agg(F.collect_set("group").alias("named"))
+    a, b = named.select(F.col("label").alias("left"), F.col("named").alias("_a")), named.select(F.col("label").alias("right"), F.col("named").alias("_b"))
+    n = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
+    met = pairs.join(a, "left", "left").join(b, "right", "left")
+    return met.withColumn("overlap", F.least(F.lit(1.0), F.when(F.col("_a").isNull() | F.col("_b").isNull(), 0).otherwise(n) / 2)).select(*pairs.columns, "overlap")

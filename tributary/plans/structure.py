@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import amounts
-from tributary.operators import aliases, anchors, boxes, budget, json_paths, retrieval, search
+from tributary.operators import aliases, alignment, anchors, boxes, budget, json_paths, retrieval, search
 from tributary.plans.oracles import ORACLES
 from tributary.plans.queries import query
 from tributary.sources import xbrl
 from tributary.sources.tables import table
-from tributary.streaming import progress
+from tributary.streaming import events, progress
 
 PART_RULES = retrieval.Rules(
     markers={"warm": r"\bhot\b", "chill": r"\bcold\b", "big": r"\b(large|plate)\b", "little": r"\bsmall\b", "round": r"\b(ring|rod)\b", "total": r"\btotal\b"},
@@ -395,3 +395,108 @@ SELECT o_orderkey, CASE k WHEN 1 THEN -n WHEN 2 THEN 0 WHEN 4 THEN 2023 WHEN 3 T
  CASE k WHEN 1 THEN -n WHEN 2 THEN 0 WHEN 3 THEN 12.5 WHEN 4 THEN 2023 ELSE n END AS align, CASE k WHEN 1 THEN -n WHEN 2 THEN NULL WHEN 3 THEN 12.5 WHEN 4 THEN 2023 ELSE n END AS xbrl,
  CASE k WHEN 1 THEN -n WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 2023 ELSE n END AS calc, CASE k WHEN 1 THEN '-' || v WHEN 2 THEN '0' WHEN 3 THEN '0' WHEN 4 THEN '2023' ELSE v::VARCHAR END AS out_value,
  CASE WHEN k IN (2, 3, 4) THEN '0' ELSE '2' END AS out_decimals, regexp_replace(regexp_replace(t, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS pattern FROM x"""
+
+
+# --- alignment, names, windows of a stream
+
+
+def _reported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as rows of reports, and as facts whose value, sign, label, year or unit may be another."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("v"), F.year("o_orderdate").alias("y"), "o_orderpriority", "o_orderstatus")
+    k, kind = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    family = F.when(F.col("o_orderstatus") == "F", "financial_position").when(F.col("o_orderstatus") == "O", "cash_flow")
+    word = F.lower(F.substring("o_orderpriority", 3, 20))
+    rows = o.select(k.alias("row_id"), F.concat(F.when(k % 3 == 0, "Total ").otherwise(""), word, F.when(k % 4 == 0, " at end (note 3)").otherwise(" orders")).alias("label"), F.col("v").alias("value"), family.alias("family"), F.when(k % 11 != 0, F.col("y")).alias("year"), "o_custkey")
+    value = F.when(kind == 1, -F.col("v")).when(kind == 2, F.col("v") + F.lit(0.3).cast("decimal(3,2)")).when(kind == 3, -F.col("v") - F.lit(0.2).cast("decimal(3,2)")).when((kind == 4) & (k % 2 == 0), F.col("v") + 100).otherwise(F.col("v"))
+    facts = o.select(
+        k.alias("fact_id"), F.concat(word, F.when(k % 6 == 0, " orders total").otherwise(" orders")).alias("fact_label"), F.when(k % 7 == 0, F.array(F.concat(word, F.lit(" at end")))).alias("aliases"), value.cast("decimal(18,2)").alias("fact_value"),
+        F.when(k % 8 == 0, F.lit("cash_flow")).otherwise(family).alias("fact_family"), (F.col("y") - F.when(k % 9 == 0, 1).otherwise(0)).alias("fact_year"), F.when(k % 2 == 0, "instant").otherwise("duration").alias("period_type"),
+        F.when(k % 13 == 0, "pure").otherwise("iso4217:MYR").alias("unit"),
+    )
+    return rows, facts
+
+
+@query
+def report_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its best fact, the points of each part, conflicts and bucket."""
+    rows, facts = _reported(spark, d)
+    out = alignment.aligned(rows.drop("o_custkey"), facts)
+    return out.select("row_id", "fact_id", F.col("class").alias("kind"), "value_points", "label_points", "family_points", "year_points", "alias_points", "total_points", "penalty", F.array_join("conflicts", ",").alias("conflicts"), "score", "gap", "n_candidates", "bucket")
+
+
+@query
+def alignment_by_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows, facts = _reported(spark, d)
+    return alignment.sample_summary(alignment.aligned(rows.drop("o_custkey"), facts), rows, "o_custkey")
+
+
+_SQL_TOKENS = lambda x: f"list_distinct(string_split({x}, ' '))"
+_ALIGN_SQL = """
+WITH o AS (SELECT o_orderkey AS k, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v, year(o_orderdate) AS y, lower(substr(o_orderpriority, 3)) AS word, CASE o_orderstatus WHEN 'F' THEN 'financial_position' WHEN 'O' THEN 'cash_flow' END AS family FROM orders),
+ r AS (SELECT k AS row_id, CASE WHEN k % 3 = 0 THEN 'total ' ELSE '' END || trim(regexp_replace(word, '[^a-z0-9]+', ' ', 'g')) || CASE WHEN k % 4 = 0 THEN ' at end' ELSE ' orders' END AS norm, v, family, CASE WHEN k % 11 <> 0 THEN y END AS year FROM o),
+ f AS (SELECT k AS fact_id, trim(regexp_replace(word, '[^a-z0-9]+', ' ', 'g')) || CASE WHEN k % 6 = 0 THEN ' orders total' ELSE ' orders' END AS fnorm, CASE WHEN k % 7 = 0 THEN trim(regexp_replace(word, '[^a-z0-9]+', ' ', 'g')) || ' at end' END AS alias,
+   CASE WHEN k % 5 = 1 THEN -v WHEN k % 5 = 2 THEN v + 0.3 WHEN k % 5 = 3 THEN -v - 0.2 WHEN k % 10 = 4 THEN v + 100 ELSE v END AS fv, CASE WHEN k % 8 = 0 THEN 'cash_flow' ELSE family END AS ffamily, y - CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END AS fyear,
+   CASE WHEN k % 2 = 0 THEN 'instant' ELSE 'duration' END AS period FROM o WHERE k % 13 <> 0),
+ p AS (SELECT *, CASE WHEN v = fv THEN 'exact' WHEN abs(v - fv) <= 0.5 THEN 'tolerance' WHEN abs(v) = abs(fv) THEN 'sign' ELSE 'sign_tolerance' END AS kind FROM r JOIN f ON abs(v) <= abs(fv) + 0.5 AND abs(v) >= abs(fv) - 0.5),
+ m AS (SELECT *, CASE WHEN norm = fnorm THEN 1 ELSE len(list_intersect(string_split(norm, ' '), string_split(fnorm, ' '))) / len(list_distinct(list_concat(string_split(norm, ' '), string_split(fnorm, ' '))))::DOUBLE END AS ratio,
+   CASE WHEN family = 'financial_position' OR (family = 'cash_flow' AND contains(norm, ' end')) THEN 'instant' WHEN family IS NOT NULL THEN 'duration' END AS expected, contains(norm, 'total') AS rt, contains(fnorm, 'total') AS ft FROM p),
+ s AS (SELECT row_id, fact_id, kind, CASE kind WHEN 'exact' THEN 40 WHEN 'tolerance' THEN 36 WHEN 'sign' THEN 25 ELSE 22 END AS value_points, round_even(ratio * 25, 0)::BIGINT AS label_points, CASE WHEN family = ffamily THEN 15 ELSE 0 END AS family_points,
+   CASE WHEN year = fyear THEN 10 ELSE 0 END AS year_points, CASE WHEN alias = norm THEN 5 ELSE 0 END AS alias_points, CASE WHEN rt AND ft THEN 3 ELSE 0 END AS total_points,
+   CASE WHEN family <> ffamily THEN 15 ELSE 0 END + CASE WHEN year <> fyear THEN 10 ELSE 0 END + CASE WHEN expected <> period THEN 8 ELSE 0 END + CASE WHEN rt <> ft THEN 5 ELSE 0 END + CASE WHEN kind LIKE 'sign%' THEN 20 ELSE 0 END AS penalty,
+   concat_ws(',', CASE WHEN family <> ffamily THEN 'statement_family_mismatch' END, CASE WHEN year <> fyear THEN 'period_year_mismatch' END, CASE WHEN expected <> period THEN 'period_type_mismatch' END, CASE WHEN rt <> ft THEN 'total_mismatch' END, CASE WHEN kind LIKE 'sign%' THEN 'sign_mismatch' END) AS conflicts FROM m),
+ t AS (SELECT *, greatest(0, least(100, value_points + label_points + family_points + year_points + alias_points + 5 + total_points - penalty)) AS score FROM s),
+ b AS (SELECT *, score - lead(score) OVER w AS gap, count(*) OVER (PARTITION BY row_id) AS n_candidates FROM t WINDOW w AS (PARTITION BY row_id ORDER BY score DESC, fact_id) QUALIFY row_number() OVER w = 1),
+ u AS (SELECT *, CASE WHEN gap <= 8 THEN 'ambiguous' WHEN score >= 80 THEN 'high' WHEN score >= 65 THEN 'medium' ELSE 'low' END AS first_bucket FROM b),
+ z AS (SELECT *, CASE WHEN first_bucket IN ('high', 'medium') AND count(*) FILTER (first_bucket IN ('high', 'medium')) OVER (PARTITION BY fact_id) > 1 THEN 'ambiguous' ELSE first_bucket END AS bucket FROM u)
+"""
+ORACLES["report_alignment"] = f"""{_ALIGN_SQL}
+SELECT r.row_id, fact_id, kind, value_points, label_points, family_points, year_points, alias_points, total_points, penalty, conflicts, score, gap, coalesce(n_candidates, 0) AS n_candidates, coalesce(bucket, 'unmatched') AS bucket FROM r LEFT JOIN z USING (row_id)"""
+ORACLES["alignment_by_sample"] = f"""{_ALIGN_SQL}
+SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (bucket = 'high') AS high, count(*) FILTER (bucket = 'medium') AS medium, count(*) FILTER (bucket = 'low') AS low, count(*) FILTER (bucket = 'ambiguous') AS ambiguous,
+ count(*) FILTER (bucket IS NULL) AS unmatched, round(count(*) FILTER (bucket IN ('high', 'medium')) / count(*)::DOUBLE, 6) AS aligned_share,
+ coalesce(sum(CASE WHEN conflicts <> '' THEN len(string_split(conflicts, ',')) ELSE 0 END), 0)::BIGINT AS n_conflicts FROM o LEFT JOIN z ON z.row_id = o.k GROUP BY 1"""
+
+
+@query
+def canonical_part_names(spark: SparkSession, d: str) -> DataFrame:
+    """Part names by a table of aliases made of the names of some parts and of single words."""
+    p = table(spark, d, "part")
+    labels = p.select(F.col("p_partkey").alias("label_id"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("label"))
+    own = p.where("p_size % 5 = 0").select(F.col("p_name").alias("alias"), F.concat(F.lit("name:"), "p_name").alias("canonical"))
+    word = p.select(F.split("p_name", " ")[1].alias("alias")).distinct().select("alias", F.concat(F.lit("word:"), "alias").alias("canonical")).where("alias < 'q'")
+    return aliases.canonical_names(labels, own.union(word).union(p.select("p_type", F.lower("p_type")).distinct().where("p_type < 'N'")))
+
+
+ORACLES["canonical_part_names"] = """
+WITH n AS (SELECT p_partkey AS label_id, lower(p_type) || ' ' || p_name || ' ' || replace(lower(p_brand), '#', ' ') AS name, string_split(p_name, ' ')[2] AS w, p_name, lower(p_type) AS t FROM part),
+ a AS (SELECT DISTINCT p_name FROM part WHERE p_size % 5 = 0)
+SELECT label_id, name, CASE WHEN p_name IN (SELECT p_name FROM a) THEN 'name:' || p_name WHEN t < 'n' THEN t WHEN w < 'q' THEN 'word:' || w ELSE name END AS canonical FROM n"""
+
+
+@query
+def synonym_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of consecutive keys: how many groups of synonyms do their names share?"""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    pairs = p.select("p_partkey", F.col("p_name").alias("left")).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("right")), "p_partkey")
+    groups = spark.createDataFrame([("heat", "hot"), ("heat", "cold"), ("round", "ring"), ("round", "rod"), ("round", "old gear"), ("colour", "red"), ("colour", "blue")], "group string, phrase string")
+    return aliases.synonym_overlap(pairs, groups)
+
+
+ORACLES["synonym_pairs"] = r"""
+WITH p AS (SELECT a.p_partkey, a.p_name AS "left", b.p_name AS "right" FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), g AS (SELECT unnest(['\b(hot|cold)\b', '\b(ring|rod|old gear)\b', '\b(red|blue)\b']) AS pattern)
+SELECT p_partkey, "left", "right", least(1, count(*) FILTER (regexp_matches("left", pattern) AND regexp_matches("right", pattern)) / 2)::DOUBLE AS overlap FROM p, g GROUP BY 1, 2, 3"""
+
+
+@query
+def windows_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a kind a day, as a stream with a watermark, run to its end."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    out = progress.run_to_the_end(spark, events.windowed(stream, "ts", "1 day", "10 minutes", ["event_type"], "value"), "windows")
+    # a window comes again whenever it changes, with more in it
+    last = out.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "n").alias("s"))
+    return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "s.n", F.col("s.total").cast("double").alias("total"))
+
+
+ORACLES["windows_stream"] = """
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"""
