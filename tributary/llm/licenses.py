@@ -82,7 +82,7 @@ class Templates:
         self.labels = list(templates)
         self.lengths = []
         self.automaton = sam = SuffixAutomaton()
-        self.phrase: dict[int, tuple[int, str]] = {}
+        self.phrase: dict[int, list[tuple[int, str]]] = {}
         self.phrases = [(_words(p), label) for p, label in phrases.items()]
         sequences = [_words(t) for t in templates.values()]
         for s in [*sequences, *(p for p, _ in self.phrases)]:
@@ -97,7 +97,7 @@ class Templates:
                     at = sam.link[at]
         for p, label in self.phrases:
             *_, (_, state) = sam.matches(p)
-            self.phrase[sam.of_length(state, len(p))] = (len(p), label)
+            self.phrase.setdefault(sam.of_length(state, len(p)), []).append((len(p), label))
         self.least = min([LONG, *(len(p) for p, _ in self.phrases)])
         words, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for c in W.chunks(pa.array([*templates.values(), *phrases]), mark=True):
@@ -112,9 +112,7 @@ class Templates:
         for i, (n, state) in enumerate(stats):
             at, m = state, n
             while at > 0:
-                own = self.phrase.get(at)
-                if own and own[0] <= m:
-                    base.append((i + 1 - own[0], i + 1, own[1]))
+                base += [(i + 1 - size, i + 1, label) for size, label in self.phrase.get(at, ()) if size <= m]
                 at = sam.link[at]
                 m = min(m, sam.length[at])
             if n >= LONG and (i + 1 == len(stats) or stats[i + 1][0] <= n):
@@ -125,13 +123,16 @@ class Templates:
 def chained(long: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Chains of matches in order in file and template: (template, words covered, file start, file end)."""
     chains: list[list[int]] = []  # template, covered, file start, file end, template end
+    near: list[list[int]] = []  # chains that a match at this place or behind can go on
     for k, t, f, n in sorted(long, key=lambda x: (x[0], x[2], x[1])):
         best = None
-        for c in chains:
-            if c[0] == k and -n < f - c[3] <= MAX_GAP and -n < t - c[4] <= MAX_GAP and t + n > c[4] and f + n > c[3] and (best is None or c[1] > best[1]):
+        near = [c for c in near if c[0] == k and f - c[3] <= MAX_GAP]
+        for c in near:
+            if -n < f - c[3] <= MAX_GAP and -n < t - c[4] <= MAX_GAP and t + n > c[4] and f + n > c[3] and (best is None or c[1] > best[1]):
                 best = c
         if best is None:
             chains.append([k, n, f, f + n, t + n])
+            near.append(chains[-1])
         else:
             fresh = n - max(0, best[4] - t, best[3] - f)
             if fresh > 0:
@@ -161,10 +162,15 @@ def stretches(c: W.Words, t: Templates) -> Iterator[tuple[int, int, int]]:
 
 def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score and the covered
-    spans (label, start, end, coverage) of templates."""
+    spans (label, start, end, coverage) of templates.
+
+    Null text is empty. A match goes on with the chain that covers most, of chains as long with the first; work
+    grows with the matches of a text, each being held against the chains that end near it. Only key and text
+    are read, so other columns' names don't matter; without templates (or phrases) only phrases (templates)
+    are found."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:int,end:int,coverage:double>>"
-    templates, phrases = templates or TEMPLATES, phrases or PHRASES
+    templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Templates(templates, phrases)
