@@ -470,7 +470,7 @@ def canonical_part_names(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["canonical_part_names"] = """
 WITH n AS (SELECT p_partkey AS label_id, lower(p_type) || ' ' || p_name || ' ' || replace(lower(p_brand), '#', ' ') AS name, string_split(p_name, ' ')[2] AS w, p_name, lower(p_type) AS t FROM part),
  a AS (SELECT DISTINCT p_name FROM part WHERE p_size % 5 = 0)
-SELECT label_id, name, CASE WHEN p_name IN (SELECT p_name FROM a) THEN 'name:' || p_name WHEN t < 'n' THEN t WHEN w < 'q' THEN 'word:' || w ELSE name END AS canonical FROM n"""
+SELECT label_id, name, CASE WHEN p_name IN (SELECT p_name FROM a) THEN 'name:' || p_name WHEN t < 'n' THEN t WHEN starts_with(p_name, 'large ') THEN 'large' WHEN w < 'q' THEN 'word:' || w ELSE name END AS canonical FROM n"""
 
 
 @query
