@@ -186,7 +186,7 @@ def closed(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         before, after = left.count(), still.count()
         release(crossing, left)
         left = still
-        if after > 0.9 * before:
+        if not after or after > 0.9 * before:
             release(shingles)
             return undecided(rows.join(left, "doc", "left_semi"))
 
