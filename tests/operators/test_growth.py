@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tests.operators.test_structure import CARDS, ROWS, RULES, card
-from tributary.operators import retrieval
+from tributary.operators import retrieval, vectors
 
 
 def test_retrieval_scores_kinds_once(spark):
@@ -17,3 +19,28 @@ def test_retrieval_scores_kinds_once(spark):
     assert len(got) == 90 and {(r.qname, r["rank"]) for r in got} == {("a:C00", 1), ("a:C01", 2), ("a:C02", 3)}
     every = retrieval.audit(rows, cards, RULES)
     assert every.count() == 30 * 41 and every.where(F.col("rank") == 41).select("qname").distinct().collect()[0].qname == "a:Other"
+
+
+def test_vectors_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ITEMS_A_BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERIES_A_BLOCK", 3)
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)], i % 3) for i in range(120)] + [(200, None, 0), (201, [1.0], 1), (202, [1.0, None, 0.0, 0.0], 2), (203, [0.0] * 4, 0)] + [(300 + i, [1.0, 1.0, 1.0, 0.0], 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+
+    def cosine(a, b):
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if n else 0.0
+
+    good = {i: (v, mark) for i, v, mark in rows if v and len(v) == 4 and None not in v}
+    for same in (None, "label"):
+        found = vectors.nearest_vectors(df.where("id % 10 = 0"), df, 4, "id", "id", "v", same=same)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        got = {(r.query_id, r["rank"]): r.id for r in found.collect() if r.query_id in good}
+        want = {}
+        for i in (x for x in good if x % 10 == 0):
+            order = sorted((-cosine(good[i][0], v), j) for j, (v, mark) in good.items() if j != i and (not same or mark == good[i][1]))
+            want |= {(i, place + 1): j for place, (_, j) in enumerate(order[:4])}
+        assert got == want
+    assert vectors.nearest_vectors(df.limit(0), df, 4, "id", "id", "v").count() == 0
