@@ -12,46 +12,40 @@ GENERIC = ("total", "subtotal", "other", "others", "amount", "balance", "net")
 
 
 def names_of(concepts: DataFrame) -> DataFrame:
-    """(concept, name, source, place): labels, then aliases, normalised, in order, each once, without generic ones.
+    """(concept, name, source, place): labels, then aliases, normalised, in order, without generic ones.
 
     concepts: concept, labels, aliases (arrays).
     """
     none = F.array().cast("array<string>")
     listed = lambda c, source: F.transform(F.coalesce(c, none), lambda x: F.named_struct(F.lit("name"), normalize_label(x), F.lit("source"), F.lit(source)))
     rows = concepts.where("concept IS NOT NULL").select("concept", F.posexplode(F.concat(listed(F.col("labels"), "label"), listed(F.col("aliases"), "alias"))).alias("place", "x"))
-    rows = rows.select("concept", "place", "x.name", "x.source").where(~F.col("name").isin("", *GENERIC))
-    return rows.groupBy("concept", "name").agg(F.min(F.struct("place", "source")).alias("first")).select("concept", "name", "first.source", "first.place")
-
-
-def prefixes(texts: DataFrame, seen: DataFrame, least: float) -> DataFrame:
-    """(name, n, w): of each text of n words the rarest n - ceil(least * n) + 1; two texts that are alike enough share one."""
-    rows = texts.select("name", F.explode("words").alias("w"), F.size("words").alias("n")).join(seen, "w")
-    rarest = Window.partitionBy("name").orderBy("df", "w")
-    take = F.col("n") - F.ceil(F.col("n") * F.lit(least).cast("decimal(9,6)")) + 1
-    return rows.withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= take).select("name", "n", "w")
+    return rows.select("concept", "place", "x.name", "x.source").where(~F.col("name").isin("", *GENERIC))
 
 
 def best_names(labels: DataFrame, concepts: DataFrame, least: float) -> DataFrame:
     """(label_id, concept, name, source, reason, ratio): for every label and concept with a name alike from `least` on, the best.
 
-    labels: label_id, label. Likeness is the share of words in common, 1 for equal texts. Distinct texts are
-    joined, not rows: by their rarest words (each text's few words that decide), and by length, then
-    every pair is decided on its whole sets. Of names as good the first of the concept stands. Generic
-    names match nothing; labels without words have no row.
+    labels: label_id, label. Likeness is the share of words in common, 1 for equal texts. A label of n words
+    is met by its n - ceil(least * n) + 1 rarest words, and only by names whose length leaves enough to
+    share from that word on; every pair is decided on its whole sets where it meets. Labels are the smaller
+    side: names go past them and are not moved, only what is alike is. Of names as good the first of the
+    concept stands. Generic names match nothing; labels without words have no row.
     """
     mine = labels.where("label_id IS NOT NULL").select("label_id", normalize_label(F.col("label")).alias("name"))
-    theirs = names_of(concepts)
-    sets = lambda df: df.select("name").distinct().withColumn("words", tokens(F.col("name"))).where(F.size("words") > 0)
-    a, b = sets(mine), sets(theirs)
-    seen = a.select("name", "words").union(b.select("name", "words")).distinct().select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    pa, pb = prefixes(a, seen, least), prefixes(b, seen, least).withColumnsRenamed({"name": "other", "n": "m"})
-    near: Column = (F.col("m") >= F.lit(least) * F.col("n")) & (F.col("n") >= F.lit(least) * F.col("m"))
-    pairs = pa.join(pb, "w").where(near).select("name", "other").distinct()
-    met = pairs.join(a, "name").join(b.withColumnsRenamed({"name": "other", "words": "theirs"}), "other")
+    sets = mine.select("name").distinct().withColumn("words", tokens(F.col("name"))).where(F.size("words") > 0).withColumn("n", F.size("words"))
+    theirs = names_of(concepts).select("concept", "place", "source", F.col("name").alias("other")).withColumn("theirs", tokens(F.col("other"))).withColumn("m", F.size("theirs"))
+    spread = theirs.select("*", F.explode("theirs").alias("w"))
+    mine_words = sets.select("*", F.explode("words").alias("w"))
+    seen = spread.select("w").join(mine_words.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("name").orderBy(F.coalesce("df", F.lit(0)), "w")
+    take = F.col("n") - F.ceil(F.col("n") * F.lit(least).cast("decimal(9,6)")) + 1
+    prefix = mine_words.join(seen, "w", "left").withColumn("at", F.row_number().over(rarest)).where((F.col("at") <= take) & F.col("df").isNotNull()).select("name", "words", "n", "at", "w")
+    # what two sets of n and m words share is least / (1 + least) of both at least, and no word of the label before `at` is in it
+    near: Column = (F.col("m") >= F.lit(least) * F.col("n")) & (F.col("n") >= F.lit(least) * F.col("m")) & (F.col("n") - F.col("at") + 1 >= F.lit(least / (1 + least) - 1e-9) * (F.col("n") + F.col("m")))
     both = F.size(F.array_intersect("words", "theirs"))
-    ratio = F.when(F.col("name") == F.col("other"), 1.0).otherwise(both / (F.size("words") + F.size("theirs") - both))
-    alike = met.select("name", "other", ratio.alias("ratio")).where(F.col("ratio") >= least)
-    rows = mine.join(alike, "name").join(theirs.withColumnRenamed("name", "other"), "other")
+    ratio = F.when(F.col("name") == F.col("other"), 1.0).otherwise(both / (F.col("n") + F.col("m") - both))
+    alike = spread.join(prefix, "w").where(near).select("name", "concept", "other", "source", "place", ratio.alias("ratio")).where(F.col("ratio") >= least)
+    rows = mine.join(alike, "name")
     best = Window.partitionBy("label_id", "concept").orderBy(F.desc("ratio"), "place")
     reason = F.when(F.col("name") == F.col("other"), F.concat(F.lit("exact_"), "source", F.lit("_match"))).otherwise("shared_words")
     out = rows.withColumn("_place", F.row_number().over(best)).where("_place = 1")
