@@ -11,9 +11,14 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"))
 
 
-def index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, doc, tf, length): the posting lists of a table; tf is how often the term stands in the text."""
+def index(docs: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """(term, doc, tf, length): the posting lists of a table; tf is how often the term stands in the text.
+
+    asked: term; the lists of other terms are not made then.
+    """
     spread = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), terms(F.col(text)).alias("ts")).select("doc", F.size("ts").alias("length"), F.explode("ts").alias("term"))
+    if asked is not None:
+        spread = spread.join(asked.select("term").distinct(), "term", "left_semi")
     return spread.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
@@ -26,7 +31,7 @@ def search(postings: DataFrame, queries: DataFrame, n_docs: int | Column, k: int
     with one that no document has, finds nothing; ties go to the smaller doc.
     """
     asked = queries.where("query IS NOT NULL").select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # as wide as the lists below, so they are made once
     known = asked.join(df, "term", "left")
     each = Window.partitionBy("query")
     known = known.withColumns({"n": F.count("*").over(each), "place": F.row_number().over(each.orderBy(F.col("df").asc_nulls_first(), "term")), "missing": F.count_if(F.col("df").isNull()).over(each)}).where("missing = 0")
