@@ -6,6 +6,7 @@ into 7. An instance is one row, parsed in one task; its size is that of a report
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
@@ -26,6 +27,8 @@ _CONTEXT = """struct<_id: string, entity: struct<identifier: struct<_VALUE: stri
 _INSTANCE = f"context array<{_CONTEXT}>, unit array<struct<_id: string, measure: array<string>, divide: struct<unitNumerator: struct<measure: array<string>>, unitDenominator: struct<measure: array<string>>>>>, schemaRef array<struct<_href: string>>"
 #: Children of an instance that are no facts.
 NO_FACTS = ("context", "unit", "schemaRef", "linkbaseRef", "roleRef", "arcroleRef", "footnoteLink")
+#: Characters that are parsed at once.
+SLICE = 1_000_000
 _ELEMENTS = "array<struct<place: int, above: int, depth: int, name: string, attributes: map<string, string>, text: string>>"
 
 
@@ -61,8 +64,12 @@ def elements(text: str) -> Column:
     """All elements of an XML document, by an XML parser: entities, CDATA and comments are what they are."""
 
     @F.pandas_udf(_ELEMENTS)
-    def parsed(texts: pd.Series) -> pd.Series:
-        return texts.map(_elements_of)
+    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # a batch has thousands of documents: what is parsed at once is a slice of it
+        for texts in batches:
+            part = (texts.str.len().fillna(0).cumsum() // SLICE).astype("int64")
+            for _, few in texts.groupby(part.to_numpy(), sort=False):
+                yield few.map(_elements_of)
 
     return parsed(text)
 
