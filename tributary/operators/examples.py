@@ -22,13 +22,15 @@ def similar_examples(rows: DataFrame, examples: DataFrame, row: str, example: st
     rows without words, and either side's rows without a key, are in no pair.
     """
     need = F.ceil(F.size("words") * F.lit(least).cast("decimal(9,6)"))
-    spread = examples.select(example, F.explode("words").alias("w"))
-    seen = spread.groupBy("w").agg(F.count("*").alias("df"))
     sized = rows.where(F.size("words") > 0).select(row, (F.size("words") - need + 1).alias("take"), F.explode("words").alias("w"))
+    # words that no row has decide nothing: they are not moved
+    spread = examples.select(example, F.explode("words").alias("w")).join(sized.select("w").distinct(), "w", "left_semi")
+    own = spread.groupBy(example).agg(F.collect_list("w").alias("b"))
+    seen = spread.groupBy("w").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy(row).orderBy(F.coalesce("df", F.lit(0)), "w")
     prefix = sized.join(seen, "w", "left").withColumn("place", F.row_number().over(rarest)).where("place <= take AND df > 0").select(row, "w")
     pairs = prefix.join(spread, "w").select(row, example).distinct()
-    both = pairs.join(rows.select(row, F.col("words").alias("a")), row).join(examples.select(example, F.col("words").alias("b")), example)
+    both = pairs.join(rows.select(row, F.col("words").alias("a")), row).join(own, example)
     n = F.size(F.array_intersect("a", "b")).cast("long")
     scored = both.select(row, example, n.alias("n_shared"), F.size("a").alias("n")).where(F.col("n_shared") >= F.ceil(F.col("n") * F.lit(least).cast("decimal(9,6)")))
     scored = scored.select(row, example, "n_shared", F.round(F.col("n_shared") / F.col("n"), 6).alias("share"))
