@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.operators.test_structure import CARDS, ROWS, RULES, card
-from tributary.operators import retrieval, vectors
+from tributary.operators import aliases, alignment, boxes, retrieval, search, vectors
 
 
 def test_retrieval_scores_kinds_once(spark):
@@ -44,3 +44,32 @@ def test_vectors_by_blocks(spark, monkeypatch):
             want |= {(i, place + 1): j for place, (_, j) in enumerate(order[:4])}
         assert got == want
     assert vectors.nearest_vectors(df.limit(0), df, 4, "id", "id", "v").count() == 0
+
+
+def test_search_lists_asked_terms_only(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog"), (2, "dog")], "id long, t string")
+    asked = spark.createDataFrame([("dog",), ("dog",)], "term string")
+    assert {(r.term, r.doc, r.tf) for r in search.index(docs, "id", "t", asked).collect()} == {("dog", 1, 1), ("dog", 2, 1)}
+
+
+def test_names_move_no_text(spark):
+    labels = spark.createDataFrame([(1, "net cash flow")], "label_id long, label string")
+    concepts = spark.createDataFrame([(1, ["cash flow", "cash flow"], ["net cash flow"])], "concept int, labels array<string>, aliases array<string>")
+    out = aliases.best_names(labels, concepts, 0.5)
+    assert [(r.name, r.source) for r in out.collect()] == [("net cash flow", "alias")]
+    assert aliases.names_of(concepts).count() == 3  # as they stand: nothing is grouped by its text
+
+
+def test_alignment_counts_copies(spark):
+    rows = spark.createDataFrame([(i, "Cash", 10.0, None, 2024) for i in range(3)] + [(9, "Cash", 99.0, None, 2024)], "row_id long, label string, value double, family string, year int")
+    facts = spark.createDataFrame([(i, "Cash", None, 10.0, None, 2024, "instant", "MYR") for i in (7, 5, 6)], "fact_id long, fact_label string, aliases array<string>, fact_value double, fact_family string, fact_year int, period_type string, unit string")
+    got = {r.row_id: (r.fact_id, r.gap, r.n_candidates, r.bucket) for r in alignment.aligned(rows, facts).collect()}
+    assert got == {0: (5, 0, 3, "ambiguous"), 1: (5, 0, 3, "ambiguous"), 2: (5, 0, 3, "ambiguous"), 9: (None, None, 0, "unmatched")}
+    assert "fact_copies" in alignment.scored(rows, facts.withColumn("fact_copies", F.lit(1))).columns
+
+
+def test_boxes_dealt_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(boxes, "PAIRS_A_TASK", 10)
+    df = spark.createDataFrame([(1, i, 0.0, 0.0, 1.0, 1.0) for i in range(20)], "page int, id int, x0 double, y0 double, x1 double, y1 double")
+    out = boxes.overlaps(df, df, ["page"], 2.0)
+    assert out.count() == 400 and out.rdd.getNumPartitions() == 40
