@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tests.operators.test_structure import CARDS, ROWS, RULES, card
-from tributary.operators import aliases, alignment, boxes, retrieval, search, vectors
+from tests.operators.test_structure import CARDS, ENTRIES, HEADINGS, ROWS, RULES, card
+from tributary.operators import aliases, alignment, anchors, boxes, retrieval, search, vectors
 
 
 def test_retrieval_scores_kinds_once(spark):
@@ -73,3 +73,18 @@ def test_boxes_dealt_by_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(1, i, 0.0, 0.0, 1.0, 1.0) for i in range(20)], "page int, id int, x0 double, y0 double, x1 double, y1 double")
     out = boxes.overlaps(df, df, ["page"], 2.0)
     assert out.count() == 400 and out.rdd.getNumPartitions() == 40
+
+
+def test_anchors_choose_in_a_stream(spark):
+    heads = spark.createDataFrame([(d, f"h{i}", i + 1, "Cash flows", "title", None, None, None, None) for d in (1, 2) for i in range(4)] + [(1, "x", 9, "Cash desk and other rights", None, None, None, None, None)], HEADINGS)
+    entries = spark.createDataFrame([(d, i, "Cash flows", None, None, "x") for d in (1, 2) for i in range(6)], ENTRIES)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, "3")  # documents and entries go over the ends of batches
+        out = anchors.anchors(entries, heads)
+        assert {(r.doc_id, r.entry_no): (r.heading_id, r.near_tie) for r in out.collect()} == {(d, i): (f"h{i}", i < 3) for d in (1, 2) for i in range(4)}
+    finally:
+        spark.conf.set(batch, own)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and plan.count("Join") == 3  # candidates are made once, and no document is handed over whole
