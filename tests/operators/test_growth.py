@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.operators.test_structure import CARDS, ENTRIES, HEADINGS, ROWS, RULES, card
-from tributary.operators import aliases, alignment, anchors, boxes, retrieval, search, vectors
+from tributary.operators import aliases, alignment, anchors, boxes, json_paths, retrieval, search, vectors
 
 
 def test_retrieval_scores_kinds_once(spark):
@@ -88,3 +88,16 @@ def test_anchors_choose_in_a_stream(spark):
         spark.conf.set(batch, own)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "InPandas" not in plan and plan.count("Join") == 3  # candidates are made once, and no document is handed over whole
+
+
+def test_json_levels_in_one_pass(spark, monkeypatch):
+    deep = '[{"a": ' * 8 + "null" + "}]" * 8
+    df = spark.createDataFrame([(1, deep), (2, '{"a": [{}, [], null]}'), (3, "no json"), (4, None), (5, "7"), (None, "7")], "k int, t string")
+    found = json_paths.paths(df.where("k <> 1"), "k", "t")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") + plan.count("parse_json(") <= 1 and "Union" not in plan  # a text is parsed once
+    assert sorted((r.key, r.path, r.kind) for r in found.collect()) == [(2, "$", "object"), (2, "$.a", "array"), (2, "$.a[0]", "object"), (2, "$.a[1]", "array"), (2, "$.a[2]", "void"), (5, "$", "bigint")]
+    want = sorted("$" + "[0].a" * i + tail for i in range(9) for tail in ("", "[0]") if i < 8 or not tail)
+    for levels in (6, 4):
+        monkeypatch.setattr(json_paths, "LEVELS", levels)
+        assert sorted(r.path for r in json_paths.paths(df, "k", "t").where("key = 1").collect()) == want
