@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from tributary.sources import xbrl
 
 INSTANCE = """<?xml version="1.0" encoding="UTF-8"?>
@@ -98,3 +100,17 @@ def test_a_deep_chain(spark):
     arcs = spark.createDataFrame([("p", i, i + 1, 0.0, i) for i in range(150)], "path string, start int, end int, priority double, place int")
     nodes = spark.createDataFrame([("p", i, f"c{i}") for i in range(151)], "path string, node int, concept string")
     assert xbrl.forest(arcs, nodes, ["path"]).agg({"level": "max"}).first()[0] == 150
+
+
+def test_forests_send_no_arcs_to_the_driver(spark, monkeypatch):
+    arcs = spark.range(1, 64).selectExpr("'p' AS path", "id DIV 2 AS start", "id AS end", "0.0D AS priority", "id AS place")
+    nodes = spark.range(64).selectExpr("'p' AS path", "id AS node", "concat('c', id) AS concept")
+    got = []
+    for few in (10_000, 0):
+        monkeypatch.setattr(xbrl, "FEW", few)
+        out = xbrl.forest(arcs, nodes, ["path"])
+        assert "UnionLoop" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got.append(sorted((r.position, r.concept, r.level) for r in out.collect()))
+    assert got[0] == got[1] and [r[1:] for r in got[0]][:4] == [("c0", 0), ("c1", 1), ("c2", 2), ("c4", 3)] and len(got[0]) == 64
+    with pytest.raises(ValueError):
+        xbrl.forest(arcs, nodes, ["path"], deepest=3)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.sources.shared import new_folder
+
 
 def read_instances(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of instance files; those that declare a DOCTYPE or an entity are marked and not parsed."""
@@ -27,6 +29,8 @@ _CONTEXT = """struct<_id: string, entity: struct<identifier: struct<_VALUE: stri
 _INSTANCE = f"context array<{_CONTEXT}>, unit array<struct<_id: string, measure: array<string>, divide: struct<unitNumerator: struct<measure: array<string>>, unitDenominator: struct<measure: array<string>>>>>, schemaRef array<struct<_href: string>>"
 #: Children of an instance that are no facts.
 NO_FACTS = ("context", "unit", "schemaRef", "linkbaseRef", "roleRef", "arcroleRef", "footnoteLink")
+#: Nodes of a level of a forest that are broadcast.
+FEW = 10_000
 #: Characters that are parsed at once.
 SLICE = 1_000_000
 _ELEMENTS = "array<struct<place: int, above: int, depth: int, name: string, attributes: map<string, string>, text: string>>"
@@ -179,25 +183,31 @@ def forest(arcs: DataFrame, nodes: DataFrame, keys: list[str], passed: str = "Ab
 
     Roots begin arcs and end none; they come in the order of their first arc. A concept that `passed`
     matches is left out, its children stay, with the level that they have. An arc to a node of its own
-    path is cut, a node under two parents comes twice; a node without a concept ends its branch. A
-    recursive query: as many steps as the tallest tree has levels, each a join over the nodes of a level.
+    path is cut, a node under two parents comes twice; a node without a concept ends its branch. As
+    many steps as the tallest tree has levels, each a join with the nodes of a level, which are written to
+    the shared folder: only levels of at most ``FEW`` nodes are broadcast, and no arcs.
     """
-    on = ", ".join(keys)
-    same = " AND ".join(f"t.{k} = a.{k}" for k in keys)
-    known = " AND ".join(f"a.{k} = n.{k}" for k in keys)
-    spark = arcs.sparkSession
-    ranked = arcs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "start").orderBy("priority", "place")))
+    spark, folder = arcs.sparkSession, new_folder(arcs.sparkSession, "forest")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    ranked = arcs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "start").orderBy("priority", "place")).cast("long"))
     begun = arcs.groupBy(*keys, F.col("start").alias("node")).agg(F.min("place").alias("first")).join(arcs.select(*keys, F.col("end").alias("node")), [*keys, "node"], "left_anti")
-    roots = begun.join(nodes, [*keys, "node"])
-    found = spark.sql(
-        f"""WITH RECURSIVE t({on}, node, concept, parent, level, trail, way) MAX RECURSION LEVEL {deepest} AS (
-         SELECT {on}, node, concept, CAST(NULL AS STRING), 0, array(node), array(CAST(first AS BIGINT)) FROM {{roots}}
-         UNION ALL
-         SELECT {", ".join(f"a.{k}" for k in keys)}, a.end, n.concept, t.concept, t.level + 1, array_append(t.trail, a.end), array_append(t.way, CAST(a.rank AS BIGINT))
-         FROM t JOIN {{ranked}} a ON {same} AND t.node = a.start JOIN {{nodes}} n ON {known} AND a.end = n.node WHERE NOT array_contains(t.trail, a.end))
-        SELECT {on}, concept, level, parent, way FROM t""",
-        roots=roots, ranked=ranked, nodes=nodes,
-    )
+    ends = nodes.select(*keys, F.col("node").alias("end"), F.col("concept").alias("below"))
+    steps = written(ranked.select(*keys, F.col("start").alias("node"), "end", "rank").join(ends.hint("merge"), [*keys, "end"]), "steps")
+    first = begun.join(nodes.hint("merge"), [*keys, "node"])
+    level = written(first.select(*keys, "node", "concept", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.array("node").alias("trail"), F.array(F.col("first").cast("long")).alias("way")), "level-0")
+    done = 0
+    while n := level.count():
+        if done >= deepest:
+            raise ValueError(f"a tree has more than {deepest} levels")
+        done += 1
+        met = steps.join(level.hint("broadcast" if n <= FEW else "merge"), [*keys, "node"]).where(~F.array_contains("trail", F.col("end")))
+        down = met.select(*keys, F.col("end").alias("node"), F.col("below").alias("concept"), F.col("concept").alias("parent"), (F.col("level") + 1).alias("level"), F.array_append("trail", F.col("end")).alias("trail"), F.array_append("way", F.col("rank")).alias("way"))
+        level = written(down, f"level-{done}")
+    found = spark.read.schema(level.schema).parquet(*(f"{folder}/level-{i}" for i in range(done + 1))).select(*keys, "concept", "level", "parent", "way")
     position = F.row_number().over(Window.partitionBy(*keys).orderBy("way")) - 1
     return found.where(~F.col("concept").rlike(passed)).withColumn("position", position).drop("way")
 
