@@ -9,19 +9,20 @@ A document's own occurrences are taken out of both c(v w) and c(v), so that a te
 itself; the end of the chain, n(w) / N, is of the whole corpus, since a word that nothing else has would
 have no score there. Words and bigrams are keyed by 64-bit hashes; no word is merged with another.
 
-1. Count tables: words, and bigrams that occur twice or more, each partitioned by the hash of its key.
-   The ``HEAD_WORDS`` most frequent words (bounded) are broadcast as a short cut.
-2. Scoring: every token starts at the end of the chain, and a bigram that occurs elsewhere lifts it. The
-   ``HEAD`` most frequent bigrams (bounded) are settled where the text is read. Bitmaps of fixed size
-   tell most words and bigrams that occur once from the others; those that may occur twice, and the words outside
-   the head, are exploded into (row, key, frequency) rows and joined to the count tables by one shuffle.
-   A repeated bigram of words outside the head has their counts in its row of the table.
-3. Parts are summed per row.
+1. Documents are dealt into blocks of some megabytes by the hash of their row. This shuffle of the texts
+   is read twice.
+2. Asking: a block sends each different key (word or bigram) once, with its number in the block. Keys go by
+   their range to buckets, a row for each block and bucket, packed as the differences of sorted keys.
+3. Counting: a bucket adds up its keys and answers each block with the counts alone, in the order of its keys.
+4. Scoring: a block meets its answers, finds the same keys in the same order, and scores its documents.
+
+So every key is counted whole, nothing is broadcast or held by the driver but N and the number of bytes, and
+what is shuffled is in proportion to the input. A block and a bucket are bounded by ``BLOCK`` and ``BUCKET``,
+by the longest text, and by rows that are equal in key and text, which share a block.
 
 Defined cases: null or empty text has no words and score 0 (and no mean); repeated rows are scored each
 on its own and count each time, so exact copies vouch for each other; null keys are kept; an empty table
-scores nothing; other columns are left out, so none can clash. Results don't depend on the heads or on
-the bitmap.
+scores nothing; other columns are left out, so none can clash. Results don't depend on blocks and buckets.
 """
 
 from __future__ import annotations
@@ -30,215 +31,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import words as W
-from tributary.llm.shared import most_frequent, saved
 
-HEAD_WORDS = 1 << 19
-HEAD = 1_000_000
 ALPHA = 0.4
-#: Stands for the count of a word outside the head.
-OUTSIDE = -1
-#: Bits of the bitmaps of repeated words and bigrams, as a power of two: 8 MB each at any size of the corpus.
-FILTER_BITS = 26
+#: Bytes of text in a block, and words of the corpus whose keys go to a bucket, on the average.
+BLOCK = 8 << 20
+BUCKET = 1 << 21
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(w, n): 64-bit hash and count of every word of the corpus."""
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit keys of bigrams."""
+    p = W.powers(2, 2)
+    with np.errstate(over="ignore"):
+        return W.mix(v * p[0] + w * p[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.concatenate([np.zeros(0, np.uint64), *(c.hash for c in W.chunks(batch.column(0)))])
-            w, n = np.unique(own, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
 
-    return docs.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+def pack(x: np.ndarray) -> bytes:
+    """Integers of 64 bits, as few bytes of each as the largest needs: all lowest bytes first, since high ones are mostly 0."""
+    wide = max(1, -(-int(x.max()).bit_length() // 8))
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
 
 
-class Table:
-    """Counts of some hashes, to be looked up."""
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(packed, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view(np.uint64).reshape(-1)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = 20) -> None:
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order].astype(np.int64)
-        # the first bits of a hash tell where to look
-        self.shift = np.uint64(64 - bits)
-        self.at = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
-        self.at = np.append(self.at, len(self.keys))
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts; 0 of what is not in the table."""
-        out = np.zeros(len(hashes), np.int64)
-        bucket = (hashes >> self.shift).astype(np.int64)
-        place, end = self.at[bucket], self.at[bucket + 1]
-        left = np.flatnonzero(place < end)
-        while len(left):  # buckets hold a few keys each
-            here = place[left]
-            same = self.keys[here] == hashes[left]
-            out[left[same]] = self.counts[here[same]]
-            place[left] += 1
-            left = left[~same & (place[left] < end[left])]
-        return out
+def tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of all texts in turn: hashes, number in each text, places of those with another after them, and bigram keys there."""
+    own = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *((c.hash, np.diff(c.offset)) for part in texts.chunks for c in W.chunks(part))]
+    h, size = (np.concatenate(x) for x in zip(*own, strict=True))
+    at = W.ranges(np.cumsum(size) - size, np.maximum(size - 1, 0))
+    return h, size, at, pair_keys(h[at], h[at + 1])
 
 
-def head_table(counts: DataFrame, key: str, n: str, limit: int) -> Table:
-    own = most_frequent(counts, n, limit).select(key, n).toArrow()
-    return Table(own.column(0).to_numpy().astype(np.int64).view(np.uint64), own.column(1).to_numpy())
+def measure(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Number of words and of bytes of all texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, _ = W.buffers(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([W.number(batch.column(0))]), pa.array([int(offsets[-1] - offsets[0])])], names=["n", "b"])
 
-def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit keys of bigrams."""
-    p = W.powers(2, 2)
-    with np.errstate(over="ignore"):
-        return W.mix(v * p[0] + w * p[1])
+    return tuple(x or 0 for x in docs.select(text).mapInArrow(run, "n long, b long").agg(F.sum("n"), F.sum("b")).first())
 
 
-def neighbours(c: W.Words) -> np.ndarray:
-    """Places of the words that have another after them in their document."""
-    return W.ranges(c.offset[:-1], np.maximum(np.diff(c.offset) - 1, 0))
+def asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, size, keys, ns): the different keys of each block that belong to a bucket, and their numbers in the block."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        h, _, _, pair = tokens(rows["text"])
+        keys, n = np.unique(np.concatenate([h, pair]), return_counts=True)
+        first = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
+        cut = np.append(np.searchsorted(keys, first), len(keys))
+        full = np.flatnonzero(np.diff(cut))
+        parts = [slice(a, b) for a, b in zip(cut[full], cut[full + 1], strict=True)]
+        packed = [pack(np.diff(keys[x], prepend=first[i])) for i, x in zip(full, parts, strict=True)]
+        columns = [full.astype(np.int32), np.full(len(full), rows["block"][0].as_py(), np.int32), np.diff(cut)[full].astype(np.int32)]
+        return pa.table([*map(pa.array, columns), pa.array(packed, pa.binary()), pa.array([pack(n[x]) for x in parts], pa.binary())], names=["bucket", "block", "size", "keys", "ns"])
 
-def distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs (doc, key): a place of each different one, how often it occurs, and which one each pair is."""
-    with np.errstate(over="ignore"):
-        own = W.mix(key + W.mix(doc.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(own)
-    new = np.append(True, own[order][1:] != own[order][:-1]) if len(own) else np.zeros(0, bool)
-    n = np.diff(np.append(np.flatnonzero(new), len(own)))
-    which = np.empty(len(own), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], n, which
+    return blocks.groupBy("block").applyInArrow(run, "bucket int, block int, size int, keys binary, ns binary")
 
 
-class Bitmap:
-    """Hashes of which a table has some with the same first bits; what is not here is not in the table."""
+def answered(asked: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, size, counts): the numbers of the same keys, in the same order, in the whole corpus."""
 
-    def __init__(self, keys: DataFrame, key: str, bits: int) -> None:
-        slot = F.shiftrightunsigned(key, 64 - bits)
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - bits}) & 63 AS INT))")
-        rows = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("x")).toArrow()
-        self.shift = np.uint64(64 - bits)
-        self.bits = np.zeros(1 << (bits - 6), np.uint64)
-        self.bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
+    def run(rows: pa.Table) -> pa.Table:
+        size, first = rows["size"].to_pylist(), np.uint64((rows["bucket"][0].as_py() << 64) // buckets)
+        with np.errstate(over="ignore"):
+            keys = np.concatenate([first + np.cumsum(unpack(x.as_py(), k), dtype=np.uint64) for x, k in zip(rows["keys"], size, strict=True)])
+        n = np.concatenate([unpack(x.as_py(), k) for x, k in zip(rows["ns"], size, strict=True)])
+        _, which = np.unique(keys, return_inverse=True)
+        total = np.bincount(which, n).astype(np.uint64)[which]
+        packed = [pack(x) for x in np.split(total, np.cumsum(size)[:-1])]
+        return pa.table([rows["block"], rows["bucket"], rows["size"], pa.array(packed, pa.binary())], names=["block", "bucket", "size", "counts"])
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes >> self.shift
-        return (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return asked.groupBy("bucket").applyInArrow(run, "block int, bucket int, size int, counts binary")
 
 
-def bigram_counts(docs: DataFrame, several: Broadcast, known: Broadcast, text: str = "text") -> DataFrame:
-    """(k, c, v, w): bigrams that occur twice or more; v and w are the hashes of words outside the head, else 0.
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = 0, alpha: float = ALPHA, head_words: int = 0, filter_bits: int = 0, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """(key, n_tokens, n_seen, score, mean_score) of every row: n_seen bigrams occur elsewhere; score is the natural log.
 
-    A word that occurs once is in none.
+    head, head_words and filter_bits set short cuts of an earlier form, and change nothing.
     """
+    n_words, n_bytes = measure(docs, text)
+    total, n_blocks, n_buckets = max(n_words, 1), n_bytes // block + 1, n_words // bucket + 1
+    # a function of the row alone, so that a block is the same whenever it is made
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(n_blocks)).cast("int"))
+    # no fewer partitions than other shuffles have, or the texts would be dealt anew to meet the answers
+    blocks = own.repartition(max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        h, size, at, pair = tokens(rows["text"])
+        keys, which = np.unique(np.concatenate([h, pair]), return_inverse=True)
+        answers = answers.sort_by("bucket")
+        found = [unpack(x.as_py(), k) for x, k in zip(answers["counts"], answers["size"].to_pylist(), strict=True)]
+        count = np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)
+        if len(count) != len(keys):
+            raise ValueError(f"a block of {len(keys)} keys got {len(count)} counts")
+        word, bigram = which[: len(h)], which[len(h) :]
+        # which words a bigram has
+        history, last = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        history[bigram], last[bigram] = word[at], word[at + 1]
+        doc = np.repeat(np.arange(len(size)), size)
+        mine, n_mine = np.unique(doc << 32 | word, return_counts=True)
+        both, n = np.unique(doc[at] << 32 | bigram, return_counts=True)
+        d, k = both >> 32, both & 0xFFFFFFFF
+        left = count[k] - n
+        part = n * np.log(alpha * count[last[k]] / total)
+        seen = np.flatnonzero(left > 0)
+        v, left = history[k[seen]], left[seen]
+        elsewhere = count[v] - n_mine[np.searchsorted(mine, d[seen] << 32 | v)]
+        part[seen] = n[seen] * np.log(left / np.maximum(elsewhere, left))
+        some = np.flatnonzero(size)
+        score = np.bincount(d, part, len(size)).astype(np.float64)
+        score[some] += np.log(count[word[(np.cumsum(size) - size)[some]]] / total)
+        n_seen = np.bincount(d[seen], n[seen], len(size)).astype(np.int64)
+        return pa.table([rows["key"], pa.array(size), pa.array(n_seen), pa.array(score)], names=["key", "n_tokens", "n_seen", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [(np.zeros(0, np.uint64),) * 3]
-            for c in W.chunks(batch.column(0)):
-                at, some = neighbours(c), several.value.has(c.hash)
-                at = at[some[at] & some[at + 1]]
-                rare = np.where(known.value.of(c.hash) > 0, np.uint64(0), c.hash)
-                own.append((pair_keys(c.hash[at], c.hash[at + 1]), rare[at], rare[at + 1]))
-            key, v, w = (np.concatenate(x) for x in zip(*own, strict=True))
-            k, place, n = np.unique(key, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(x[place].view(np.int64)) for x in (v, w))], names=["k", "n", "v", "w"])
-
-    pairs = docs.select(text).mapInArrow(run, "k long, n long, v long, w long")
-    # all rows of a key have the same v and w
-    return pairs.groupBy("k").agg(F.sum("n").alias("c"), F.max("v").alias("v"), F.max("w").alias("w")).where("c > 1")
-
-
-def count_table(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(_k, c, cv, cw): words and repeated bigrams, with the counts of the latter's words outside the head."""
-    none = F.lit(None).cast("long")
-    rare = pairs.where("v <> 0 or w <> 0")
-    # such a word is in few bigrams that repeat: no key of these joins is hot, and those without it have keys of their own
-    for word, named in (("v", "cv"), ("w", "cw")):
-        own = counts.select(F.col("w").alias("x"), F.col("n").alias(named))
-        rare = rare.withColumn("x", F.when(F.col(word) != 0, F.col(word)).otherwise(F.col("k"))).join(own, "x", "left").drop("x")
-    two = pairs.where("v = 0 and w = 0").select("k", "c", none, none).union(rare.select("k", "c", "cv", "cw"))
-    return two.union(counts.select("w", "n", none, none)).toDF("_k", "c", "cv", "cw")
-
-
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD, alpha: float = ALPHA, head_words: int = HEAD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(key, n_tokens, n_seen, score, mean_score) of every row: n_seen bigrams occur elsewhere; score is the natural log."""
-    spark = docs.sparkSession
-    counts = saved(word_counts(docs, text), "words")
-    total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    known = spark.sparkContext.broadcast(head_table(counts, "w", "n", head_words))
-    several = spark.sparkContext.broadcast(Bitmap(counts.where("n > 1"), "w", filter_bits))
-    pairs = saved(bigram_counts(docs, several, known, text), "bigrams")
-    frequent = spark.sparkContext.broadcast(head_table(pairs, "k", "c", head))
-    repeated = spark.sparkContext.broadcast(Bitmap(pairs, "k", filter_bits))
-    log_alpha = float(np.log(alpha))
     kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bigrams, twice, again = known.value, frequent.value, several.value, repeated.value
-        for batch in batches:
-            rows = batch.column(1).to_numpy()
-            for c in W.chunks(batch.column(2)):
-                size, tokens = c.n_docs, np.diff(c.offset)
-                doc = c.doc()
-                place, n_own, which = distinct(doc, c.hash)
-                # a word that is not in the bitmap occurs once in all
-                count = np.where(twice.has(c.hash[place]), words.of(c.hash[place]), 1)
-                # every token at the end of the chain; words outside the head wait
-                log_p = np.log(np.maximum(count, 1) / total)
-                out = count == 0
-                score = np.bincount(doc[place[~out]], (log_p * n_own)[~out], size) + log_alpha * np.maximum(tokens - 1, 0)
-                none = np.zeros(int(out.sum()), np.int64)
-                waiting = [(doc[place[out]], c.hash[place[out]], n_own[out], none, none)]
-                # bigrams
-                at = neighbours(c)
-                k = pair_keys(c.hash[at], c.hash[at + 1])
-                first, n, _ = distinct(doc[at], k)
-                at, k = at[first], k[first]
-                d, v, w = doc[at], which[at], which[at + 1]
-                c2 = bigrams.of(k)
-                left = c2 - n
-                common = (count[v] > 0) & (count[w] > 0)
-                hit = (left > 0) & common
-                part = np.log(left[hit] / np.maximum(count[v[hit]] - n_own[v[hit]], left[hit])) - log_alpha - log_p[w[hit]]
-                score = score + np.bincount(d[hit], part * n[hit], size)
-                n_seen = np.bincount(d[hit], n[hit], size).astype(np.int64)
-                # what a word outside the head is part of waits, and what may occur twice but is not in the head
-                more = np.flatnonzero(np.where(c2 > 0, (left > 0) & ~common, again.has(k)))
-                v, w = v[more], w[more]
-                # words outside the head: what is taken out of their count, or OUTSIDE
-                waiting.append((d[more], k[more], n[more], count[v] - n_own[v], np.where(count[w] > 0, count[w], OUTSIDE)))
-                d, k, n, h, cw = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                mine, rest = rows[c.first : c.first + size], len(d)
-                # a row per document, which meets nothing, and those that wait
-                none, zero = np.zeros(rest, np.int64), np.zeros(size, np.int64)
-                both = lambda a, b: pa.array(np.concatenate([a, b]))
-                ids = batch.column(0).slice(c.first, size)
-                columns = [both(mine, mine[d]), pa.concat_arrays([ids, pa.nulls(rest, ids.type)]), both(-1 - mine, k.view(np.int64))]
-                columns += [both(zero, x) for x in (n, h, cw)]
-                columns += [both(tokens, none), both(n_seen, none), both(score, none.astype(np.float64))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kinds = f"_row long, key {kind}, _k long, _n long, _h long, _cw long, _tokens long, _seen long, _score double"
-    names = [x.split()[0] for x in kinds.split(", ")]
-    waiting = docs.select(key, F.monotonically_increasing_id().alias("_row"), text).mapInArrow(run, kinds)
-    met = waiting.join(count_table(counts, pairs), "_k", "left")
-    n, left, bigram = F.col("_n"), F.col("c") - F.col("_n"), F.col("_cw") != 0
-    seen = bigram & (left > 0)
-    history = F.greatest(F.when(F.col("_h") < 0, F.col("cv") + F.col("_h")).otherwise(F.col("_h")), left)
-    word = F.when(F.col("_cw") == OUTSIDE, F.col("cw")).otherwise(F.col("_cw"))
-    lift = F.log(left / history) - log_alpha - F.log(word / total)
-    part = F.when(n == 0, 0.0).when(~bigram, n * F.log(F.col("c") / total)).when(seen, n * lift).otherwise(0.0)
-    summed = met.groupBy("_row").agg(
-        F.max("key").alias(key),
-        F.sum("_tokens").alias("n_tokens"),
-        F.sum(F.col("_seen") + F.when(seen, n).otherwise(0)).alias("n_seen"),
-        F.sum(F.col("_score") + part).alias("score"),
-    )
-    return summed.select(key, "n_tokens", "n_seen", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
+    answers = answered(asked(blocks, n_buckets), n_buckets)
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"key {kind}, n_tokens long, n_seen long, score double")
+    return out.select(F.col("key").alias(key), "n_tokens", "n_seen", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -186,3 +186,14 @@ def chunks(column: pa.Array, mark: bool = False, size: int = CHUNK, lowered: boo
         own = data[offsets[i] : offsets[j]]
         yield cut(lower(own) if mark or lowered else own, offsets[i : j + 1] - offsets[i], mark, i)
         i = j
+
+
+def number(column: pa.Array, mark: bool = False) -> int:
+    """How many words a text column has."""
+    offsets, data = buffers(column)
+    inside = _tables(mark)[0][data[offsets[0] : offsets[-1]]]
+    # the byte before is of the same word, unless a text begins here
+    again = inside[1:] & inside[:-1]
+    begin = offsets[:-1] - offsets[0] - 1
+    again[begin[(begin >= 0) & (begin < len(again))]] = False
+    return int(np.count_nonzero(inside) - np.count_nonzero(again))
