@@ -38,7 +38,7 @@ from tributary.llm import words as W
 
 ALPHA = 0.4
 #: Bytes of text in a block, and words of the corpus whose keys go to a bucket, on the average.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 BUCKET = 1 << 21
 
 
@@ -119,8 +119,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
 
     head, head_words and filter_bits set short cuts of an earlier form, and change nothing.
     """
-    n_words, n_bytes = measure(docs, text)
-    total, n_blocks, n_buckets = max(n_words, 1), n_bytes // block + 1, n_words // bucket + 1
+    n, n_bytes = measure(docs, text)
+    total, n_blocks, n_buckets = max(n, 1), n_bytes // block + 1, n // bucket + 1
     # a function of the row alone, so that a block is the same whenever it is made
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     own = own.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(n_blocks)).cast("int"))
@@ -129,15 +129,19 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         h, size, at, pair = tokens(rows["text"])
-        keys, which = np.unique(np.concatenate([h, pair]), return_inverse=True)
+        both = np.concatenate([h, pair])
+        del h, pair  # the largest arrays of a task
+        keys, which = np.unique(both, return_inverse=True)
+        which, n_words, n_keys = which.astype(np.int32), len(both) - len(at), len(keys)
+        del both, keys
         answers = answers.sort_by("bucket")
         found = [unpack(x.as_py(), k) for x, k in zip(answers["counts"], answers["size"].to_pylist(), strict=True)]
         count = np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)
-        if len(count) != len(keys):
-            raise ValueError(f"a block of {len(keys)} keys got {len(count)} counts")
-        word, bigram = which[: len(h)], which[len(h) :]
+        if len(count) != n_keys:
+            raise ValueError(f"a block of {n_keys} keys got {len(count)} counts")
+        word, bigram = which[:n_words], which[n_words:]
         # which words a bigram has
-        history, last = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        history, last = np.zeros(n_keys, np.int32), np.zeros(n_keys, np.int32)
         history[bigram], last[bigram] = word[at], word[at + 1]
         doc = np.repeat(np.arange(len(size)), size)
         mine, n_mine = np.unique(doc << 32 | word, return_counts=True)
