@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.operators.test_structure import CARDS, ENTRIES, HEADINGS, ROWS, RULES, card
 from tributary.operators import aliases, alignment, anchors, boxes, json_paths, retrieval, search, vectors
+from tributary.plans import queries
 
 
 def test_retrieval_scores_kinds_once(spark):
@@ -46,6 +47,36 @@ def test_vectors_by_blocks(spark, monkeypatch):
     assert vectors.nearest_vectors(df.limit(0), df, 4, "id", "id", "v").count() == 0
 
 
+def test_every_vector_is_a_query(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "VECTORS_A_BLOCK", 17)
+    monkeypatch.setattr(vectors, "ITEMS_A_BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERIES_A_BLOCK", 3)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)], i % 3) for i in range(60)] + [(200, None, 0), (201, [1.0], 1), (202, [1.0, None, 0.0, 0.0], 2), (203, [0.0] * 4, 0)] + [(300 + i, [1.0, 1.0, 1.0, 0.0], i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+
+    def cosine(a, b):
+        if not (a and b and len(a) == len(b) == 4 and None not in a and None not in b):
+            return None
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if n else 0.0
+
+    got = {(r.query_id, r["rank"]): (r.id, r.label, r.query_label) for r in vectors.nearest_of_each(df, 4, "id", "v").collect()}
+    marks, want = {i: mark for i, _, mark in rows}, {}
+    for i, v, mark in rows:
+        order = sorted((s is None, -(s or 0), j) for j, w, _ in rows if j != i for s in [cosine(v, w)])
+        want |= {(i, place + 1): (j, marks[j], mark) for place, (_, _, j) in enumerate(order[:4])}
+    assert got == want
+    assert vectors.nearest_of_each(df.limit(0), 4, "id", "v").count() == 0
+    assert vectors.nearest_of_each(df.where("id = 7"), 4, "id", "v").count() == 0
+
+
+def test_ranking_evaluation_asks_every_vector(spark, tmp_path):
+    rows = [(i, [1.0, float(i)], i % 2) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.ranking_evaluation(spark, str(tmp_path)).collect()[0]["rows"] == 30
+
+
 def test_search_lists_asked_terms_only(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog"), (2, "dog")], "id long, t string")
     asked = spark.createDataFrame([("dog",), ("dog",)], "term string")
