@@ -91,6 +91,23 @@ def test_names_move_no_text(spark):
     assert aliases.names_of(concepts).count() == 3  # as they stand: nothing is grouped by its text
 
 
+def test_names_stay_where_they_are(spark, monkeypatch):
+    labels = spark.createDataFrame([(1, "net cash flow"), (2, "cash at bank"), (3, "cash at bank"), (4, "none of these"), (5, None), (6, "--")], "label_id long, label string")
+    concepts = spark.createDataFrame([(1, ["cash flow"], ["net cash flow"]), (2, ["the bank"], ["cash at the bank", "cash bank at"])], "concept int, labels array<string>, aliases array<string>")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    own = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "-1")
+        for few in (1, 2, 100):
+            monkeypatch.setattr(aliases, "LABELS_AT_ONCE", few)
+            out = aliases.best_names(labels, concepts, 0.5)
+            assert sorted((r.label_id, r.concept, r.name, r.ratio) for r in out.collect()) == [(1, 1, "net cash flow", 1.0), (2, 2, "cash bank at", 1.0), (3, 2, "cash bank at", 1.0)]
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()  # no name is shuffled to meet a label
+        assert aliases.best_names(labels.limit(0), concepts, 0.5).count() == 0
+    finally:
+        spark.conf.set(limit, own)
+
+
 def test_alignment_counts_copies(spark):
     rows = spark.createDataFrame([(i, "Cash", 10.0, None, 2024) for i in range(3)] + [(9, "Cash", 99.0, None, 2024)], "row_id long, label string, value double, family string, year int")
     facts = spark.createDataFrame([(i, "Cash", None, 10.0, None, 2024, "instant", "MYR") for i in (7, 5, 6)], "fact_id long, fact_label string, aliases array<string>, fact_value double, fact_family string, fact_year int, period_type string, unit string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tributary.functions.labels import normalize_label, tokens
 
 #: Names that say nothing of a concept.
 GENERIC = ("total", "subtotal", "other", "others", "amount", "balance", "net")
+#: Different labels that are sent to the names at once.
+LABELS_AT_ONCE = 20_000
 
 
 def names_of(concepts: DataFrame) -> DataFrame:
@@ -28,28 +32,36 @@ def best_names(labels: DataFrame, concepts: DataFrame, least: float) -> DataFram
     labels: label_id, label. Likeness is the share of words in common, 1 for equal texts. A label of n words
     is met by its n - ceil(least * n) + 1 rarest words, and only by names whose length leaves enough to
     share from that word on; every pair is decided on its whole sets where it meets. Labels are the smaller
-    side: names go past them and are not moved, only what is alike is. Of names as good the first of the
-    concept stands. Generic names match nothing; labels without words have no row.
+    side: of them LABELS_AT_ONCE are broadcast at a time, whatever their number, and names go past them and are
+    not moved, only what is alike is. Of names as good the first of the concept stands. Generic names match
+    nothing; labels without words have no row.
     """
-    mine = labels.where("label_id IS NOT NULL").select("label_id", normalize_label(F.col("label")).alias("name"))
-    sets = mine.select("name").distinct().withColumn("words", tokens(F.col("name"))).where(F.size("words") > 0).withColumn("n", F.size("words"))
+    mine = labels.where("label_id IS NOT NULL").select("label_id", normalize_label(F.col("label")).alias("name")).where("name <> ''")
+    times = -(-mine.select("name").distinct().count() // LABELS_AT_ONCE) or 1
     theirs = names_of(concepts).select("concept", "place", "source", F.col("name").alias("other")).withColumn("theirs", tokens(F.col("other"))).withColumn("m", F.size("theirs"))
     spread = theirs.select("*", F.explode("theirs").alias("w"))
+    at = F.pmod(F.xxhash64("name"), F.lit(times))
+    rows = reduce(DataFrame.unionByName, (_alike(mine.where(at == i) if times > 1 else mine, spread, least) for i in range(times)))
+    best = Window.partitionBy("label_id", "concept").orderBy(F.desc("ratio"), "place")
+    reason = F.when(F.col("name") == F.col("other"), F.concat(F.lit("exact_"), "source", F.lit("_match"))).otherwise("shared_words")
+    out = rows.withColumn("_place", F.row_number().over(best)).where("_place = 1")
+    return out.select("label_id", "concept", F.col("other").alias("name"), "source", reason.alias("reason"), F.round("ratio", 6).alias("ratio"))
+
+
+def _alike(mine: DataFrame, spread: DataFrame, least: float) -> DataFrame:
+    """Labels, few enough to be broadcast, beside the names that are alike. spread: names, once for each of their words."""
+    sets = mine.select("name").distinct().withColumn("words", tokens(F.col("name"))).where(F.size("words") > 0).withColumn("n", F.size("words"))
     mine_words = sets.select("*", F.explode("words").alias("w"))
-    seen = spread.select("w").join(mine_words.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("df"))
+    seen = spread.select("w").join(F.broadcast(mine_words.select("w").distinct()), "w").groupBy("w").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("name").orderBy(F.coalesce("df", F.lit(0)), "w")
     take = F.col("n") - F.ceil(F.col("n") * F.lit(least).cast("decimal(9,6)")) + 1
-    prefix = mine_words.join(seen, "w", "left").withColumn("at", F.row_number().over(rarest)).where((F.col("at") <= take) & F.col("df").isNotNull()).select("name", "words", "n", "at", "w")
+    prefix = mine_words.join(F.broadcast(seen), "w", "left").withColumn("at", F.row_number().over(rarest)).where((F.col("at") <= take) & F.col("df").isNotNull()).select("name", "words", "n", "at", "w")
     # what two sets of n and m words share is least / (1 + least) of both at least, and no word of the label before `at` is in it
     near: Column = (F.col("m") >= F.lit(least) * F.col("n")) & (F.col("n") >= F.lit(least) * F.col("m")) & (F.col("n") - F.col("at") + 1 >= F.lit(least / (1 + least) - 1e-9) * (F.col("n") + F.col("m")))
     both = F.size(F.array_intersect("words", "theirs"))
     ratio = F.when(F.col("name") == F.col("other"), 1.0).otherwise(both / (F.col("n") + F.col("m") - both))
-    alike = spread.join(prefix, "w").where(near).select("name", "concept", "other", "source", "place", ratio.alias("ratio")).where(F.col("ratio") >= least)
-    rows = mine.join(alike, "name")
-    best = Window.partitionBy("label_id", "concept").orderBy(F.desc("ratio"), "place")
-    reason = F.when(F.col("name") == F.col("other"), F.concat(F.lit("exact_"), "source", F.lit("_match"))).otherwise("shared_words")
-    out = rows.withColumn("_place", F.row_number().over(best)).where("_place = 1")
-    return out.select("label_id", "concept", F.col("other").alias("name"), "source", reason.alias("reason"), F.round("ratio", 6).alias("ratio"))
+    alike = spread.join(F.broadcast(prefix), "w").where(near).select("name", "concept", "other", "source", "place", ratio.alias("ratio")).where(F.col("ratio") >= least)
+    return alike.join(F.broadcast(mine), "name")
 
 
 def canonical_names(labels: DataFrame, known: DataFrame, longest: int = 8) -> DataFrame:
