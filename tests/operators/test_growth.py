@@ -22,6 +22,26 @@ def test_retrieval_scores_kinds_once(spark):
     assert every.count() == 30 * 41 and every.where(F.col("rank") == 41).select("qname").distinct().collect()[0].qname == "a:Other"
 
 
+def test_retrieval_shuffles_no_pairs(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["current", "non-current", "total", "assets", "liability", "tax expense", "tax", "cash"])
+    rows = spark.createDataFrame([(i, f"{word()} {word()}", i % 2 == 0, rng.sample(["g", "h", "i"], 2) + [None], [rng.choice(["position", "flows"])], word(), [f"total {word()}", word()]) for i in range(25)] + [(99, "tax", True, ["x"], None, None, None)], ROWS)
+    some = [card(f"a:C{i:02}", [f"{word()} {word()}" for _ in range(i % 3)], groups=rng.sample(["g", "h", "i", "j"], 2), aliases=[word(), word()], parents=[word()], documentation=word(), exclusion=["tax", None], positive=[word()], period_type=rng.choice(["instant", "duration"]), abstract=i % 9 == 0) for i in range(30)]
+    cards = spark.createDataFrame(some + [(f"a:D{i}", *some[4][1:]) for i in range(7)], CARDS)
+    order = lambda df: sorted(map(str, df.collect()))
+    every = retrieval.audit(rows, cards, RULES, least=0.2)
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")] and "Window" not in plan[: plan.index("FlatMapGroupsInArrow")]  # pairs stay where they are made
+    want, best = order(every), order(every.where("rank <= 3"))
+    assert len(want) > 300 and len(best) > 50
+    for name, few in (("COPIES", 2), ("PAIRS_A_SLICE", 20), ("PAIRS_AT_ONCE", 40)):
+        monkeypatch.setattr(retrieval, name, few)
+    assert order(retrieval.audit(rows, cards, RULES, least=0.2)) == want
+    assert order(retrieval.retrieved(rows, cards, RULES, 3, least=0.2)) == best
+    for row, own in ((r, [x for x in every.collect() if x.row_id == r and x["rank"]]) for r in range(25)):
+        assert [x["rank"] for x in sorted(own, key=lambda x: (-x.total_score, x.qname))] == list(range(1, len(own) + 1)), row
+
+
 def test_vectors_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "ITEMS_A_BLOCK", 7)
     monkeypatch.setattr(vectors, "QUERIES_A_BLOCK", 3)
