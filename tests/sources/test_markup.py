@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.sources import xbrl
 
@@ -114,3 +115,13 @@ def test_forests_send_no_arcs_to_the_driver(spark, monkeypatch):
     assert got[0] == got[1] and [r[1:] for r in got[0]][:4] == [("c0", 0), ("c1", 1), ("c2", 2), ("c4", 3)] and len(got[0]) == 64
     with pytest.raises(ValueError):
         xbrl.forest(arcs, nodes, ["path"], deepest=3)
+
+
+def test_instances_of_a_key_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(xbrl, "FACTS_A_FILE", 20)
+    rows = spark.createDataFrame([(i % 3, "x:A", f"c{i // 2}", "2023-12-31", "EUR", i) for i in range(600)], "k int, qname string, context_ref string, instant string, unit string, value int")
+    made = xbrl.instance_text(rows, "k").select("k", F.concat_ws("/", "part", "k").alias("path"), "text", F.lit(False).alias("rejected"))
+    facts = xbrl.facts(made)
+    assert sorted(int(r.value) for r in facts.collect()) == list(range(600))
+    assert facts.where("size(warnings) > 0 OR instant IS NULL OR measures IS NULL").count() == 0
+    assert facts.groupBy("path").count().agg(F.max("count")).first()[0] < 60 and made.groupBy("k").count().agg(F.min("count")).first()[0] > 5

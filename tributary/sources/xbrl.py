@@ -31,6 +31,8 @@ _INSTANCE = f"context array<{_CONTEXT}>, unit array<struct<_id: string, measure:
 NO_FACTS = ("context", "unit", "schemaRef", "linkbaseRef", "roleRef", "arcroleRef", "footnoteLink")
 #: Nodes of a level of a forest that are broadcast.
 FEW = 10_000
+#: Facts of an instance that is written, and instances that a task writes, on average.
+FACTS_A_FILE, FILES_A_TASK = 4000, 8
 #: Characters that are parsed at once.
 SLICE = 1_000_000
 _ELEMENTS = "array<struct<place: int, above: int, depth: int, name: string, attributes: map<string, string>, text: string>>"
@@ -213,10 +215,17 @@ def forest(arcs: DataFrame, nodes: DataFrame, keys: list[str], passed: str = "Ab
 
 
 def instance_text(rows: DataFrame, key: str) -> DataFrame:
-    """(key, text): an instance per key from rows of qname, context_ref, instant, unit and value."""
+    """(key, part, text): instances of a key from rows of qname, context_ref, instant, unit and value.
+
+    A key's rows are dealt over as many instances as FACTS_A_FILE asks for, each with the contexts and units of its own
+    facts, so what a task writes or reads at once doesn't grow with the rows of a key.
+    """
     esc = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     context = F.concat(F.lit('<context id="'), F.col("context_ref"), F.lit('"><entity><identifier scheme="http://example.org">'), F.col(key).cast("string"), F.lit("</identifier></entity><period><instant>"), F.col("instant"), F.lit("</instant></period></context>"))
     unit = F.concat(F.lit('<unit id="'), F.col("unit"), F.lit('"><measure>iso4217:'), F.col("unit"), F.lit("</measure></unit>"))
     fact = F.concat(F.lit("<"), F.col("qname"), F.lit(' contextRef="'), F.col("context_ref"), F.lit('" unitRef="'), F.col("unit"), F.lit('" decimals="2">'), esc("value"), F.lit("</"), F.col("qname"), F.lit(">"))
-    parts = rows.groupBy(key).agg(F.array_sort(F.collect_set(context)).alias("c"), F.array_sort(F.collect_set(unit)).alias("u"), F.array_sort(F.collect_list(fact)).alias("f"))
-    return parts.select(key, F.concat(F.lit("<xbrl>"), F.array_join("c", ""), F.array_join("u", ""), F.array_join("f", ""), F.lit("</xbrl>")).alias("text"))
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / FACTS_A_FILE).alias("_files"))
+    dealt = rows.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).withColumn("part", F.pmod(F.xxhash64("qname", "context_ref", "value"), "_files"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (FACTS_A_FILE * FILES_A_TASK)))
+    parts = dealt.repartition(tasks, key, "part").groupBy(key, "part").agg(F.array_sort(F.collect_set(context)).alias("c"), F.array_sort(F.collect_set(unit)).alias("u"), F.array_sort(F.collect_list(fact)).alias("f"))
+    return parts.select(key, "part", F.concat(F.lit("<xbrl>"), F.array_join("c", ""), F.array_join("u", ""), F.array_join("f", ""), F.lit("</xbrl>")).alias("text"))
