@@ -136,6 +136,18 @@ def test_alignment_counts_copies(spark):
     assert "fact_copies" in alignment.scored(rows, facts.withColumn("fact_copies", F.lit(1))).columns
 
 
+def test_alignment_moves_rows_once_and_no_pairs(spark):
+    rows = spark.createDataFrame([(i, "Cash", None if i % 4 == 3 else 10.0 * (i % 4), None if i % 2 else "cash_flow", 2024, i % 3) for i in range(40)] + [(None, "Cash", 10.0, None, 2024, 0)], "row_id long, label string, value double, family string, year int, sample int")
+    facts = spark.createDataFrame([(i, "Cash", None, 10.0 * i, None, 2024, "instant", "MYR") for i in range(3)] + [(9, "Cash", None, 10.0, None, 2024, "instant", "shares")], "fact_id long, fact_label string, aliases array<string>, fact_value double, fact_family string, fact_year int, period_type string, unit string")
+    out = alignment.aligned(rows, facts, "sample")
+    got = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row_id" not in plan and "ReusedExchange" in plan
+    assert sorted((r.row_id is None, r.row_id or 0, r.sample, r.fact_id, r.n_candidates) for r in got) == [(False, i, i % 3, *((None, 0) if i % 4 == 3 else (i % 4, 1))) for i in range(40)] + [(True, 0, 0, None, 0)]
+    summary = {r.sample: (r.n_rows, r.unmatched) for r in alignment.sample_summary(out, rows, "sample").collect()}
+    assert summary == {s: (sum(i % 3 == s for i in range(40)) + (s == 0), sum(i % 3 == s and i % 4 == 3 for i in range(40)) + (s == 0)) for s in range(3)}
+
+
 def test_boxes_dealt_by_pairs(spark, monkeypatch):
     monkeypatch.setattr(boxes, "PAIRS_A_TASK", 10)
     df = spark.createDataFrame([(1, i, 0.0, 0.0, 1.0, 1.0) for i in range(20)], "page int, id int, x0 double, y0 double, x1 double, y1 double")
